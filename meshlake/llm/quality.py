@@ -2,7 +2,7 @@
 
 Each rule looks at one feature of a text and votes good (1) or bad (-1) or abstains (0). Expectation-maximisation over
 the counts of all vote patterns (3 to the number of rules at most, whatever the corpus) estimates how often each rule
-votes what for good and for bad texts, and so each text's probability of being good. A few rules may vote against a
+votes what for good texts and for each kind of bad texts, and so each text's probability of being good. A few rules may vote against a
 text that the others vouch for; that is the difference from filters that must all pass. What fails the base rules goes
 whatever the vote.
 
@@ -26,8 +26,8 @@ WINDOW = 5
 #: Name, feature (SQL over the columns of features()), bad if beyond, good if within: a rule abstains between.
 RULES = (
     ("symbols", "n_symbols / n_words", "x > 0.15", "x < 0.05"),
-    ("repeats", "n_repeat_words / n_words", "x > 0.15", "x < 0.03"),
-    ("lines", "n_dup_lines / n_lines", "x > 0.3", "x < 0.1 AND n_lines > 1"),
+    ("repeats", "n_repeat_words / n_words", "x > 0.2", "x < 0.05"),
+    ("lines", "n_dup_lines / n_lines", "x > 0.5", "x < 0.2"),
     ("capitals", "n_upper / word_chars", "x > 0.4", "x < 0.15"),
     ("shouting", "n_exclaim / n_words", "x > 0.3", "x < 0.1"),
     ("stops", "n_stops / n_words", "x < 0.005 AND n_words >= 40", "x BETWEEN 0.02 AND 0.4"),
@@ -87,41 +87,52 @@ def voted(counted: DataFrame) -> DataFrame:
     return counted.select("id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), *votes)
 
 
-def estimate(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 200, prior: float = 0.8) -> tuple[float, list[dict[int, tuple[float, float]]]]:
-    """P(good), and for each rule P(vote | good) and P(vote | bad), by expectation-maximisation from (votes, count).
-    It starts from rules that are mostly right; a rule can end as useless, but the classes can't change places."""
-    rules = len(patterns[0][0]) if patterns else 0
-    total = sum(c for _, c in patterns)
-    tables = [{1: (0.7, 0.2), 0: (0.2, 0.2), -1: (0.1, 0.6)} for _ in range(rules)]
+Table = list[dict[int, float]]
+
+_GOOD, _BROKEN = {1: 0.85, 0: 0.14, -1: 0.01}, {1: 0.05, 0: 0.05, -1: 0.9}
+
+
+def _joint(votes: tuple[int, ...], weights: list[float], tables: list[Table]) -> list[float]:
+    return [w * math.prod(t[v] for t, v in zip(table, votes, strict=True)) for w, table in zip(weights, tables, strict=True)]
+
+
+def estimate(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 200) -> tuple[list[float], list[Table]]:
+    """Shares of the kinds of text, the good kind first, and for each kind P(vote) of each rule, by
+    expectation-maximisation from (votes, count). Texts are bad in different ways, so there is a bad kind for each
+    rule: what that rule objects to. How common the kind is, how often good texts get the same vote, and which other
+    rules object with it, comes from the counts. The starting values weigh as much as the good texts, and a
+    twentieth of the texts of another kind: a rule's objection to a good text is meant to be rare."""
+    rules, total = len(RULES), sum(c for _, c in patterns)
+    starts = [[_GOOD] * rules, *([_BROKEN if i == k else _GOOD for i in range(rules)] for k in range(rules))]
+    trusts = [1, *[20] * rules]
+    weights, tables = [0.8, *[0.2 / rules] * rules], [[dict(t) for t in s] for s in starts]
     for _ in range(rounds if total else 0):
-        good, sums = 0.0, [{v: [0.0, 0.0] for v in (1, 0, -1)} for _ in range(rules)]
+        sums = [[{1: 0.0, 0: 0.0, -1: 0.0} for _ in range(rules)] for _ in starts]
+        mass = [0.0] * len(starts)
         for votes, count in patterns:
-            a, b = math.log(prior), math.log(1 - prior)
-            for table, v in zip(tables, votes, strict=True):
-                a, b = a + math.log(table[v][0]), b + math.log(table[v][1])
-            p = 1 / (1 + math.exp(min(700.0, b - a)))
-            good += count * p
-            for s, v in zip(sums, votes, strict=True):
-                s[v][0] += count * p
-                s[v][1] += count * (1 - p)
-        was, prior = prior, min(0.99, max(0.01, good / total))
-        tables = [{v: ((s[v][0] + 1) / (good + 3), (s[v][1] + 1) / (total - good + 3)) for v in s} for s in sums]
-        for table in tables:  # a good vote never speaks for bad, nor a bad vote for good
-            for v, better in ((1, 0), (-1, 1)):
-                if table[v][better] < table[v][1 - better]:
-                    mean = (table[v][0] + table[v][1]) / 2
-                    table[v] = (mean, mean)
-        if abs(was - prior) < 1e-9:
+            joint = _joint(votes, weights, tables)
+            whole = sum(joint) or 1.0
+            for k, p in enumerate(joint):
+                share = count * p / whole
+                mass[k] += share
+                for s, v in zip(sums[k], votes, strict=True):
+                    s[v] += share
+        was, weights = weights, [(m + 1) / (total + len(starts)) for m in mass]
+        tables = [[start if start is _BROKEN else {v: (s[v] + (1 + m / trust) * start[v]) / (m + 1 + m / trust) for v in s} for s, start in zip(sums[k], starts[k], strict=True)] for k, (m, trust) in enumerate(zip(mass, trusts, strict=True))]
+        if max(abs(a - b) for a, b in zip(was, weights, strict=True)) < 1e-7:
             break
-    return prior, tables
+    return weights, tables
 
 
-def posterior(prior: float, tables: list[dict[int, tuple[float, float]]]) -> Column:
-    odds = F.lit(math.log(prior / (1 - prior)))
-    for (name, *_), table in zip(RULES, tables, strict=True):
-        weight = {v: F.lit(math.log(a / b)) for v, (a, b) in table.items()}
-        odds = odds + F.when(F.col(f"v_{name}") == 1, weight[1]).when(F.col(f"v_{name}") == -1, weight[-1]).otherwise(weight[0])
-    return 1 / (1 + F.exp(-odds))
+def posterior(weights: list[float], tables: list[Table]) -> Column:
+    """P(good | votes) as an expression."""
+    kinds = []
+    for w, table in zip(weights, tables, strict=True):
+        p = F.lit(w)
+        for (name, *_), t in zip(RULES, table, strict=True):
+            p = p * F.when(F.col(f"v_{name}") == 1, t[1]).when(F.col(f"v_{name}") == -1, t[-1]).otherwise(t[0])
+        kinds.append(p)
+    return kinds[0] / sum(kinds[1:], kinds[0])
 
 
 def quality(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = 0.5) -> DataFrame:
@@ -130,8 +141,7 @@ def quality(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", th
     table = Scratch(documents.sparkSession, "quality").write(voted(features(documents, doc_id, text)), "votes")
     names = [f"v_{r[0]}" for r in RULES]
     patterns = [(tuple(row[n] for n in names), row["n"]) for row in table.where("n_words > 0").groupBy(*names).agg(F.count("*").alias("n")).collect()]
-    prior, tables = estimate(sorted(patterns))
-    scored = table.withColumn("quality", posterior(prior, tables)) if patterns else table.withColumn("quality", F.lit(0.0))
+    scored = table.withColumn("quality", F.when(F.col("n_words") > 0, posterior(*estimate(sorted(patterns)))).otherwise(0.0))
     return scored.select(F.col("id").alias(doc_id), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "quality", (~F.col("base_failed") & (F.col("quality") >= threshold)).alias("kept"))
 
 

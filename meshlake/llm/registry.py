@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from meshlake.llm import decontaminate, quality, token_counts, warc
+from meshlake.llm import decontaminate, language, quality, token_counts, toxicity, warc
 
-_QUERIES = (decontaminate.op1_benchmark_decontamination, token_counts.op3_token_counts, quality.op4_quality_rules, warc.op10_warc)
+_QUERIES = (decontaminate.op1_benchmark_decontamination, token_counts.op3_token_counts, quality.op4_quality_rules, toxicity.op5_toxicity, language.op6_language_id, warc.op10_warc)
 
 
 def queries() -> dict:

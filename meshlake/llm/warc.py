@@ -32,6 +32,8 @@ from meshlake.session import Scratch
 ARCHIVE_BYTES, LEVEL = 256 << 20, 3
 #: Bytes of unwanted records that a read goes over rather than being split, and the most bytes of one read.
 GAP, READ_BYTES = 64 << 10, 8 << 20
+#: Bytes of archives that one task reads.
+TASK_BYTES = 16 << 20
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 INDEX = T.StructType([T.StructField("archive", T.StringType()), T.StructField("offset", T.LongType()), T.StructField("length", T.LongType()), T.StructField("url", T.StringType()), T.StructField("digest", T.StringType()), T.StructField("page_id", T.LongType()), T.StructField("record_type", T.StringType())])
@@ -156,7 +158,8 @@ def fetch(index: DataFrame, folder: str) -> DataFrame:
         if stream is not None:
             stream.close()
 
-    chosen = index.select("archive", "offset", "length").repartitionByRange("archive", "offset").sortWithinPartitions("archive", "offset")
+    total = index.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    chosen = index.select("archive", "offset", "length").repartitionByRange(1 + total // TASK_BYTES, "archive", "offset").sortWithinPartitions("archive", "offset")
     return chosen.mapInArrow(run, RECORD)
 
 
