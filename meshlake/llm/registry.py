@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from meshlake.llm import decontaminate, language, near_duplicates, quality, token_counts, toxicity, warc
+from meshlake.llm import decontaminate, language, near_duplicates, quality, suffix_dedup, token_counts, toxicity, warc
 
-_QUERIES = (decontaminate.op1_benchmark_decontamination, near_duplicates.op2_minhash_near_dedup, token_counts.op3_token_counts, quality.op4_quality_rules, toxicity.op5_toxicity, language.op6_language_id, warc.op10_warc)
+_QUERIES = (decontaminate.op1_benchmark_decontamination, near_duplicates.op2_minhash_near_dedup, token_counts.op3_token_counts, quality.op4_quality_rules, toxicity.op5_toxicity, language.op6_language_id, suffix_dedup.op7_suffix_array_dedup, warc.op10_warc)
 
 
 def queries() -> dict:
