@@ -43,10 +43,13 @@ def as_bytes(column: pa.Array) -> Texts:
 def annotate(df: DataFrame, text: str, fields: T.StructType, make: Callable[[], Callable[[Texts], list[tuple]]], keep: list[str] | None = None, name: str = "found", limit: int = BATCH_BYTES) -> tuple[DataFrame, str]:
     """The kept columns of df (all, if None) and a struct column of what the function made by make() returns for
     each text (UTF-8 bytes, or None for null). The struct's name never clashes with a column of df; it's returned."""
-    kept = [f"`{c}`" for c in (df.columns if keep is None else keep)]
+    columns = df.columns if keep is None else keep
     name = free_name(df, name)
-    passed = df.select(*kept, F.col(f"`{text}`").cast("string").alias(f"{name}_text"))
-    schema = T.StructType([*passed.schema.fields[:-1], T.StructField(name, fields)])
+    kept = [F.col(f"`{c}`") for c in columns]
+    own = text in columns and dict(df.dtypes)[text] == "string"  # then it isn't sent twice
+    at = columns.index(text) if own else len(columns)
+    passed = df.select(*kept, *([] if own else [F.col(f"`{text}`").cast("string").alias(f"{name}_text")]))
+    schema = T.StructType([*passed.schema.fields[: len(columns)], T.StructField(name, fields)])
     struct = to_arrow_type(fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -54,12 +57,11 @@ def annotate(df: DataFrame, text: str, fields: T.StructType, make: Callable[[],
         for batch in batches:
             if not batch.num_rows:
                 continue
-            texts = as_bytes(batch.column(batch.num_columns - 1))
+            texts = as_bytes(batch.column(at))
             for a, b in slices((len(t or b"") + 1 for t in texts), limit):
                 rows = function(texts[a:b])
-                columns = [pa.array([r[i] for r in rows], type=struct.field(i).type) for i in range(struct.num_fields)]
-                made = pa.StructArray.from_arrays(columns, fields=list(struct))
-                yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns[:-1]), made], names=[*batch.schema.names[:-1], name])
+                made = pa.StructArray.from_arrays([pa.array([r[i] for r in rows], type=struct.field(i).type) for i in range(struct.num_fields)], fields=list(struct))
+                yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns[: len(columns)]), made], names=[*columns, name])
 
     return passed.mapInArrow(run, schema), name
 
