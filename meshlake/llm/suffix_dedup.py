@@ -11,8 +11,10 @@ they are, so nothing is lost by looking only at windows whose anchor's 40 bytes
    as front-coded runs to the task of their range, whose loser tree merges the runs: of two strings that share different
    lengths with the last one out, the one that shares more is less, and else they are compared from there on only.
    Equal suffixes are repeats as far as their windows reach; the first of them, by (id, place), stands for all.
-3. Where different suffixes share an anchor's 40 bytes, their windows are sorted and merged in the same way, as
-   suffixes of 100 bytes.
+3. Where different suffixes share an anchor's 40 bytes, what any two of them share before and after it says which windows
+   of the later one repeat. Beyond GROUP suffixes, their windows are sorted and merged in the same way instead, as suffixes
+   of 100 bytes.
+Texts and what is found about them meet by the id's share of the table: packed arrays come first, then the texts.
 
 Null and empty texts are empty. Texts under 100 bytes keep all. Rows without an id match nothing and keep all; rows that
 repeat an id and text are one document and don't repeat each other. Only the id and the text are read.
@@ -31,6 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from meshlake.llm.texts import as_bytes, read
 from meshlake.session import Scratch
@@ -40,6 +43,8 @@ LENGTH, ANCHOR = 100, 40
 SPAN, LEFT = LENGTH - ANCHOR + 1, LENGTH - ANCHOR
 #: Anchors, or strings, that a task holds before it sends a run; bytes of a text in one piece; sampled strings a range.
 CHUNK, RUN, PIECE, SAMPLED = 1 << 19, 1 << 17, 1 << 22, 48
+#: Different suffixes at one anchor that are held against each other in pairs.
+GROUP = 48
 _BASE = 0xD1342543DE82EF95
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _BYTES = np.random.default_rng(77).integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -90,11 +95,27 @@ def anchors(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
 
 # --- 1: which anchors occur more than once ---------------------------------------------------------------------------
 
-SENT = "part int, ids binary, hashes binary, owners binary, places binary, many binary"
+SENT = "part int, ids binary, numbers binary"
+
+
+def deltas(ids: np.ndarray) -> bytes:
+    return np.diff(ids, prepend=np.int64(0)).astype(np.int64).tobytes()
+
+
+def planes(values: np.ndarray, size: int) -> bytes:
+    """The low bytes of 64-bit numbers, all first bytes first, which packs better."""
+    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :size].T).tobytes()
+
+
+def from_planes(data: bytes, size: int) -> np.ndarray:
+    out = np.zeros((len(data) // size, 8), np.uint8)
+    out[:, :size] = np.frombuffer(data, np.uint8).reshape(size, -1).T
+    return out.view("<u8")[:, 0]
 
 
 def _sent(parts: int) -> Callable:
-    """Anchors as packed arrays a part, one of each hash: the others are repeats already, and go along as such."""
+    """Anchors as packed arrays a part, one of each hash: the others are repeats already, and go along as such. 48 bits of
+    the hash do: what happens to agree in them is told apart later."""
 
     def packed(ids: list[int], held: list[tuple]) -> Iterator[pa.RecordBatch]:
         h, owner, place = (np.concatenate(x) for x in zip(*held, strict=True))
@@ -103,25 +124,27 @@ def _sent(parts: int) -> Callable:
         new = np.concatenate(([True], h[1:] != h[:-1]))
         count = np.diff(np.concatenate((np.flatnonzero(new), [len(h)])))
         many = np.repeat(count > 1, count)
-        part = np.where(new, (h >> np.uint64(33)) % np.uint64(parts), np.uint64(TaskContext.get().partitionId() % parts)).astype(np.int64)
-        h = np.where(new, h, np.uint64(0))  # 0: nothing to compare
+        part = np.where(new, (h >> np.uint64(48)) % np.uint64(parts), np.uint64(TaskContext.get().partitionId() % parts)).astype(np.int64)
+        h = np.where(new, (h & np.uint64(0xFFFFFFFFFFFF)) | np.uint64(1), np.uint64(0))  # 0: nothing to compare
         order = np.argsort(part, kind="stable")
         bounds = np.searchsorted(part[order], np.arange(parts + 1))
+        known = np.array(ids, np.int64)
         rows = []
         for k in range(parts):
             at = order[bounds[k] : bounds[k + 1]]
             if len(at):
                 used, owners = np.unique(owner[at], return_inverse=True)
-                rows.append((k, np.array([ids[i] for i in used], np.int64).tobytes(), h[at].tobytes(), owners.astype(np.uint32).tobytes(), place[at].astype(np.uint32).tobytes(), np.packbits(many[at]).tobytes()))
+                numbers = len(at).to_bytes(4, "big") + planes(h[at], 6) + planes(owners, 3) + planes(place[at], 4) + np.packbits(many[at]).tobytes()
+                rows.append((k, zstandard.compress(deltas(known[used]), 1), zstandard.compress(numbers, 1)))
         columns = list(zip(*rows, strict=True))
-        yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], names=["part", "ids", "hashes", "owners", "places", "many"])
+        yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.binary()), pa.array(columns[2], pa.binary())], names=["part", "ids", "numbers"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, held, size = [], [], 0
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), strict=True):
                 place, h, _, _ = anchors(text or b"")
-                if doc is None or not len(place):
+                if not len(place):
                     continue
                 held.append((h, np.full(len(h), len(ids), np.int64), place))
                 ids.append(doc)
@@ -135,33 +158,89 @@ def _sent(parts: int) -> Callable:
     return run
 
 
-def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, places of anchors that occur more than once), from the rows of a part."""
-    held = []
+def _repeated(parts: int) -> Callable:
+    """Places of anchors that occur more than once, from the rows of a part."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = []
+        for batch in batches:
+            for ids, numbers in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                data = zstandard.decompress(numbers)
+                n = int.from_bytes(data[:4], "big")
+                cuts = np.cumsum([4, 6 * n, 3 * n, 4 * n])
+                h, owner, place = (from_planes(data[a:b], k) for a, b, k in zip(cuts[:-1], cuts[1:], (6, 3, 4), strict=True))
+                many = np.unpackbits(np.frombuffer(data[cuts[3] :], np.uint8), count=n).astype(bool)
+                known = np.cumsum(np.frombuffer(zstandard.decompress(ids), np.int64))
+                held.append((h, known[owner.astype(np.int64)], place, many))
+        if not held:
+            return
+        h, ids, place, many = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.argsort(h, kind="stable")
+        same = h[order][1:] == h[order][:-1]
+        twice = np.zeros(len(h), bool)
+        twice[order] = np.concatenate(([False], same)) | np.concatenate((same, [False]))
+        at = np.flatnonzero(many | (twice & (h != 0)))
+        yield from delivery(ids[at], place[at], parts=parts)
+
+    return run
+
+
+DELIVERED = "part int, kind int, id long, text string, packed binary"
+
+
+def share(ids: np.ndarray, parts: int) -> np.ndarray:
+    """The part of the table that an id belongs to; as in delivered()."""
+    u = ids.astype(np.int64)
+    return (u ^ (u >> 7) ^ (u >> 17)) % parts
+
+
+def delivery(ids: np.ndarray, *columns: np.ndarray, parts: int) -> Iterator[pa.RecordBatch]:
+    """Rows for delivered(): ids and numbers about them, packed by part."""
+    part = share(ids, parts)
+    order = np.lexsort((ids, part))
+    bounds = np.searchsorted(part[order], np.arange(parts + 1))
+    rows = []
+    for k in range(parts):
+        at = order[bounds[k] : bounds[k + 1]]
+        if len(at):
+            rows.append((k, zstandard.compress(len(at).to_bytes(4, "big") + deltas(ids[at]) + b"".join(planes(c[at], 4) for c in columns), 1)))
+    part_column, packed = zip(*rows, strict=True) if rows else ((), ())
+    none = [None] * len(rows)
+    yield pa.RecordBatch.from_arrays([pa.array(part_column, pa.int32()), pa.array([0] * len(rows), pa.int32()), pa.array(none, pa.int64()), pa.array(none, pa.string()), pa.array(packed, pa.binary())], names=["part", "kind", "id", "text", "packed"])
+
+
+def delivered(source: DataFrame, packed: DataFrame, parts: int) -> DataFrame:
+    """Texts with what was delivered for them, part by part, the packed rows first."""
+    mixed = F.col("id").bitwiseXOR(F.shiftright("id", 7)).bitwiseXOR(F.shiftright("id", 17))
+    texts = source.select(F.coalesce(F.pmod(mixed, F.lit(parts)), F.lit(0)).cast("int").alias("part"), F.lit(1).alias("kind"), "id", "text", F.lit(None).cast("binary").alias("packed"))
+    return packed.union(texts).repartitionById(parts, F.col("part")).sortWithinPartitions("part", "kind")
+
+
+def received(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[list[tuple[int | None, bytes, np.ndarray]]]:
+    """For each batch of delivered texts: (id, text, the numbers about it, one row each)."""
+    part, held, index = None, [], None
     for batch in batches:
-        for _, ids, h, owner, place, many in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            h = np.frombuffer(h, np.uint64)
-            held.append((h, np.frombuffer(ids, np.int64)[np.frombuffer(owner, np.uint32)], np.frombuffer(place, np.uint32), np.unpackbits(np.frombuffer(many, np.uint8), count=len(h)).astype(bool)))
-    if not held:
-        return
-    h, ids, place, many = (np.concatenate(x) for x in zip(*held, strict=True))
-    order = np.argsort(h, kind="stable")
-    same = h[order][1:] == h[order][:-1]
-    twice = np.zeros(len(h), bool)
-    twice[order] = np.concatenate(([False], same)) | np.concatenate((same, [False]))
-    at = np.flatnonzero(many | (twice & (h != 0)))
-    at = at[np.argsort(ids[at], kind="stable")]
-    yield from by_document(ids[at], place[at])
-
-
-def by_document(ids: np.ndarray, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Rows (id, columns packed as 32-bit numbers side by side), from arrays sorted by id."""
-    first = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1]))) if len(ids) else np.zeros(0, np.int64)
-    table = np.stack([c.astype(np.uint32) for c in columns], 1) if len(ids) else np.zeros((0, len(columns)), np.uint32)
-    for a in range(0, len(first), 4096):
-        starts = first[a : a + 4096]
-        ends = np.append(first[a + 1 : a + 4097], len(ids))[: len(starts)]
-        yield pa.RecordBatch.from_arrays([pa.array(ids[starts], pa.int64()), pa.array([table[s:e].tobytes() for s, e in zip(starts, ends, strict=True)], pa.binary())], names=["id", "packed"])
+        out = []
+        for p, kind, doc, text, packed in zip(*(batch.column(i).to_pylist() if i != 3 else as_bytes(batch.column(3)) for i in range(5)), strict=True):
+            if p != part:
+                part, held, index = p, [], None
+            if not kind:
+                held.append(zstandard.decompress(packed))
+                continue
+            if index is None:
+                ids, numbers = [np.zeros(0, np.int64)], [np.zeros((0, columns), np.int64)]
+                for data in held:
+                    n = int.from_bytes(data[:4], "big")
+                    ids.append(np.cumsum(np.frombuffer(data[4 : 4 + 8 * n], np.int64)))
+                    rest = data[4 + 8 * n :]
+                    numbers.append(np.stack([from_planes(rest[4 * n * c : 4 * n * (c + 1)], 4) for c in range(columns)], 1).astype(np.int64))
+                held = []
+                all_ids, table = np.concatenate(ids), np.concatenate(numbers)
+                order = np.argsort(all_ids, kind="stable")
+                index = all_ids[order], table[order]
+            a, b = np.searchsorted(index[0], [doc, doc + 1]) if doc is not None else (0, 0)
+            out.append((doc, text or b"", index[1][a:b]))
+        yield out
 
 
 # --- 2 and 3: runs, front-coded; loser trees -------------------------------------------------------------------------
@@ -295,29 +374,31 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _suffixes(splitters: list[bytes]) -> Callable:
-    """Runs of suffixes at the repeated anchors of (id, text, lists of places). Payload: first window, and the lengths
+    """Runs of suffixes at the repeated anchors of delivered texts. Payload: first window, and the lengths
     before and after the anchor packed into one number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         send = Sender(splitters, lambda doc, p0, packed: (doc, p0, p0 + (packed & 0xFF)))
-        for batch in batches:
-            for doc, text, lists in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), batch.column(2).to_pylist(), strict=True):
-                place, _, first, last = anchors(text or b"")
-                want = np.isin(place, np.frombuffer(b"".join(lists), np.uint32).astype(np.int64))
-                out = []
+        for found in received(batches, 1):
+            out = []
+            for doc, text, places in found:
+                if not len(places) or len(text) < LENGTH:
+                    continue
+                place, _, first, last = anchors(text)
+                want = np.isin(place, places[:, 0])
                 for a, p0, p1 in zip(place[want].tolist(), first[want].tolist(), last[want].tolist(), strict=True):
                     right, left = text[a : a + LENGTH], text[max(0, a - LEFT) : a]
                     out += send.add(right + left[::-1] + bytes((len(right),)), doc, p0, (p1 - p0) | (a - p0) << 8)
-                if out:
-                    yield _batch(out)
+            if out:
+                yield _batch(out)
         yield _batch(list(send.flush()))
 
     return run
 
 
 def _windows(splitters: list[bytes]) -> Callable:
-    """Merges the suffix runs of a range. Repeats go on as such; where an anchor's bytes are followed or preceded by
-    different ones, the windows of each different suffix are sent on as runs of their own."""
+    """Merges the suffix runs of a range. Repeats go on as such, and so do windows that suffixes with the same anchor share.
+    Windows of large groups, and of those that may go on in the next range, are sent on as runs of their own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         send = Sender(splitters, lambda doc, p0, p1: (doc, p0, p0))
@@ -328,65 +409,90 @@ def _windows(splitters: list[bytes]) -> Callable:
                     runs.append(decoded(block))
                 else:
                     out.append((part, 0, block))
-        if out:
-            yield _batch(out)
 
-        def windows(string: bytes, payload: tuple[int, int, int]) -> Iterator[tuple]:
+        def windows(string: bytes, payload: tuple[int, int, int]) -> None:
             doc, p0, packed = payload
             before, n, right = packed >> 8, packed & 0xFF, string[-1]
             around = string[right : right + before][::-1] + string[:right]
             for k in range(n + 1):
-                yield from send.add(around[k : k + LENGTH], doc, p0 + k, 0)
+                out.extend(send.add(around[k : k + LENGTH], doc, p0 + k, 0))
+
+        group: list[tuple[int, bytes, tuple[int, int, int]]] = []  # different suffixes at one anchor
+        sent, first, last = 0, True, (b"", ())
+
+        def close(edge: bool) -> None:
+            if edge or sent:
+                for _, string, payload in group[sent:]:
+                    windows(string, payload)
+            elif len(group) > 1:
+                send.known.extend(shared_windows(group))
 
-        waiting, sent, edge, last = None, False, True, (b"", ())
         for shared, string, payload in merged(runs):
             if string == last[0]:
                 if payload != last[1]:
                     send.known.append((payload[0], payload[1], payload[1] + (payload[2] & 0xFF)))
                 continue
-            if shared >= ANCHOR and waiting is not None:  # another suffix with the same anchor
-                out = [] if sent else list(windows(*waiting))
-                sent = True
-                out += windows(string, payload)
-                if out:
-                    yield _batch(out)
-            else:
-                if edge and waiting is not None and not sent:  # its like may be in the range before
-                    out = list(windows(*waiting))
-                    if out:
-                        yield _batch(out)
-                edge = waiting is None
-                sent = False
-            waiting = last = (string, payload)
-        if waiting is not None and not sent:  # or in the range after
-            out = list(windows(*waiting))
-            if out:
+            last = (string, payload)
+            if group and shared < ANCHOR:
+                close(first)
+                group, sent, first = [], 0, False
+            group.append((shared, string, payload))
+            if len(group) > GROUP:
+                for _, s, p in group[sent:]:
+                    windows(s, p)
+                group, sent = group[:1], 1
+            if len(out) >= 16:
                 yield _batch(out)
-        yield _batch(list(send.flush()))
+                out.clear()
+        close(True)
+        out.extend(send.flush())
+        yield _batch(out)
 
     return run
 
 
-def _starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, first and last starts of repeated windows), merged from the window runs of a range and what is known."""
-    runs, known, ids, starts = [], [np.zeros((0, 3), np.int64)], [], []
-    for batch in batches:
-        for _, kind, block in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if kind:
-                runs.append(decoded(block))
-            else:
-                known.append(np.frombuffer(zstandard.decompress(block), np.int64).reshape(-1, 3))
-    last: tuple[bytes, tuple] = (b"", ())
-    for _, string, payload in merged(runs) if runs else ():
-        if string != last[0]:
-            last = (string, payload)
-        elif payload != last[1]:
-            ids.append(payload[0])
-            starts.append(payload[1])
-    one = np.array([ids, starts, starts], np.int64).T.reshape(-1, 3)
-    table = np.concatenate([*known, one])
-    table = table[np.lexsort((table[:, 1], table[:, 0]))]
-    yield from by_document(table[:, 0], table[:, 1], table[:, 2])
+def shared_windows(group: list[tuple[int, bytes, tuple[int, int, int]]]) -> Iterator[tuple[int, int, int]]:
+    """(id, first, last start) of windows of a suffix that another one, which starts earlier, has as well. What suffixes
+    share after the anchor follows from what each shares with the one before; only what lies before it is compared."""
+    for j in range(1, len(group)):
+        _, t, q = group[j]
+        least = 255
+        for i in range(j - 1, -1, -1):
+            least = min(least, group[i + 1][0])
+            _, s, p = group[i]
+            right = min(least, s[-1], t[-1])
+            left = common(s[s[-1] : -1], t[t[-1] : -1], 0)
+            if left + right < LENGTH:
+                continue
+            doc, p0, packed = max(p, q)
+            before, n = packed >> 8, packed & 0xFF
+            a, b = max(0, before - left), min(n, before + right - LENGTH)
+            if a <= b:
+                yield doc, p0 + a, p0 + b
+
+
+def _starts(parts: int) -> Callable:
+    """First and last starts of repeated windows, from the window runs of a range and what is known already."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        runs, known, ids, starts = [], [np.zeros((0, 3), np.int64)], [], []
+        for batch in batches:
+            for _, kind, block in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if kind:
+                    runs.append(decoded(block))
+                else:
+                    known.append(np.frombuffer(zstandard.decompress(block), np.int64).reshape(-1, 3))
+        last: tuple[bytes, tuple] = (b"", ())
+        for _, string, payload in merged(runs) if runs else ():
+            if string != last[0]:
+                last = (string, payload)
+            elif payload != last[1]:
+                ids.append(payload[0])
+                starts.append(payload[1])
+        table = np.concatenate([*known, np.array([ids, starts, starts], np.int64).T.reshape(-1, 3)])
+        yield from delivery(table[:, 0], table[:, 1], table[:, 2], parts=parts)
+
+    return run
 
 
 # --- the operator ----------------------------------------------------------------------------------------------------
@@ -397,10 +503,8 @@ FIELDS = T.StructType([
 ])
 
 
-def cut(text: bytes | None, lists: list[bytes]) -> tuple:
+def cut(text: bytes, pairs: np.ndarray) -> tuple:
     """What the text loses, as byte spans, and what is left."""
-    text = text or b""
-    pairs = np.frombuffer(b"".join(lists), np.uint32).reshape(-1, 2).astype(np.int64)
     spans: list[list[int]] = []
     for a, b in pairs[np.argsort(pairs[:, 0], kind="stable")].tolist():
         end = min(len(text), b + LENGTH)
@@ -416,38 +520,36 @@ def cut(text: bytes | None, lists: list[bytes]) -> tuple:
     return len(text), sum(b - a for a, b in spans), [{"start": a, "end": b} for a, b in spans], kept.hexdigest()
 
 
-def repeated_starts(source: DataFrame, scratch: Scratch) -> DataFrame:
-    """(id, packed (first, last) starts of windows that also start earlier), of a table (id, text)."""
+def repeated_starts(source: DataFrame, scratch: Scratch) -> tuple[DataFrame, int]:
+    """First and last starts of windows that also start earlier, ready to be delivered to the texts of (id, text), and the
+    number of parts."""
     spark = source.sparkSession
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     chosen = source.where("id IS NOT NULL").select(F.xxhash64("id").alias("h"), F.expr(f"substring(text, cast(1 + pmod(xxhash64(id, 1), greatest(length(text) - {ANCHOR}, 1)) as int), {ANCHOR})").alias("s"))
     sample = sorted(r["s"].encode() for r in chosen.where("s <> ''").orderBy("h", "s").limit(SAMPLED * parts).collect())
     splitters = sorted({sample[len(sample) * k // parts] for k in range(1, parts)}) if sample else []
     ranges = len(splitters) + 1
-    anchored = source.mapInArrow(_sent(parts), SENT).repartitionById(parts, F.col("part"))
-    lists = scratch.write(anchored.mapInArrow(_repeated, "id long, packed binary"), "anchors").groupBy("id").agg(F.collect_list("packed").alias("lists"))
-    suffixes = source.join(lists, "id").select("id", "text", "lists").mapInArrow(_suffixes(splitters), BLOCKS)
+    known = source.where("id IS NOT NULL")
+    anchored = known.mapInArrow(_sent(parts), SENT).repartitionById(parts, F.col("part")).mapInArrow(_repeated(parts), DELIVERED)
+    suffixes = delivered(known, anchored, parts).mapInArrow(_suffixes(splitters), BLOCKS)
     windows = suffixes.repartitionById(ranges, F.col("part")).mapInArrow(_windows(splitters), BLOCKS)
-    return scratch.write(windows.repartitionById(ranges, F.col("part")).mapInArrow(_starts, "id long, packed binary"), "starts")
+    return scratch.write(windows.repartitionById(ranges, F.col("part")).mapInArrow(_starts(parts), DELIVERED), "starts"), parts
 
 
 def repeats(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id and a struct "repeats": n_bytes, n_removed, spans (removed bytes), kept_sha256."""
     scratch = Scratch(documents.sparkSession, "suffix-dedup")
     source = documents.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
-    lists = repeated_starts(source, scratch).groupBy("id").agg(F.collect_list("packed").alias("lists"))
-    joined = source.join(lists, "id", "left").select("id", "text", "lists")
-    from pyspark.sql.pandas.types import to_arrow_type
-
+    starts, parts = repeated_starts(source, scratch)
     struct = to_arrow_type(FIELDS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [cut(t, found or []) for t, found in zip(as_bytes(batch.column(1)), batch.column(2).to_pylist(), strict=True)]
+        for found in received(batches, 2):
+            rows = [cut(t, pairs) for _, t, pairs in found]
             made = pa.StructArray.from_arrays([pa.array([r[i] for r in rows], type=struct.field(i).type) for i in range(struct.num_fields)], fields=list(struct))
-            yield pa.RecordBatch.from_arrays([batch.column(0), made], names=[doc_id, "repeats"])
+            yield pa.RecordBatch.from_arrays([pa.array([doc for doc, *_ in found], pa.int64()), made], names=[doc_id, "repeats"])
 
-    return joined.mapInArrow(run, T.StructType([T.StructField(doc_id, T.LongType()), T.StructField("repeats", FIELDS)]))
+    return delivered(source, starts, parts).mapInArrow(run, T.StructType([T.StructField(doc_id, T.LongType()), T.StructField("repeats", FIELDS)]))
 
 
 def op7_suffix_array_dedup(spark, sf_dir: str) -> DataFrame:
