@@ -2,12 +2,22 @@
 
 from __future__ import annotations
 
-FLAGSHIP = "contact_pairs"
+from importlib import import_module
+
+FLAGSHIP = "p20_contact_pairs"
+MODULES = ("mesh", "patches", "loops", "materials")
+
+
+def _of(attribute: str) -> dict:
+    found: dict = {}
+    for name in MODULES:
+        found |= getattr(import_module(f"meshlake.queries.{name}"), attribute)
+    return found
 
 
 def queries() -> dict:
-    return {}
+    return _of("QUERIES")
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return _of("ORACLES")

@@ -34,9 +34,18 @@ def raw_objects(spark: SparkSession, path: str) -> DataFrame:
     return named.withColumn("model_id", F.sha2("path", 256)).withColumn("_place", F.monotonically_increasing_id())
 
 
+def numbered_objects(objects: DataFrame) -> DataFrame:
+    return objects.withColumn("mesh_id", F.row_number().over(Window.partitionBy("model_id").orderBy("_place")).cast("long") - 1)
+
+
+def numbered_ids(objects: DataFrame) -> DataFrame:
+    """(model_id, mesh_id, xml_id): the ids that objects have in their file."""
+    return numbered_objects(objects).select("model_id", "mesh_id", F.col("_id").alias("xml_id"))
+
+
 def tables(objects: DataFrame) -> dict[str, DataFrame]:
     """Objects are numbered within their file; vertices without coordinates go, which moves up the ids of later ones."""
-    numbered = objects.withColumn("mesh_id", F.row_number().over(Window.partitionBy("model_id").orderBy("_place")).cast("long") - 1)
+    numbered = numbered_objects(objects)
     colours = F.coalesce(F.col("color"), F.get(F.filter(F.transform("mesh.volume", lambda v: v.color), lambda c: c.isNotNull()), F.lit(0)), F.struct(*(F.lit(GREY).alias(c) for c in "rgb")))
     meshes = numbered.select("model_id", "mesh_id", "path", colours.alias("color"))
     good = F.transform(F.filter("mesh.vertices.vertex", lambda v: v.coordinates.isNotNull()), lambda v: v.coordinates)
