@@ -6,10 +6,12 @@
    pigeonhole principle, in some chunk but for one component; so each chunk is entered once for each component left out
    (the allowed errors, enumerated), and all pairs under that distance meet in a bucket. At a similarity of exactly 0.8 a
    pair fails to meet with a probability of about 1e-7.
-3. In no bucket are all pairs made. Each member is confirmed against the bucket's smallest member, its hub. Members that
-   are linked with it are one component already. For the rest, pairs across components must share one of the first
-   (1 - 0.8) of each set's shingles, in an order that is the same for the whole bucket: those that the hub lacks first.
-   Texts that differ from the hub in their own way share none, so only real candidates are made and confirmed.
+3. In no bucket are all pairs made. Each member is confirmed against the bucket's hub: the member that comes first in one
+   of three orders, so that a large group of copies is held against several of its members. What is linked with a hub is
+   one component already. Pairs across components must share one of the first shingles of both sets, in an order common
+   to all texts, at places that leave enough for the wanted overlap. Shingles that a bounded sample shows to be common
+   come last, so texts that differ each in its own way share none; the sample decides about speed alone. The pairs'
+   signatures are compared before their texts.
 4. Components by large-star and small-star rounds, written to the shared folder after each.
 
 Words are what lies between blanks, A-Z in lower case. A text of one word has that as its only shingle. Texts without
@@ -33,12 +35,18 @@ from meshlake.session import Scratch
 
 CHUNKS, WIDTH = 12, 5
 COMPONENTS = CHUNKS * WIDTH
+#: Components of 8 bits of the longer signatures that pairs across components are held against first, and in how many they
+#: may differ: a pair with a similarity of exactly 0.8 goes beyond with a probability of about 1e-8.
+LONG, DISTANCE = 256, 88
+#: Orders in which buckets choose their hubs. Texts whose shingles are sampled, shingles of a text, and common shingles kept,
+#: at most.
+HUBS, SAMPLE, SAMPLE_SHINGLES, COMMON = 3, 4096, 8192, 500_000
 #: Ids that are broadcast at most to pick texts; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 _LOW = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _rng = np.random.default_rng(20240229)
-_FACTORS = _rng.integers(0, 1 << 63, COMPONENTS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_ADDED = _rng.integers(0, 1 << 63, COMPONENTS, dtype=np.uint64)
+_FACTORS = _rng.integers(0, 1 << 63, LONG, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_ADDED = _rng.integers(0, 1 << 63, LONG, dtype=np.uint64)
 _BYTES = _rng.integers(1, 1 << 63, 256, dtype=np.uint64)
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -75,11 +83,11 @@ def shingles(text: bytes | None) -> np.ndarray:
     return np.unique(mixed(word[:-1] * np.uint64(3) + (word[1:] ^ (word[1:] >> np.uint64(7)))) if len(word) > 1 else mixed(word))
 
 
-def signature(found: np.ndarray) -> np.ndarray:
-    least = np.full(COMPONENTS, np.iinfo(np.uint64).max, np.uint64)
-    for a in range(0, len(found), 1024):
-        least = np.minimum(least, (found[a : a + 1024, None] * _FACTORS + _ADDED).min(0))
-    return mixed(least) >> np.uint64(48)
+def signature(found: np.ndarray, components: int = COMPONENTS, bits: int = 16) -> np.ndarray:
+    least = np.full(components, np.iinfo(np.uint64).max, np.uint64)
+    for a in range(0, len(found), 512):
+        least = np.minimum(least, (found[a : a + 512, None] * _FACTORS[:components] + _ADDED[:components]).min(0))
+    return mixed(least) >> np.uint64(64 - bits)
 
 
 def bucket_keys(signatures: np.ndarray) -> np.ndarray:
@@ -111,40 +119,94 @@ def linked(a: int, b: int, both: int, percent: int) -> bool:
     return 100 * both >= percent * (a + b - both)
 
 
-def first_shingles(own: np.ndarray, in_hub: np.ndarray, percent: int) -> np.ndarray:
-    """The prefix of a set in the bucket's order: what the hub lacks first, by hash; two sets that are similar enough
-    share an element of their prefixes."""
-    n = len(own) - -(-percent * len(own) // 100) + 1
-    lacking = own[~in_hub]
-    return lacking[:n] if len(lacking) >= n else np.concatenate((lacking, own[in_hub][: n - len(lacking)]))
-
-
-def _confirmed(percent: int, prefixes: bool):
-    """For rows (hub, member, hub's text, member's text): hub, member, linked, the member's size and prefix."""
+def _confirmed(percent: int):
+    """For rows (hub, member, hub's text, member's text): hub, member, linked."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, hub_set = None, None
         for batch in batches:
-            hubs, members = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            out = []
-            for hub, member, a, b in zip(hubs, members, as_bytes(batch.column(2)), as_bytes(batch.column(3)), strict=True):
+            links = []
+            for hub, a, b in zip(batch.column(0).to_pylist(), as_bytes(batch.column(2)), as_bytes(batch.column(3)), strict=True):
                 if hub != held:
                     held, hub_set = hub, shingles(a)
                 own = shingles(b)
-                in_hub = np.isin(own, hub_set, assume_unique=True)
-                link = linked(len(own), len(hub_set), int(in_hub.sum()), percent)
-                out.append((hub, member, link, len(own), first_shingles(own, in_hub, percent).view(np.int64) if prefixes else None))
-            columns = zip(*out, strict=True) if out else [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.list_(pa.int64())), strict=True)], names=["hub", "member", "linked", "size", "prefix"])
+                links.append(linked(len(own), len(hub_set), len(np.intersect1d(own, hub_set, assume_unique=True)), percent))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(links, pa.bool_())], names=["hub", "member", "linked"])
 
     return run
 
 
-def confirm(pairs: DataFrame, texts: DataFrame, percent: int, prefixes: bool) -> DataFrame:
-    """hub, member, linked, size, prefix of each pair, from the full sets of both texts."""
+def confirm(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """hub, member, linked of each pair, from the full sets of both texts."""
     members = pairs.join(texts.select(F.col("id").alias("member"), F.col("text").alias("member_text")), "member")
     both = members.join(texts.select(F.col("id").alias("hub"), F.col("text").alias("hub_text")), "hub").select("hub", "member", "hub_text", "member_text")
-    return both.mapInArrow(_confirmed(percent, prefixes), "hub long, member long, linked boolean, size long, prefix array<long>")
+    return both.mapInArrow(_confirmed(percent), "hub long, member long, linked boolean")
+
+
+def common_shingles(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that occur in three or more texts of a bounded sample, sorted, and in how many."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text in as_bytes(batch.column(0)):
+                found = shingles(text)
+                yield pa.RecordBatch.from_arrays([pa.array(found[:SAMPLE_SHINGLES].view(np.int64))], names=["shingle"])
+
+    sample = texts.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("text")
+    counts = sample.mapInArrow(run, "shingle long").groupBy("shingle").agg(F.count("*").alias("n")).where("n > 2")
+    top = counts.orderBy(F.desc("n"), "shingle").limit(COMMON).toArrow()
+    known, n = top.column("shingle").to_numpy().view(np.uint64), top.column("n").to_numpy()
+    order = np.argsort(known)
+    return known[order], n[order]
+
+
+def prefixes(texts: DataFrame, percent: int) -> DataFrame:
+    """(id, size, pos, shingle): the first shingles of each text's set, rare ones first, one of which any similar text has
+    among its first ones, too."""
+    shared = texts.sparkSession.sparkContext.broadcast(common_shingles(texts))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, counts = shared.value
+        for batch in batches:
+            sizes, firsts = [], []
+            for text in as_bytes(batch.column(1)):
+                own = shingles(text)
+                n = len(own) - -(-percent * len(own) // 100) + 1
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, own), len(known) - 1)
+                    own = own[np.argsort(np.where(known[at] == own, counts[at], 0), kind="stable")]
+                sizes.append(len(own))
+                firsts.append(own[:n].view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(firsts, pa.list_(pa.int64()))], names=["id", "size", "prefix"])
+
+    return texts.mapInArrow(run, "id long, size long, prefix array<long>").select("id", "size", F.posexplode("prefix").alias("pos", "shingle"))
+
+
+def across(texts: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+    """Pairs (hub, member) of texts in different components that can be similar by their prefixes and signatures."""
+    rows = prefixes(texts, percent).join(roots, "id", "left").select("id", "size", "pos", "shingle", F.coalesce("root", "id").alias("root"))
+    split = rows.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("shingle")
+    kept = rows.join(split, "shingle").select("shingle", "id", "size", "pos", "root")
+    a, b = kept.toDF("shingle", "ia", "sa", "pa", "ra"), kept.toDF("shingle", "ib", "sb", "pb", "rb")
+    most = F.least(F.col("sa") - F.col("pa"), F.col("sb") - F.col("pb"))  # of shingles in common, if this is the first
+    can = (F.col("ra") < F.col("rb")) & ((100 + percent) * most >= percent * (F.col("sa") + F.col("sb")))
+    pairs = a.join(b, "shingle").where(can).select(F.col("ia").alias("hub"), F.col("ib").alias("member")).distinct()
+    signs = texts.mapInArrow(_long_signatures, "id long, signature binary")
+    signed_pairs = pairs.join(signs.toDF("hub", "a"), "hub").join(signs.toDF("member", "b"), "member").select("hub", "member", "a", "b")
+    return signed_pairs.mapInArrow(_near, "hub long, member long")
+
+
+def _long_signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        made = [signature(shingles(t), LONG, 8).astype(np.uint8).tobytes() for t in as_bytes(batch.column(1))]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["id", "signature"])
+
+
+def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if batch.num_rows:
+            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, LONG) for k in (2, 3))
+            yield batch.select([0, 1]).filter(pa.array((x != y).sum(1) <= DISTANCE))
 
 
 def components(edges: DataFrame, scratch: Scratch, name: str, rounds: int = 60) -> DataFrame:
@@ -183,13 +245,15 @@ def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
     usable = signs.where("id IS NOT NULL AND n_shingles > 0")
     classes = scratch.write(usable.groupBy("h1", "h2").agg(F.min("id").alias("rep")), "classes")
     entries = usable.join(classes.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").select("id", F.explode("keys").alias("key"))
-    hubs = entries.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub < last").select("key", "hub")
-    pairs = scratch.write(entries.join(hubs, "key").where("id <> hub").select("hub", F.col("id").alias("member")).distinct(), "pairs")
+    order = F.pmod("key", F.lit(HUBS))
+    rank = F.when(order == 0, F.col("id")).otherwise(F.xxhash64("id", order))
+    hubs = entries.groupBy("key").agg(F.min_by("id", rank).alias("hub"), F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("key", "hub")
+    pairs = entries.join(hubs, "key").where("id <> hub").select(F.least("hub", "id").alias("hub"), F.greatest("hub", "id").alias("member")).distinct()
+    pairs = scratch.write(pairs, "pairs")
     texts = scratch.write(picked(source, scratch.write(pairs.select(F.col("hub").alias("id")).union(pairs.select("member")).distinct(), "ids")), "texts")
-    first = scratch.write(confirm(pairs, texts, percent, True), "confirmed")
-    edges = first.where("linked").select(F.col("hub").alias("a"), F.col("member").alias("b"))
+    edges = confirm(pairs, texts, percent).where("linked").select(F.col("hub").alias("a"), F.col("member").alias("b"))
     roots = scratch.write(components(edges, scratch, "first"), "roots")
-    second = scratch.write(confirm(across(first, roots, percent), texts, percent, False).where("linked").select(F.col("hub").alias("a"), F.col("member").alias("b")), "second")
+    second = scratch.write(confirm(across(texts, roots, percent), texts, percent).where("linked").select(F.col("hub").alias("a"), F.col("member").alias("b")), "second")
     if second.isEmpty():
         ends = roots
     else:
@@ -203,16 +267,6 @@ def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
     return joined.select(F.col("id").alias(doc_id), "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
 
 
-def across(first: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
-    """Pairs (hub, member) of one bucket's members in different components that share a shingle of their prefixes."""
-    rows = first.join(roots.toDF("member", "root"), "member", "left").select("hub", "member", "size", F.coalesce("root", "member").alias("root"), F.explode("prefix").alias("shingle"))
-    split = rows.groupBy("hub", "shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("hub", "shingle")
-    left = rows.join(split, ["hub", "shingle"])
-    a, b = left.toDF("hub", "shingle", "ma", "sa", "ra"), left.toDF("hub", "shingle", "mb", "sb", "rb")
-    close = (F.col("ra") < F.col("rb")) & (100 * F.least("sa", "sb") >= percent * F.greatest("sa", "sb"))
-    return a.join(b, ["hub", "shingle"]).where(close).select(F.col("ma").alias("hub"), F.col("mb").alias("member")).distinct()
-
-
 def op2_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"))
 
