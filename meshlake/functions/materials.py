@@ -76,7 +76,7 @@ def checked(composition: Column, eps: float = 1e-6) -> Column:
 def edited(pairs: Column, default: str = "PLA", eps: float = 1e-6) -> Column:
     """From an editor's rows (name, ratio): ratios that can't be read are 0, rows of one name are summed, nothing at all is
     all of the default, and a sum other than 1 is NULL."""
-    clean = F.transform(F.filter(pairs, lambda p: F.btrim(p.name) != ""), lambda p: F.struct(F.btrim(p.name).alias("k"), F.coalesce(p.ratio.try_cast("double"), F.lit(0.0)).alias("v")))
+    clean = F.transform(F.filter(pairs, lambda p: F.btrim(p["name"]) != ""), lambda p: F.struct(F.btrim(p["name"]).alias("k"), F.coalesce(p["ratio"].try_cast("double"), F.lit(0.0)).alias("v")))
 
     def summed(rows: Column) -> Column:
         names = F.array_distinct(F.transform(rows, lambda r: r.k))

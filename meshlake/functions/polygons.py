@@ -66,28 +66,33 @@ def clipped(subject: Column, clip: Column, corners: int) -> Column:
     """A convex polygon cut by a counterclockwise convex one with that many corners, edge by edge."""
     result = subject
     for k in range(corners):
+        result = bound(result, _cut(F.get(clip, F.lit(k)), F.get(clip, F.lit((k + 1) % corners))))
+    return result
 
-        def step(q: Column, k: int = k) -> Column:
-            a, b = F.get(clip, F.lit(k)), F.get(clip, F.lit((k + 1) % corners))
-            side = lambda p: (b.x - a.x) * (p.y - a.y) - (b.y - a.y) * (p.x - a.x)
 
-            def parts(p: Column, i: Column) -> Column:
-                def pair(s: Column) -> Column:
-                    u, v = s.u, s.v
-                    t = u / (u - v)
-                    cut = F.struct((p.x + t * (s.q.x - p.x)).alias("x"), (p.y + t * (s.q.y - p.y)).alias("y"))
-                    inside, crosses = u >= -1e-12, (u >= -1e-12) != (v >= -1e-12)
-                    own = F.struct(p.x.alias("x"), p.y.alias("y"))
-                    none = F.filter(F.array(own), lambda _: F.lit(False))
-                    return F.concat(F.when(inside, F.array(own)).otherwise(none), F.when(crosses, F.array(cut)).otherwise(none))
+def _cut(a: Column, b: Column):
+    """A function that keeps what lies left of the line from a to b."""
 
-                other = at(q, i + 1)
-                return bound(F.struct(side(p).alias("u"), side(other).alias("v"), other.alias("q")), pair)
+    def side(p: Column) -> Column:
+        return (b.x - a.x) * (p.y - a.y) - (b.y - a.y) * (p.x - a.x)
 
-            return F.flatten(F.transform(q, parts))
+    def whole(q: Column) -> Column:
+        def parts(p: Column, i: Column) -> Column:
+            own = F.struct(p.x.alias("x"), p.y.alias("y"))
+            none = F.filter(F.array(own), lambda _: F.lit(False))
 
-        result = bound(result, step)
-    return result
+            def pair(s: Column) -> Column:
+                t = s.u / (s.u - s.v)
+                cut = F.struct((p.x + t * (s.q.x - p.x)).alias("x"), (p.y + t * (s.q.y - p.y)).alias("y"))
+                inside = s.u >= -1e-12
+                return F.concat(F.when(inside, F.array(own)).otherwise(none), F.when(inside != (s.v >= -1e-12), F.array(cut)).otherwise(none))
+
+            other = at(q, i + 1)
+            return bound(F.struct(side(p).alias("u"), side(other).alias("v"), other.alias("q")), pair)
+
+        return F.flatten(F.transform(q, parts))
+
+    return whole
 
 
 def grid(points: Column, scale: int = 10_000) -> Column:

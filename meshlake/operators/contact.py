@@ -12,6 +12,7 @@ from meshlake.functions.layers import over, over_array
 from meshlake.operators.canonical import measured
 from meshlake.operators.spatial_join import triangle_pairs
 from meshlake.schemas import POINTS
+from meshlake.session import Scratch
 
 PAIR = ["obj1", "obj2", "tri1", "tri2"]
 KEPT = [*POINTS, "nx", "ny", "nz", "min_edge", "shape_grade"]
@@ -90,7 +91,11 @@ def overlap_gate(pairs: DataFrame, config: Config = DEFAULT) -> DataFrame:
 
 
 def contacts(triangles: DataFrame, config: Config = DEFAULT, mode: str = "aabb") -> DataFrame:
-    """The pair table of a model: candidates by boxes, then the three gates, cheapest first."""
-    whole = measured(triangles)
+    """The pair table of a model: candidates by boxes, then the three gates, cheapest first. It is written to the shared
+    folder: filters on its columns must not be pushed into the layers that compute them, which would repeat each layer's
+    expressions in every reference to them."""
+    scratch = Scratch(triangles.sparkSession, "contacts")
+    whole = scratch.write(measured(triangles), "triangles")
     near = triangle_pairs(triangles, mode, config.most_gap)
-    return overlap_gate(gap_gate(angle_gate(with_triangles(near, whole), config), config), config)
+    gated = scratch.write(gap_gate(angle_gate(with_triangles(near, whole), config), config), "gated")
+    return scratch.write(overlap_gate(gated, config), "pairs")

@@ -66,7 +66,8 @@ def _chained(directed: bool):
                 here = (e[2], e[3]) if (e[0], e[1]) == here else (e[0], e[1])
             if here == (a, b) and len(loop) > 2:
                 loops.append(loop)
-        return pd.DataFrame({"layer": [key[0]] * len(loops), "object_id": [key[1]] * len(loops), "loop_id": range(len(loops)), "pts": [[{"x": x, "y": y} for x, y in p] for p in loops]})
+        made = pd.DataFrame({"layer": [key[0]] * len(loops), "object_id": [key[1]] * len(loops), "loop_id": range(len(loops)), "pts": [[{"x": x, "y": y} for x, y in p] for p in loops]})
+        return made.astype({c: "int64" for c in ("layer", "object_id", "loop_id")})
 
     return chain
 
@@ -86,9 +87,9 @@ def normalized(loop_table: DataFrame, counterclockwise: bool = True, scale: int
     """Loops cleaned, large enough, in one sense, from their least point; coordinates as before the grid."""
     clean = loop_table.withColumn("pts", P.cleaned(F.col("pts")))
     large = clean.withColumn("area", P.signed_area(F.col("pts"))).where((F.size("pts") >= 3) & (F.abs("area") >= DEFAULT.min_loop_area))
-    turned = large.withColumn("pts", P.aligned(P.oriented(F.col("pts"), counterclockwise)))
+    turned = large.withColumn("pts", P.aligned(P.oriented(F.col("pts"), counterclockwise))).withColumn("signed_area", P.signed_area(F.col("pts")) / float(scale * scale))
     back = F.transform("pts", lambda p: F.struct((p.x / scale).alias("x"), (p.y / scale).alias("y")))
-    return turned.select("layer", "object_id", "loop_id", back.alias("pts"), (P.signed_area(F.col("pts")) / (scale * scale)).alias("signed_area"))
+    return turned.select("layer", "object_id", "loop_id", back.alias("pts"), "signed_area")
 
 
 Point = tuple[float, float]
@@ -205,4 +206,4 @@ def offset_rings(rows: DataFrame, distance: float, key: str = "key", ring: str =
 
         return F.transform(pts, corner)
 
-    return rows.select(key, P.bound(P.oriented(q), moved).alias("ring")).withColumn("area", P.signed_area(F.col("ring")))
+    return rows.select(key, P.bound(P.oriented(q), moved).alias("moved")).select(key, F.col("moved").alias("ring"), P.signed_area(F.col("moved")).alias("area"))

@@ -47,7 +47,7 @@ def overlapping(left: DataFrame, right: DataFrame, keys: list[str], cell: float
     for prefix, df in (("l_", left), ("r_", right)):
         sides.append((prefix, df.withColumn("_level", levels(df, size, axes))))
     found = None
-    all_levels = sorted({r[0] for _, d in sides for r in d.select("_level").distinct().collect()})
+    all_levels = sorted({r[0] for _, d in sides for r in d.select("_level").distinct().collect()}) or [0]
     for a in all_levels:
         for b in all_levels:
             length = F.lit(float(size * WIDE ** max(a, b)))

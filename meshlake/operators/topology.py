@@ -19,7 +19,7 @@ def neighbours(indexed: DataFrame, mode: str = "manifold") -> DataFrame:
     e = edges(indexed)
     if mode == "manifold":
         both = e.groupBy("object_id", "lo", "hi").agg(F.count("*").alias("n"), F.min("tri_id").alias("a"), F.max("tri_id").alias("b")).where("n = 2")
-        ways = F.explode(F.array(F.struct(F.col("a").alias("tri_id"), F.col("b").alias("neighbour")), F.struct(F.col("b"), F.col("a")))).alias("w")
+        ways = F.explode(F.array(F.struct(F.col("a").alias("tri_id"), F.col("b").alias("neighbour")), F.struct(F.col("b").alias("tri_id"), F.col("a").alias("neighbour")))).alias("w")
         return both.select("object_id", ways).select("object_id", "w.*").distinct()
     other = e.select("object_id", "lo", "hi", F.col("tri_id").alias("neighbour"))
     return e.join(other, ["object_id", "lo", "hi"]).where("tri_id <> neighbour").select("object_id", "tri_id", "neighbour").distinct()

@@ -15,7 +15,7 @@ def patches(triangles: DataFrame, config: Config = DEFAULT, mode: str = "aabb")
     is made of, so it's written once."""
     scratch = Scratch(triangles.sparkSession, "patches")
     measured = scratch.write(canonical.measured(triangles), "triangles")
-    pairs = scratch.write(contact.contacts(triangles, config, mode), "pairs")
+    pairs = contact.contacts(triangles, config, mode)
     indexed = canonical.indexed(triangles, canonical.vertices(triangles))
     near = scratch.write(topology.neighbours(indexed), "neighbours")
     summary = scratch.write(patch.validated(patch.summary(pairs, measured), lambda g: patch.threshold(g, config)), "summary")

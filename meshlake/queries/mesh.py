@@ -29,7 +29,8 @@ def query(name: str, sql: str | None = None):
 
 
 def duck(sql: str) -> str:
-    """Double literals as any engine writes them."""
+    """Double literals as any engine writes them, and the column that is a keyword elsewhere in quotes."""
+    sql = re.sub(r'(?<![\w"])by\b(?!")', '"by"', sql)
     return re.sub(r"(\d+(?:\.\d+)?(?:e-?\d+)?)D\b", lambda m: m[1] if "e" in m[1] else f"{m[1]}e0", plain(sql))
 
 
@@ -336,10 +337,10 @@ def _(spark, sf):
 
 @query("s2_amf_scan", f"SELECT object_id, count(*) AS n, sum(ax + bx + cx) AS sx, sum(ay + by + cy) AS sy, sum(az + bz + cz) AS sz FROM ({GRID}) GROUP BY object_id")
 def _(spark, sf):
-    """Writes the mesh as AMF, one object a row, and reads it back; the ids are those in the file."""
+    """Writes the mesh as AMF, one file an object, and reads it back; the ids are those in the file."""
     s = Scratch(spark, "amf")
-    parts = amf.object_xml(grid(spark, sf)).select(F.concat(F.lit("<amf>"), "value", F.lit("</amf>")).alias("value"))
-    parts.write.text(f"{s.root}/model.amf")
+    parts = amf.object_xml(grid(spark, sf)).select("object_id", F.concat(F.lit("<amf>"), "value", F.lit("</amf>")).alias("value"))
+    parts.write.partitionBy("object_id").text(f"{s.root}/model.amf")
     objects = amf.raw_objects(spark, f"{s.root}/model.amf")
     found = amf.tables(objects)
     t = found["triangles"].select("model_id", "mesh_id", "tid", F.explode(F.array("v1", "v2", "v3")).alias("vid")).join(found["vertices"], ["model_id", "mesh_id", "vid"])

@@ -55,7 +55,7 @@ _CORNER = " UNION ALL ".join(f"SELECT {_PAIR}, {i} AS i, {k} AS k, CASE WHEN s{k
 _SIDE = f"SELECT {_PAIR}, p.k, p.i, p.x, p.y, q.x AS qx, q.y AS qy FROM corner p JOIN corner q USING ({_PAIR}) WHERE p.k = q.k AND q.i = (p.i + 1) % 3"
 _INSIDE = f"SELECT {_PAIR}, c.x, c.y FROM corner c JOIN side s USING ({_PAIR}) WHERE c.k <> s.k GROUP BY {_PAIR}, c.k, c.i, c.x, c.y HAVING bool_and((s.qx - s.x) * (c.y - s.y) - (s.qy - s.y) * (c.x - s.x) >= -1e-7)"
 _CROSS = f"""SELECT {_PAIR}, x + t * (qx - x) AS x, y + t * (qy - y) AS y FROM (
-  SELECT {_PAIR}, a.x, a.y, a.qx, a.qy, ((b.x - a.x) * (b.qy - b.y) - (b.y - a.y) * (b.qx - b.x)) / nullif(det, 0) AS t, ((b.x - a.x) * (a.qy - a.y) - (b.y - a.y) * (a.qx - a.x)) / nullif(det, 0) AS u
+  SELECT {_PAIR}, a.x, a.y, a.qx, a.qy, ((b.x - a.x) * (b.qy - b.y) - (b.y - a.y) * (b.qx - b.x)) / CASE WHEN abs(det) > 1e-6 THEN det END AS t, ((b.x - a.x) * (a.qy - a.y) - (b.y - a.y) * (a.qx - a.x)) / CASE WHEN abs(det) > 1e-6 THEN det END AS u
   FROM (SELECT a, b, {', '.join(f'a.{c} AS {c}' for c in ('obj1', 'obj2', 'tri1', 'tri2'))}, (a.qx - a.x) * (b.qy - b.y) - (a.qy - a.y) * (b.qx - b.x) AS det FROM side a JOIN side b USING ({_PAIR}) WHERE a.k = 1 AND b.k = 2)
 ) WHERE t BETWEEN 0 AND 1 AND u BETWEEN 0 AND 1"""
 _AREA = f"""SELECT {_PAIR}, abs(sum(x * ny - y * nx)) / 2 AS raw FROM (

@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 def arrivals(spark: SparkSession, folder: str, files: int = 100) -> DataFrame:
     """(path, modificationTime, sha256) of new files, contents seen within a day left out."""
-    raw = spark.readStream.format("binaryFile").option("pathGlobFilter", "*.amf").option("maxFilesPerTrigger", files).load(folder)
+    raw = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", "*.amf").option("maxFilesPerTrigger", files).load(folder)
     hashed = raw.select("path", "modificationTime", F.sha2("content", 256).alias("sha256"))
     return hashed.withWatermark("modificationTime", "1 day").dropDuplicatesWithinWatermark(["sha256"])
 
