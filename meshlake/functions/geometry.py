@@ -93,7 +93,8 @@ def boxes_overlap(a: str, b: str) -> str:
 
 def degrees_between(n: str, m: str) -> str:
     """Angle of two unit normals without regard to their sense, in degrees; NULL if one is NULL."""
-    return f"degrees(acos(least(1.0D, abs({dot(point(n), point(m))}))))"
+    cosine = f"abs({dot(point(n), point(m))})"
+    return f"degrees(acos(CASE WHEN {cosine} > 1.0D THEN 1.0D ELSE {cosine} END))"  # least() would pass over a NULL
 
 
 def clamp(v: str) -> str:

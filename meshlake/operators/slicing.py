@@ -66,7 +66,7 @@ def _chained(directed: bool):
                 here = (e[2], e[3]) if (e[0], e[1]) == here else (e[0], e[1])
             if here == (a, b) and len(loop) > 2:
                 loops.append(loop)
-        made = pd.DataFrame({"layer": [key[0]] * len(loops), "object_id": [key[1]] * len(loops), "loop_id": range(len(loops)), "pts": [[{"x": x, "y": y} for x, y in p] for p in loops]})
+        made = pd.DataFrame({"layer": [key[0]] * len(loops), "object_id": [key[1]] * len(loops), "loop_id": range(len(loops)), "pts": pd.Series([[{"x": x, "y": y} for x, y in p] for p in loops], dtype=object)})
         return made.astype({c: "int64" for c in ("layer", "object_id", "loop_id")})
 
     return chain
