@@ -36,16 +36,26 @@ def _corner(k: str, p: str) -> str:
     return ", ".join(f"'{{}}{c}', CAST(t{k}_{p}{c} AS DOUBLE)" for c in "xyz")
 
 
-def gap_expression() -> str:
-    """Least distance of the six corner-triangle and nine edge-edge pairs, as one expression over arrays of structs."""
+def _struct(*parts: tuple[str, str, str]) -> str:
+    return "named_struct(" + ", ".join(_corner(k, p).replace("{}", n) for n, k, p in parts) + ")"
+
+
+def corner_gap() -> str:
+    """Least distance of the six corners to the other triangle, as one expression over an array of structs."""
     corners = [(k, other, p) for k, other in (("1", "2"), ("2", "1")) for p in "abc"]
-    struct = lambda *parts: "named_struct(" + ", ".join(_corner(k, p).replace("{}", n) for n, k, p in parts) + ")"
-    first = "array(" + ", ".join(struct(("p", k, p), *((n, o, n) for n in "abc")) for k, o, p in corners) + ")"
+    structs = "array(" + ", ".join(_struct(("p", k, p), *((n, o, n) for n in "abc")) for k, o, p in corners) + ")"
+    return f"array_min({over_array(structs, [f'{n}{c}' for n in 'pabc' for c in 'xyz'], G.point_triangle(), 'distance')})"
+
+
+def edge_gap() -> str:
+    """Least distance of the nine pairs of edges."""
     edges = (("a", "b"), ("b", "c"), ("c", "a"))
-    second = "array(" + ", ".join(struct(("a", "1", u), ("b", "1", v), ("c", "2", x), ("d", "2", y)) for u, v in edges for x, y in edges) + ")"
-    one = over_array(first, [f"{n}{c}" for n in "pabc" for c in "xyz"], G.point_triangle(), "distance")
-    two = over_array(second, [f"{n}{c}" for n in "abcd" for c in "xyz"], G.segment_segment(), "distance")
-    return f"least(array_min({one}), array_min({two}))"
+    structs = "array(" + ", ".join(_struct(("a", "1", u), ("b", "1", v), ("c", "2", x), ("d", "2", y)) for u, v in edges for x, y in edges) + ")"
+    return f"array_min({over_array(structs, [f'{n}{c}' for n in 'abcd' for c in 'xyz'], G.segment_segment(), 'distance')})"
+
+
+def gap_expression() -> str:
+    return f"least({corner_gap()}, {edge_gap()})"
 
 
 def gap_gate(pairs: DataFrame, config: Config = DEFAULT) -> DataFrame:

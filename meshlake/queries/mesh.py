@@ -110,6 +110,11 @@ def _(spark, sf):
     return over(C.quantize(soup(spark, sf)), G.normal()).select("object_id", "tri_id", *rounded(["nx", "ny", "nz"]))
 
 
+@query("p6_fine_normals", f"SELECT object_id, tri_id, {r_sql(['nx', 'ny', 'nz'])} FROM ({over_sql(SOUP_SQL, G.normal(least=1e-12))})")
+def _(spark, sf):
+    return over(soup(spark, sf), G.normal(least=1e-12)).select("object_id", "tri_id", *rounded(["nx", "ny", "nz"]))
+
+
 METRICS = ["min_edge", "max_edge", "perimeter", "area"]
 
 
@@ -136,6 +141,12 @@ def _(spark, sf):
     return C.measured(C.quantize(soup(spark, sf))).select("object_id", "tri_id", *GRADES, F.expr(G.band(GRADES)).alias("band"))
 
 
+@query("f9_bands", f"SELECT object_id, band, count(*) AS n FROM (SELECT object_id, {G.band(['shape_grade', 'error_grade', 'area_grade'])} AS band FROM ({measured_sql(QUANTIZED)})) GROUP BY ALL")
+def _(spark, sf):
+    m = C.measured(C.quantize(soup(spark, sf)))
+    return m.groupBy("object_id", F.expr(G.band(GRADES)).alias("band")).agg(F.count("*").alias("n"))
+
+
 @query("p11_classify", f"SELECT l_orderkey, l_linenumber, {G.grade('l_quantity', (5, 20, 30, 45))} AS upper_grade, {G.grade('l_quantity', (45, 30, 20, 5), False)} AS lower_grade FROM lineitem")
 def _(spark, sf):
     return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.expr(G.grade("l_quantity", (5, 20, 30, 45))).alias("upper_grade"), F.expr(G.grade("l_quantity", (45, 30, 20, 5), False)).alias("lower_grade"))

@@ -259,3 +259,18 @@ def test_differs_and_digest(spark):
 def test_missing_columns(spark):
     with pytest.raises(ValueError, match="z"):
         require_columns(spark.range(1), "id", "z")
+
+
+def test_workspace(spark, tmp_path):
+    from meshlake.sources import workspace
+
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "m.amf").write_text("<amf/>")
+    with pytest.raises(ValueError):
+        workspace.entry(spark, "m.amf")
+    spark.conf.set(workspace.SETTING, str(tmp_path))
+    assert workspace.entry(spark, "m.amf", "a").endswith("/a/m.amf")
+    for name, error in (("../x", ValueError), ("/etc", ValueError), ("none", FileNotFoundError)):
+        with pytest.raises(error):
+            workspace.entry(spark, name)
+    spark.conf.unset(workspace.SETTING)
