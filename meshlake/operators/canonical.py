@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from meshlake.functions import geometry as G
 from meshlake.functions.layers import over
 from meshlake.schemas import POINTS, require_columns
+from meshlake.session import Scratch
 
 #: Orders of vertices that callers can ask for.
 ORDERS = {"zyx": ["z", "y", "x"], "xyz": ["x", "y", "z"], "yxz": ["y", "x", "z"]}
@@ -27,10 +28,11 @@ def corners(triangles: DataFrame) -> DataFrame:
 
 def ranked(distinct: DataFrame, order: list[str], name: str, by: list[str] | None = None) -> DataFrame:
     """Rows numbered from 0 in the given order. Without a partition the table is ordered by ranges, and each range adds
-    the sizes of those before it: no task gets all rows."""
+    the sizes of those before it: no task gets all rows. The ranges are written, as sampling their bounds again could give
+    others."""
     if by:
         return distinct.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("long") - 1)
-    ordered = distinct.repartitionByRange(*order).withColumn("_range", F.spark_partition_id())
+    ordered = Scratch(distinct.sparkSession, "ranked").write(distinct.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")
     sizes = ordered.groupBy("_range").agg(F.count("*").alias("_n"))
     before = sizes.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"))  # a row for each range
     inside = Window.partitionBy("_range").orderBy(*order)
