@@ -45,6 +45,8 @@ SPAN, LEFT = LENGTH - ANCHOR + 1, LENGTH - ANCHOR
 CHUNK, RUN, PIECE, SAMPLED = 1 << 19, 1 << 17, 1 << 22, 48
 #: Different suffixes at one anchor that are held against each other in pairs.
 GROUP = 48
+#: Ids of documents with repeats that are broadcast, at most, so that the other texts need not be shuffled once more.
+BROADCAST_IDS = 1_000_000
 _BASE = 0xD1342543DE82EF95
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _BYTES = np.random.default_rng(77).integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -268,7 +270,7 @@ def encoded(rows: list[tuple[bytes, int, int, int]]) -> bytes:
         rests.append(s[k:])
         last = s
     numbers = [np.array(shared, np.uint8), np.array([len(r) for r in rests], np.uint8), np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows], np.uint32), np.array([r[3] for r in rows], np.uint32)]
-    return zstandard.compress(len(rows).to_bytes(4, "big") + b"".join(x.tobytes() for x in numbers) + b"".join(rests), 3)
+    return zstandard.compress(len(rows).to_bytes(4, "big") + b"".join(x.tobytes() for x in numbers) + b"".join(rests), 6)
 
 
 def decoded(data: bytes) -> Run:
@@ -543,13 +545,29 @@ def repeats(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     starts, parts = repeated_starts(source, scratch)
     struct = to_arrow_type(FIELDS)
 
+    def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.zeros(0, np.int64)]
+        for batch in batches:
+            for packed in batch.column(1).to_pylist():
+                data = zstandard.decompress(packed)
+                n = int.from_bytes(data[:4], "big")
+                held.append(np.unique(np.cumsum(np.frombuffer(data[4 : 4 + 8 * n], np.int64))))
+        yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(held)))], names=["id"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for found in received(batches, 2):
+            if not found:
+                continue
             rows = [cut(t, pairs) for _, t, pairs in found]
             made = pa.StructArray.from_arrays([pa.array([r[i] for r in rows], type=struct.field(i).type) for i in range(struct.num_fields)], fields=list(struct))
             yield pa.RecordBatch.from_arrays([pa.array([doc for doc, *_ in found], pa.int64()), made], names=[doc_id, "repeats"])
 
-    return delivered(source, starts, parts).mapInArrow(run, T.StructType([T.StructField(doc_id, T.LongType()), T.StructField("repeats", FIELDS)]))
+    schema = T.StructType([T.StructField(doc_id, T.LongType()), T.StructField("repeats", FIELDS)])
+    hit = scratch.write(starts.select("part", "packed").repartitionById(parts, F.col("part")).mapInArrow(ids, "id long"), "hit")
+    if hit.count() > BROADCAST_IDS:
+        return delivered(source, starts, parts).mapInArrow(run, schema)
+    others = source.join(F.broadcast(hit), "id", "left_anti").select(F.lit(0).alias("part"), F.lit(1).alias("kind"), "id", "text", F.lit(None).cast("binary").alias("packed"))
+    return delivered(source.join(F.broadcast(hit), "id", "left_semi"), starts, parts).mapInArrow(run, schema).union(others.mapInArrow(run, schema))
 
 
 def op7_suffix_array_dedup(spark, sf_dir: str) -> DataFrame:
