@@ -107,5 +107,11 @@ def contacts(triangles: DataFrame, config: Config = DEFAULT, mode: str = "aabb")
     scratch = Scratch(triangles.sparkSession, "contacts")
     whole = scratch.write(measured(triangles), "triangles")
     near = triangle_pairs(triangles, mode, config.most_gap)
-    gated = scratch.write(gap_gate(angle_gate(with_triangles(near, whole), config), config), "gated")
-    return scratch.write(overlap_gate(gated, config), "pairs")
+    angled = angle_gate(with_triangles(near, whole), config)
+    gated = scratch.write(gap_gate(_spread(angled), config), "gated")
+    return scratch.write(overlap_gate(_spread(gated), config), "pairs")
+
+
+def _spread(pairs: DataFrame) -> DataFrame:
+    """Over all tasks: rows are small, so partitions by size would be few, but each row takes long."""
+    return pairs.repartition(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), *PAIR)
