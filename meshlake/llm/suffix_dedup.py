@@ -84,14 +84,20 @@ def _anchors(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
 
 
 def anchors(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """As _anchors, for texts of any length: long ones in pieces that overlap by less than a window."""
+    """As _anchors, for texts of any length: long ones in pieces that overlap by less than a window. An anchor that windows
+    of neighbouring pieces share is one."""
     raw = np.frombuffer(text, np.uint8)
     made = []
     for a in range(0, max(1, len(raw) - LENGTH + 1), PIECE):
         piece = raw[a : a + PIECE + LENGTH - 1]
         if len(piece) >= LENGTH:
             p, h, first, last = _anchors(piece)
-            made.append((p + a, h, first + a, last + a))
+            p, first, last = p + a, first + a, last + a
+            if made and made[-1][0][-1] == p[0]:
+                made[-1][3][-1] = last[0]
+                p, h, first, last = p[1:], h[1:], first[1:], last[1:]
+            if len(p):
+                made.append((p, h, first, last))
     return tuple(np.concatenate(x) for x in zip(*made, strict=True)) if made else tuple(np.zeros(0, t) for t in (np.int64, np.uint64, np.int64, np.int64))
 
 

@@ -235,6 +235,25 @@ def test_repeats(spark, monkeypatch, group):
     assert suffix_dedup.repeats(docs(spark, [])).count() == 0
 
 
+def test_anchors_of_pieces_are_those_of_the_whole(monkeypatch):
+    text = np.random.default_rng(8).integers(97, 123, 2 * suffix_dedup.PIECE + 5000, dtype=np.uint8)
+    whole = suffix_dedup._anchors(text)
+    for got, want in zip(suffix_dedup.anchors(text.tobytes()), whole, strict=True):
+        assert np.array_equal(got, want)
+    short = text[:3000]
+    for size in (1, 7, 61, 500, 2901):
+        monkeypatch.setattr(suffix_dedup, "PIECE", size)
+        for got, want in zip(suffix_dedup.anchors(short.tobytes()), suffix_dedup._anchors(short), strict=True):
+            assert np.array_equal(got, want)
+
+
+def test_a_unique_text_of_several_pieces_keeps_all(spark):
+    n = 2 * suffix_dedup.PIECE + 5000
+    text = np.random.default_rng(8).integers(97, 123, n, dtype=np.uint8).tobytes()
+    r = suffix_dedup.repeats(docs(spark, [text.decode()])).first().repeats
+    assert (r.n_bytes, r.n_removed, r.spans, r.kept_sha256) == (n, 0, [], hashlib.sha256(text).hexdigest())
+
+
 def test_runs_merge_in_order():
     r = random.Random(9)
     rows = [(bytes(r.choice(b"ab") for _ in range(r.randint(1, 12))), r.randrange(5), r.randrange(9), 0) for _ in range(500)]
