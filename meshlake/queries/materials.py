@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import functions as F
 
 from meshlake.functions import materials as M
 from meshlake.operators import materials as R
 from meshlake.queries.mesh import duck
-from meshlake.sources.fixtures import EDGES, built, plain, table
+from meshlake.sources.fixtures import EDGES, MEETINGS, built, plain, table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -110,23 +112,23 @@ def objects(spark, sf):
     return spark.sql(OBJECTS, nation=table(spark, sf, "nation"))
 
 
-def edges(spark, sf):
-    return built(spark, sf, EDGES)
+def edges(spark, sf, graph=EDGES):
+    return built(spark, sf, graph)
 
 
 @query("f12_object_status", f"SELECT o.object_id, CASE WHEN o.material IS NULL THEN 'Pending' WHEN bool_and(e.b IS NULL OR n.material IS NOT NULL) THEN 'Completed' ELSE 'InProgress' END AS status FROM ({_OBJECTS}) o LEFT JOIN ({BOTH}) e ON e.a = o.object_id LEFT JOIN ({_OBJECTS}) n ON n.object_id = e.b GROUP BY o.object_id, o.material")
-def _(spark, sf):
-    return R.statuses(objects(spark, sf), edges(spark, sf))
+def _(spark, sf, graph=EDGES):
+    return R.statuses(objects(spark, sf), edges(spark, sf, graph))
 
 
 @query("a12_status_buckets", "SELECT status, list_sort(list(object_id)) AS object_ids, count(*) AS n FROM (" + ORACLES["f12_object_status"] + ") GROUP BY status")
-def _(spark, sf):
-    return R.buckets(R.statuses(objects(spark, sf), edges(spark, sf)))
+def _(spark, sf, graph=EDGES):
+    return R.buckets(R.statuses(objects(spark, sf), edges(spark, sf, graph)))
 
 
 @query("f13_gradient_eligible", f"SELECT a AS object_id, count(*) AS n, count(*) FILTER (material_type <> 'isolation') AS solid FROM ({BOTH}) JOIN ({_OBJECTS}) ON object_id = b GROUP BY a HAVING count(*) > 1 AND count(*) FILTER (material_type <> 'isolation') >= 2")
-def _(spark, sf):
-    return R.gradient_eligible(edges(spark, sf), objects(spark, sf))
+def _(spark, sf, graph=EDGES):
+    return R.gradient_eligible(edges(spark, sf, graph), objects(spark, sf))
 
 
 @query("f15_new_names", f"SELECT 'M' || p_partkey AS name FROM part WHERE p_partkey BETWEEN 350 AND 450 AND 'M' || p_partkey NOT IN (SELECT name FROM ({plain(LIBRARY)}))")
@@ -171,8 +173,8 @@ _LISTS = f"SELECT a AS object_id, list_sort(list(b)) AS neighbours FROM ({BOTH})
 
 @query("j18_include_exclude", f"""SELECT object_id, CASE WHEN len(i) >= 2 THEN i ELSE neighbours[1:2] END AS include, list_filter([object_id + 1, object_id + 3], lambda x: list_contains(neighbours, x) AND NOT list_contains(CASE WHEN len(i) >= 2 THEN i ELSE neighbours[1:2] END, x)) AS exclude
 FROM (SELECT *, list_filter([object_id + 1, object_id + 2], lambda x: list_contains(neighbours, x)) AS i FROM ({_LISTS}))""")
-def _(spark, sf):
-    n = R.neighbour_lists(edges(spark, sf))
+def _(spark, sf, graph=EDGES):
+    n = R.neighbour_lists(edges(spark, sf, graph))
     me = F.col("object_id")
     return n.select("object_id", M.include_exclude(F.col("neighbours"), F.array(me + 1, me + 2), F.array(me + 1, me + 3)).alias("s")).select("object_id", "s.include", "s.exclude")
 
@@ -181,10 +183,10 @@ ROLES = "SELECT CAST(n_nationkey AS BIGINT) AS object_id, CASE n_regionkey % 3 W
 
 
 @query("j19_opposite_roles", f"SELECT a AS object_id, b AS neighbour, y.role FROM ({BOTH}) JOIN ({ROLES}) x ON x.object_id = a JOIN ({ROLES}) y ON y.object_id = b WHERE x.role <> y.role")
-def _(spark, sf):
+def _(spark, sf, graph=EDGES):
     r = F.col("n_regionkey") % 3
     roles = table(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("object_id"), F.when(r == 0, "part").when(r == 1, "support").otherwise("glue").alias("role"))
-    return R.opposite_roles(edges(spark, sf), roles)
+    return R.opposite_roles(edges(spark, sf, graph), roles)
 
 
 def assigned(spark, sf):
@@ -201,8 +203,8 @@ def _(spark, sf):
 
 
 @query("n12_restrictions", f"SELECT l.a, e.b, l.name FROM ({_LIMITS}) l JOIN ({BOTH}) e USING (a) JOIN ({_OBJECTS}) o ON o.object_id = e.b AND o.material = l.name")
-def _(spark, sf):
-    return R.restrictions_broken(assigned(spark, sf), edges(spark, sf))
+def _(spark, sf, graph=EDGES):
+    return R.restrictions_broken(assigned(spark, sf), edges(spark, sf, graph))
 
 
 @query("n6_gradient_lookup", "SELECT c_custkey AS k, c_custkey % 40 AS position, CASE WHEN (c_custkey % 40) % 3 = 0 THEN (c_custkey % 40) / 40.0e0 END AS share FROM customer")
@@ -321,8 +323,8 @@ def _(spark, sf):
 
 
 @query("n27_inferred_roles", f"SELECT o.object_id, CASE WHEN o.material_type = 'gradient' AND count(DISTINCT n.material) >= 2 THEN 'gradient' WHEN o.material_type = 'isolation' THEN 'support' WHEN o.material IS NOT NULL THEN 'part' ELSE 'ignore' END AS role FROM ({_OBJECTS}) o LEFT JOIN ({BOTH}) e ON e.a = o.object_id LEFT JOIN ({_OBJECTS}) n ON n.object_id = e.b GROUP BY o.object_id, o.material_type, o.material")
-def _(spark, sf):
-    return R.inferred_roles(edges(spark, sf), objects(spark, sf))
+def _(spark, sf, graph=EDGES):
+    return R.inferred_roles(edges(spark, sf, graph), objects(spark, sf))
 
 
 @query("u1_set_operations", "SELECT n, max(a) AS in_orders, max(b) AS in_customers FROM (SELECT o_custkey AS n, 1 AS a, 0 AS b FROM orders UNION SELECT c_custkey, 0, 1 FROM customer) GROUP BY n")
@@ -332,3 +334,8 @@ def _(spark, sf):
     both = a.intersect(b).select("n", F.lit(1).alias("in_orders"), F.lit(1).alias("in_customers"))
     one = a.exceptAll(b).select("n", F.lit(1), F.lit(0)).union(b.exceptAll(a).select("n", F.lit(0), F.lit(1)))
     return both.union(one)
+
+
+#: The same over the pairs that meet in any order.
+for _name in ("f12_object_status", "a12_status_buckets", "f13_gradient_eligible", "j18_include_exclude", "j19_opposite_roles", "n12_restrictions", "n27_inferred_roles"):
+    query(f"{_name}_whole", ORACLES[_name].replace(GRAPH, plain(MEETINGS)))(partial(QUERIES[_name], graph=MEETINGS))

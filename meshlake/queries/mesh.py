@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import partial
 
 from pyspark.sql import functions as F
 
@@ -12,7 +13,7 @@ from meshlake.operators import canonical as C
 from meshlake.operators import graph, spatial_join, topology
 from meshlake.session import Scratch
 from meshlake.sources import amf, store
-from meshlake.sources.fixtures import EDGES, GRID, SHELL, SOUP_FIELDS, SOUP_SPARK, SOUP_SQL, built, plain, table
+from meshlake.sources.fixtures import EDGES, GRID, MEETINGS, SHELL, SOUP_FIELDS, SOUP_SPARK, SOUP_SQL, built, plain, table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -298,15 +299,18 @@ SELECT id, CAST(min(depth) AS BIGINT) AS depth FROM walk GROUP BY id"""
 
 
 @query("g4_breadth_first", f"WITH RECURSIVE e AS ({plain(EDGES)}), ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e), sources AS (SELECT DISTINCT a AS id FROM ways WHERE a % 5 = 0)" + DEPTHS)
-def _(spark, sf):
-    e = built(spark, sf, EDGES)
+def _(spark, sf, edges=EDGES):
+    e = built(spark, sf, edges)
     ends = e.select(F.col("a").alias("id")).union(e.select("b")).where("id % 5 = 0")
     return graph.multi_source_bfs(e, ends).select("id", "depth")
 
 
+query("g4_breadth_first_whole", ORACLES["g4_breadth_first"].replace(plain(EDGES), plain(MEETINGS)))(partial(QUERIES["g4_breadth_first"], edges=MEETINGS))
+
+
 @query("g4_meetings")
 def _(spark, sf):
-    e = built(spark, sf, EDGES)
+    e = built(spark, sf, MEETINGS)
     ends = e.select(F.col("a").alias("id")).union(e.select("b")).where("id % 5 = 0")
     return graph.meetings(e, graph.multi_source_bfs(e, ends))
 

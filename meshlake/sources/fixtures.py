@@ -27,7 +27,9 @@ def soup_sql(element: str) -> str:
 
 SOUP_SPARK = soup_sql("embedding[{i}]").replace("{sevens}", "explode(sequence(0, 6))")
 SOUP_SQL = soup_sql("embedding[{i} + 1]").replace("{sevens}", "unnest(generate_series(0, 6))").replace("{embeddings}", "embeddings")
-#: Which pairs of suppliers' nations meet in an order.
+#: Which pairs of suppliers' nations meet in an order: all of them (FX-EDGE), and a thinned graph with short ways.
+MEETINGS = """WITH n AS (SELECT DISTINCT l_orderkey AS o, s_nationkey AS k FROM {lineitem} JOIN {supplier} ON s_suppkey = l_suppkey)
+SELECT DISTINCT CAST(a.k AS BIGINT) AS a, CAST(b.k AS BIGINT) AS b FROM n a JOIN n b ON a.o = b.o AND a.k < b.k"""
 EDGES = """WITH n AS (SELECT DISTINCT l_orderkey AS o, s_nationkey AS k FROM {lineitem} JOIN {supplier} ON s_suppkey = l_suppkey WHERE l_orderkey % 97 = 0)
 SELECT DISTINCT CAST(a.k AS BIGINT) AS a, CAST(b.k AS BIGINT) AS b FROM n a JOIN n b ON a.o = b.o AND a.k < b.k WHERE (a.k + b.k) % 3 = 0"""
 #: Loops of six points, from a rule on keys.

@@ -21,6 +21,22 @@ def test_query_without_sql_runs(spark, name):
     assert QUERIES[name](spark, SF).columns
 
 
+def test_graph_queries_see_every_meeting(spark, duck):
+    from meshlake.sources import fixtures
+
+    orders: dict[int, set[int]] = {}
+    for order, nation in duck.execute("SELECT l_orderkey, s_nationkey FROM lineitem JOIN supplier ON s_suppkey = l_suppkey").fetchall():
+        orders.setdefault(order, set()).add(nation)
+    want = {(a, b) for nations in orders.values() for a in nations for b in nations if a < b}
+    assert {tuple(r) for r in fixtures.built(spark, SF, fixtures.MEETINGS).collect()} == want
+    both = want | {(b, a) for a, b in want}
+    roles = dict(duck.execute("SELECT n_nationkey, n_regionkey % 3 FROM nation").fetchall())
+    found = QUERIES["j19_opposite_roles_whole"](spark, SF).collect()
+    assert {(r.object_id, r.neighbour) for r in found} == {(a, b) for a, b in both if roles[a] != roles[b]}
+    meetings = {tuple(r) for r in QUERIES["g4_meetings"](spark, SF).collect()}
+    assert {(a, b) for a, b in want if a % 5 == b % 5 == 0} <= meetings <= want
+
+
 def test_entry(spark):
     import __spark_entry__
 
