@@ -274,6 +274,15 @@ REACH = "reach(x, y) AS (SELECT id, id FROM nodes UNION SELECT reach.x, ways.b F
 WAYS = "ways AS (SELECT a, b FROM sparse UNION SELECT b, a FROM sparse)"
 
 
+#: All neighbours; SPARSE leaves links out, so that components are small.
+ADJACENT = f"SELECT tri_id AS a, neighbour AS b FROM ({MANIFOLD}) WHERE tri_id < neighbour"
+
+
+def adjacent(spark, sf):
+    n = topology.neighbours(indexed(spark, sf)).where("tri_id < neighbour")
+    return Scratch(spark, "adjacent").write(n.select(F.col("tri_id").alias("a"), F.col("neighbour").alias("b")), "edges")
+
+
 def sparse(spark, sf):
     n = topology.neighbours(indexed(spark, sf)).where("tri_id < neighbour AND (tri_id * 7 + neighbour) % 5 < 3")
     return Scratch(spark, "sparse").write(n.select(F.col("tri_id").alias("a"), F.col("neighbour").alias("b")), "edges")
@@ -284,13 +293,17 @@ def labels_sql(nodes: str) -> str:
 
 
 @query("g2_components", labels_sql("SELECT DISTINCT a AS id FROM ways"))
-def _(spark, sf):
-    return graph.components(sparse(spark, sf))
+def _(spark, sf, edges=sparse):
+    return graph.components(edges(spark, sf))
 
 
 @query("g3_components_with_isolates", labels_sql(f"SELECT tri_id AS id FROM ({GI})"))
-def _(spark, sf):
-    return graph.components(sparse(spark, sf), indexed(spark, sf).select(F.col("tri_id").alias("id")))
+def _(spark, sf, edges=sparse):
+    return graph.components(edges(spark, sf), indexed(spark, sf).select(F.col("tri_id").alias("id")))
+
+
+for _name in ("g2_components", "g3_components_with_isolates"):
+    query(f"{_name}_whole", ORACLES[_name].replace(duck(SPARSE), duck(ADJACENT)))(partial(QUERIES[_name], edges=adjacent))
 
 
 DEPTHS = """, walk(id, depth, owner) AS (
@@ -317,7 +330,7 @@ def _(spark, sf):
 
 @query("g5_repair_order")
 def _(spark, sf):
-    e = sparse(spark, sf)
+    e = adjacent(spark, sf)
     return graph.repair_order(e, e.select(F.col("a").alias("id")).union(e.select("b")).distinct())
 
 

@@ -37,6 +37,25 @@ def test_graph_queries_see_every_meeting(spark, duck):
     assert {(a, b) for a, b in want if a % 5 == b % 5 == 0} <= meetings <= want
 
 
+def test_components_are_those_of_the_whole_mesh(spark):
+    from meshlake.operators import topology
+    from meshlake.queries import mesh
+
+    links = [(r.tri_id, r.neighbour) for r in topology.neighbours(mesh.indexed(spark, SF)).collect()]
+    root = {r.tri_id: r.tri_id for r in mesh.indexed(spark, SF).collect()}
+    alone = set(root) - {x for link in links for x in link}
+    while True:
+        before = dict(root)
+        for a, b in links:
+            root[a] = root[b] = min(root[a], root[b])
+        if root == before:
+            break
+    assert dict(QUERIES["g3_components_with_isolates_whole"](spark, SF).collect()) == root
+    linked = {k: v for k, v in root.items() if k not in alone}
+    assert dict(QUERIES["g2_components_whole"](spark, SF).collect()) == linked
+    assert {r.id: r.component for r in QUERIES["g5_repair_order"](spark, SF).collect()} == linked
+
+
 def test_entry(spark):
     import __spark_entry__
 
