@@ -104,8 +104,12 @@ BOTH = f"SELECT a, b FROM ({GRAPH}) UNION SELECT b, a FROM ({GRAPH})"
 _OBJECTS = OBJECTS.replace("{nation}", "nation")
 
 
-def library(spark, sf):
-    return built(spark, sf, LIBRARY)
+#: All parts; LIBRARY is a small one.
+WHOLE_LIBRARY = LIBRARY.removesuffix(" WHERE p_partkey < 400")
+
+
+def library(spark, sf, sql=LIBRARY):
+    return built(spark, sf, sql)
 
 
 def objects(spark, sf):
@@ -143,9 +147,9 @@ def _(spark, sf):
 
 
 @query("j15_material_properties", f"SELECT object_id, material AS material_name, density, melting_temperature FROM ({_OBJECTS}) LEFT JOIN ({plain(LIBRARY)}) ON material = name")
-def _(spark, sf):
+def _(spark, sf, lib=LIBRARY):
     a = objects(spark, sf).select("object_id", F.col("material").alias("material_name"))
-    return R.with_properties(a, library(spark, sf)).select("object_id", "material_name", "density", "melting_temperature")
+    return R.with_properties(a, library(spark, sf, lib)).select("object_id", "material_name", "density", "melting_temperature")
 
 
 @query("j16_known_assignments", f"SELECT s_suppkey AS object_id, s_name FROM supplier WHERE s_suppkey IN (SELECT object_id FROM ({_OBJECTS}))")
@@ -159,13 +163,13 @@ _SLIM = f"SELECT name, color, density FROM ({plain(LIBRARY)})"
 
 
 @query("j17_upsert_library", f"SELECT coalesce(c.name, l.name) AS name, coalesce(c.color, l.color) AS color, coalesce(c.density, l.density) AS density FROM ({_SLIM}) l FULL JOIN ({plain(CHANGES)}) c ON l.name = c.name")
-def _(spark, sf):
-    return R.upserted(library(spark, sf).select("name", "color", "density"), built(spark, sf, CHANGES))
+def _(spark, sf, lib=LIBRARY, changes=CHANGES):
+    return R.upserted(library(spark, sf, lib).select("name", "color", "density"), built(spark, sf, changes))
 
 
 @query("n11_remove_material", f"SELECT name FROM ({plain(LIBRARY)}) WHERE name NOT IN (SELECT name FROM ({plain(CHANGES)}))")
-def _(spark, sf):
-    return R.removed(library(spark, sf), built(spark, sf, CHANGES)).select("name")
+def _(spark, sf, lib=LIBRARY, changes=CHANGES):
+    return R.removed(library(spark, sf, lib), built(spark, sf, changes)).select("name")
 
 
 _LISTS = f"SELECT a AS object_id, list_sort(list(b)) AS neighbours FROM ({BOTH}) GROUP BY a"
@@ -243,17 +247,17 @@ def _(spark, sf):
 
 
 @query("n10_property_records", f"SELECT name, soft_temperature IS NOT NULL AS has_soft FROM ({plain(LIBRARY)})")
-def _(spark, sf):
+def _(spark, sf, lib=LIBRARY):
     record = F.to_json(F.struct("name", "density", "soft_temperature"))
-    return library(spark, sf).select("name", F.contains(record, F.lit("soft_temperature")).alias("has_soft"))
+    return library(spark, sf, lib).select("name", F.contains(record, F.lit("soft_temperature")).alias("has_soft"))
 
 
 _PROPS = ["density", "melting_temperature", "soft_temperature"]
 
 
 @query("n19_unpivot_properties", " UNION ALL ".join(f"SELECT name, '{p}' AS property, round({p}, 3) AS value, '{u}' AS unit FROM ({plain(LIBRARY)}) WHERE {p} IS NOT NULL" for p, u in zip(_PROPS, ("g/cm³", "°C", "°C"), strict=True)))
-def _(spark, sf):
-    return R.unpivoted(library(spark, sf), "name", _PROPS).select("name", "property", F.round(F.col("value").cast("double"), 3).alias("value"), "unit")
+def _(spark, sf, lib=LIBRARY):
+    return R.unpivoted(library(spark, sf, lib), "name", _PROPS).select("name", "property", F.round(F.col("value").cast("double"), 3).alias("value"), "unit")
 
 
 @query("n20_value_and_unit", "SELECT c_custkey AS k, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE c_acctbal END AS v FROM customer")
@@ -266,8 +270,8 @@ _NEW = f"SELECT name, density + CASE WHEN density > 20 THEN 0.5 ELSE 1e-9 END AS
 
 
 @query("n21_tolerant_diff", f"SELECT n.name, round(n.density, 6) AS density, n.soft_temperature FROM ({_NEW}) n JOIN ({plain(LIBRARY)}) o USING (name) WHERE abs(n.density - o.density) > 1e-6 OR (n.soft_temperature IS NULL) <> (o.soft_temperature IS NULL)")
-def _(spark, sf):
-    old = library(spark, sf)
+def _(spark, sf, lib=LIBRARY):
+    old = library(spark, sf, lib)
     new = old.select("name", (F.col("density") + F.when(F.col("density") > 20, 0.5).otherwise(1e-9)).alias("density"), F.when(F.col("density") < 5, None).otherwise(F.col("soft_temperature")).alias("soft_temperature"))
     return R.changed(old, new, "name", ["density", "soft_temperature"]).select("name", F.round("density", 6).alias("density"), "soft_temperature")
 
@@ -318,8 +322,8 @@ def _(spark, sf):
 
 
 @query("n26_material_identity", f"SELECT count(*) AS n, count(DISTINCT name) AS n_ids FROM ({plain(LIBRARY)})")
-def _(spark, sf):
-    return library(spark, sf).select(M.identity("name", "density", "color").alias("i")).agg(F.count("*").alias("n"), F.count_distinct("i").alias("n_ids"))
+def _(spark, sf, lib=LIBRARY):
+    return library(spark, sf, lib).select(M.identity("name", "density", "color").alias("i")).agg(F.count("*").alias("n"), F.count_distinct("i").alias("n_ids"))
 
 
 @query("n27_inferred_roles", f"SELECT o.object_id, CASE WHEN o.material_type = 'gradient' AND count(DISTINCT n.material) >= 2 THEN 'gradient' WHEN o.material_type = 'isolation' THEN 'support' WHEN o.material IS NOT NULL THEN 'part' ELSE 'ignore' END AS role FROM ({_OBJECTS}) o LEFT JOIN ({BOTH}) e ON e.a = o.object_id LEFT JOIN ({_OBJECTS}) n ON n.object_id = e.b GROUP BY o.object_id, o.material_type, o.material")
@@ -339,3 +343,18 @@ def _(spark, sf):
 #: The same over the pairs that meet in any order.
 for _name in ("f12_object_status", "a12_status_buckets", "f13_gradient_eligible", "j18_include_exclude", "j19_opposite_roles", "n12_restrictions", "n27_inferred_roles"):
     query(f"{_name}_whole", ORACLES[_name].replace(GRAPH, plain(MEETINGS)))(partial(QUERIES[_name], graph=MEETINGS))
+
+
+#: Changes of all parts: those of some sizes are new names.
+WHOLE_CHANGES = "SELECT CASE WHEN p_size % 5 = 0 THEN CONCAT('M', p_partkey, '_new') ELSE CONCAT('M', p_partkey) END AS name, 'white' AS color, CASE WHEN p_partkey % 2 = 0 THEN 1.5D END AS density FROM {part}"
+
+for _name in ("j15_material_properties", "n10_property_records", "n19_unpivot_properties", "n21_tolerant_diff", "n26_material_identity"):
+    query(f"{_name}_whole", ORACLES[_name].replace(plain(LIBRARY), plain(WHOLE_LIBRARY)))(partial(QUERIES[_name], lib=WHOLE_LIBRARY))
+for _name in ("j17_upsert_library", "n11_remove_material"):
+    _sql = ORACLES[_name].replace(duck(CHANGES), duck(WHOLE_CHANGES)).replace(_SLIM, _SLIM.replace(plain(LIBRARY), plain(WHOLE_LIBRARY))).replace(plain(LIBRARY), plain(WHOLE_LIBRARY))
+    query(f"{_name}_whole", _sql)(partial(QUERIES[_name], lib=WHOLE_LIBRARY, changes=WHOLE_CHANGES))
+
+
+@query("f15_new_names_whole", f"SELECT name FROM ({plain(WHOLE_CHANGES)}) WHERE name NOT IN (SELECT name FROM ({plain(WHOLE_LIBRARY)}))")
+def _(spark, sf):
+    return R.new_names(built(spark, sf, WHOLE_CHANGES).select("name"), library(spark, sf, WHOLE_LIBRARY))

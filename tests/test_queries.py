@@ -56,6 +56,18 @@ def test_components_are_those_of_the_whole_mesh(spark):
     assert {r.id: r.component for r in QUERIES["g5_repair_order"](spark, SF).collect()} == linked
 
 
+def test_library_queries_see_all_parts(spark):
+    sf = "/root/testdata/sf0.01"  # more parts than the small library has
+    part = {r.p_partkey: r.p_size for r in spark.read.parquet(f"{sf}/part.parquet").collect()}
+    names, fresh = {f"M{k}" for k in part}, {f"M{k}_new" for k, size in part.items() if size % 5 == 0}
+    got = lambda name: {r["name"] for r in QUERIES[name](spark, sf).select("name").collect()}
+    assert len(names) > 400 and fresh
+    assert got("n10_property_records_whole") == got("n19_unpivot_properties_whole") == names
+    assert got("f15_new_names_whole") == fresh and got("j17_upsert_library_whole") == names | fresh
+    assert got("n11_remove_material_whole") == {x.removesuffix("_new") for x in fresh}
+    assert QUERIES["n26_material_identity_whole"](spark, sf).first().n == len(part)
+
+
 def test_entry(spark):
     import __spark_entry__
 
