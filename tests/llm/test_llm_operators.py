@@ -325,6 +325,22 @@ def test_network_learns_and_redacts(spark):
     assert rows == ["my key is [SECRET] ok, [SECRET] then", "plain", None]
 
 
+def test_network_sees_the_end_of_a_long_run(spark):
+    for n in (16, 48, 49, 72, 73, 500):
+        cover = secrets.parts(3, 3 + n)
+        assert cover[0][0] == 3 and cover[-1][1] == 3 + n and all(b - a <= secrets.INSIDE and c <= b for (a, b), (c, _) in zip(cover, [*cover[1:], cover[-1]], strict=True))
+
+    class Digits(secrets.Network):
+        def score(self, x):
+            return (x[:, secrets.BEFORE : secrets.BEFORE + secrets.INSIDE] == ord("7")).mean(1)
+
+    network = Digits()
+    network.threshold = 0.15
+    text = "see " + "services/hooks/incoming/team/" * 4 + "Q7x7Z7k7P7w7T7m7R7" + " now"
+    assert [(s, e, k) for s, e, k, _ in secrets.scan(text.encode(), network)] == [(4, len(text) - 4, "network")]
+    assert not secrets.scan(text[:110].encode(), network)
+
+
 # --- 10 ---
 
 
