@@ -341,6 +341,22 @@ def test_network_sees_the_end_of_a_long_run(spark):
     assert not secrets.scan(text[:110].encode(), network)
 
 
+def test_negatives_come_from_whole_texts():
+    import pyarrow as pa
+
+    text = "word " * 1200 + "late-run_of_signs " + "word " * 3
+    text += "x" * (1 - len(text) % 16 if len(text) % 16 == 0 else 0)
+    found = [(r["label"], r["window"]) for b in secrets._labelled(iter([pa.RecordBatch.from_pydict({"text": [text]})])) for r in b.to_pylist()]
+    assert (0, secrets.window(text, 6000, 6017)) in found
+    assert all(label == 0 for label, _ in found) and any(b"of/signs" in w for _, w in found)
+
+
+def test_few_findings_are_enough_for_the_network(spark):
+    rows = [f"{prose(k, 40)} token={hashlib.sha256(bytes([k])).hexdigest()[:20]} {prose(50 + k, 40)}" for k in range(5)]
+    assert secrets.fit(docs(spark, rows)).threshold <= 1
+    assert secrets.fit(docs(spark, [prose(1, 40)])).threshold > 1
+
+
 # --- 10 ---
 
 
