@@ -2,7 +2,8 @@
 
 A model holds, for each language, the probabilities of hashed byte n-grams, from counts over all training rows. A document
 is a mixture: expectation-maximisation estimates the languages' proportions from the n-grams' likelihoods, and the set of
-languages is the one with the best penalised likelihood, found by dropping the smallest share as long as that pays.
+languages is the one with the best penalised likelihood of those that dropping the smallest share, one after the other,
+leads through, and of the best single language.
 
 Null texts and texts without a letter are "und", with score 0 and no shares; so is everything if no row has a language.
 Ties go to the language that sorts first. Repeated rows count each; only text, lang and the id's hash are read.
@@ -87,19 +88,17 @@ def infer(h: np.ndarray, names: list[str], table: np.ndarray, penalty: float = P
     top = logs.max(1, keepdims=True)
     p = np.exp(logs - top)
     alone = n @ (logs - top)
-    chosen = np.arange(len(names))
-    shares, fit = mixture(p, n, rounds)
-    first, best = shares, int(np.argmax(alone))
-    if alone[best] + penalty * (len(names) - 1) >= fit:
+    left = np.arange(len(names))
+    now, fit = mixture(p, n, rounds)
+    first, best = now, int(np.argmax(alone))
+    chosen, shares, value = left, now, fit - penalty * len(left)
+    while len(left) > 2:
+        left = np.delete(left, int(np.argmin(now)))
+        now, fit = mixture(p[:, left], n, rounds)
+        if fit - penalty * len(left) >= value:
+            chosen, shares, value = left, now, fit - penalty * len(left)
+    if alone[best] - penalty >= value:
         chosen, shares = np.array([best]), np.ones(1)
-    else:
-        value = fit - penalty * len(chosen)
-        while len(chosen) > 1:
-            fewer = np.delete(chosen, int(np.argmin(shares)))
-            got, fit = mixture(p[:, fewer], n, rounds)
-            if fit - penalty * len(fewer) < value:
-                break
-            chosen, shares, value = fewer, got, fit - penalty * len(fewer)
     k = int(np.argmax(shares))
     return names[chosen[k]], float(min(1.0, first[chosen[k]] if len(chosen) == 1 else shares[k])), [(names[i], float(s)) for i, s in zip(chosen, shares, strict=True)]
 

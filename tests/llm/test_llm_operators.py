@@ -193,6 +193,20 @@ def test_language_on_held_out_rows(spark):
     assert np.mean([r.lang_pred == r.lang for r in rows]) > 0.97
 
 
+def test_a_short_passage_in_a_second_language_counts():
+    names, table = list("abcd"), np.full((8, 4), 1e-6)
+    for k in range(4):
+        table[2 * k : 2 * k + 2, k] = 0.5
+    h, table = np.array([0, 1] * 100 + [2, 3] * 3), np.log(table)
+    at, n = np.unique(h, return_counts=True)
+    n = n / language.REPEATED
+    fit = lambda columns: language.mixture(np.exp(table[at][:, columns]), n, 8)[1] - language.PENALTY * len(columns)
+    assert fit([0, 1]) > max(fit([0]), fit([0, 1, 2]), fit([0, 1, 2, 3])) and fit([0, 1]) - fit([0]) < language.PENALTY * 2
+    lang, _, shares = language.infer(h, names, table)
+    assert lang == "a" and [x for x, _ in shares] == ["a", "b"]
+    assert [x for x, _ in language.infer(h[:200], names, table)[2]] == ["a"]
+
+
 def test_language_mixtures(spark):
     rows = spark.createDataFrame([("en", prose(1, 400)), ("xx", "ωψχ φυτσ " * 300), (None, "abc")], "lang string, text string")
     names, table = language.train(rows)
