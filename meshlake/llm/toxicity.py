@@ -54,8 +54,8 @@ def distinct_words(text: bytes | None) -> set[str]:
 
 def patterns(text: str, n_hits: int) -> list[int]:
     """Votes of voters that look at the form of the text, not at a lexicon."""
-    letters = sum(map(str.isalpha, text[:4000]))
-    capitals = sum(map(str.isupper, text[:4000]))
+    letters = sum(map(str.isalpha, text))
+    capitals = sum(map(str.isupper, text))
     return [
         1 if re.search(r"\b(?:you|your|tu|du|usted|vous)\b[^.!?\n]{0,20}[!]{1,3}", text, re.I) and n_hits else 0,
         1 if n_hits and letters and capitals > 0.6 * letters else 0,

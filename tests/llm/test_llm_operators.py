@@ -172,6 +172,11 @@ def test_toxicity_on_held_out_rows(spark):
     assert np.mean(caught) > 0.8 and np.mean(clean) < 0.01
 
 
+def test_capitals_count_over_the_whole_text():
+    calm, loud = "calm " * 1000, "LOUD " * 3000
+    assert [toxicity.patterns(t, 1)[1] for t in (calm + loud, loud[:5000] + calm * 3, calm)] == [1, 0, 0]
+
+
 def test_toxicity_without_evidence(spark):
     d, none = docs(spark, [None, "", "fine words"]), spark.createDataFrame([], "doc_id long, toxic int")
     found, name = toxicity.toxicity(d, toxicity.fit(d, none))
