@@ -2,20 +2,32 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 #: Bytes of text that one call of an operator's function gets, unless one text alone is longer.
 BATCH_BYTES = 4 << 20
+#: Bytes of one Arrow batch on its way to a Python worker, of which the executor and the worker hold a copy or two each.
+ARROW_BYTES = 4 << 20
+_ARROW = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 Texts = list[bytes | None]
 
 
+def bounded(spark: SparkSession) -> None:
+    """From now on the session's Arrow batches have ARROW_BYTES at most (and a row at least); a smaller bound of its own stays."""
+    number, unit = re.fullmatch(r"(\d+)\s*([bkmg]?)b?", spark.conf.get(_ARROW).lower()).groups()
+    bytes_ = int(number) << 10 * "bkmg".index(unit or "b")
+    if not 0 < bytes_ <= ARROW_BYTES:
+        spark.conf.set(_ARROW, str(ARROW_BYTES))
+
+
 def free_name(df: DataFrame, wish: str) -> str:
     """wish, or wish with underscores where the table has such a column already."""
     taken = {c.lower() for c in df.columns}
@@ -43,6 +55,7 @@ def as_bytes(column: pa.Array) -> Texts:
 def annotate(df: DataFrame, text: str, fields: T.StructType, make: Callable[[], Callable[[Texts], list[tuple]]], keep: list[str] | None = None, name: str = "found", limit: int = BATCH_BYTES) -> tuple[DataFrame, str]:
     """The kept columns of df (all, if None) and a struct column of what the function made by make() returns for
     each text (UTF-8 bytes, or None for null). The struct's name never clashes with a column of df; it's returned."""
+    bounded(df.sparkSession)
     columns = df.columns if keep is None else keep
     name = free_name(df, name)
     kept = [F.col(f"`{c}`") for c in columns]
@@ -66,5 +79,14 @@ def annotate(df: DataFrame, text: str, fields: T.StructType, make: Callable[[],
     return passed.mapInArrow(run, schema), name
 
 
+def smallest(rows: DataFrame, hashed: Column, most: int) -> DataFrame:
+    """Of rows (of ids, not texts) the ones with the smallest 64-bit hashes, at most so many, ties by the columns. Where there are far more,
+    what surely isn't among them is left out before the sort, so that one task never gets the best of every other one."""
+    total = rows.count()
+    if total > 4 * most:
+        rows = rows.where(hashed < F.lit(int(-(1 << 63) + (1 << 65) * most // total)))  # about twice as many are left
+    return rows.orderBy(hashed, *rows.columns).limit(most)
+
+
 def read(spark, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
