@@ -6,8 +6,10 @@ Spark commits, names it, so what a lost executor or a second attempt leaves is n
 body of its HTTP block. Of records with equal payloads the one with the smallest id is the response; the others are
 revisits, with the HTTP headers only, whose Content-Length is the full payload's.
 
-Null html is an empty payload. Rows without an id, and rows that share the smallest id, are responses. Null urls are
-written as about:blank, and control characters and blanks in urls are escaped. Only id, url and html are read.
+Null html is an empty payload. Every row is one record. Rows without an id are responses, and so are all rows that share
+the smallest id of a payload; rows that share an id but not the payload are told apart by their payloads, each a response or
+a revisit of the smallest id with the same one. Null urls are written as about:blank, and control characters and blanks in
+urls are escaped. Empty tables give empty archives and no rows. Only id, url and html are read.
 """
 
 from __future__ import annotations
@@ -21,12 +23,12 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from meshlake.llm.texts import read
+from meshlake.llm.texts import bounded, read
 from meshlake.session import Scratch
 
 ARCHIVE_BYTES, LEVEL = 256 << 20, 3
@@ -75,18 +77,24 @@ def parsed(data: bytes) -> tuple:
 
 
 def first_copies(pages: DataFrame, page_id: str, html: str, min_bytes: int) -> DataFrame:
-    """page_id of each revisit, and the smallest page_id with the same payload. Ids and digests are shuffled, no html."""
-    body = F.coalesce(F.col(f"`{html}`").cast("string"), F.lit("")).cast("binary")
+    """(copy, sha, first): page_id and payload of each revisit, and the smallest page_id with this payload. Ids and digests
+    are shuffled, no html."""
+    body = payload_of(html)
     known = pages.where(F.col(f"`{page_id}`").isNotNull() & (F.octet_length(body) >= min_bytes)).select(F.col(f"`{page_id}`").cast("long").alias("copy"), F.sha1(body).alias("sha"))
-    firsts = known.groupBy("sha").agg(F.min("copy").alias("first"), F.max("copy").alias("last")).where("first < last")
-    return known.join(firsts, "sha").where("copy > first").select("copy", "first").distinct()
+    firsts = known.groupBy("sha").agg(F.min("copy").alias("first"), F.max("copy").alias("last")).where("first < last").select("sha", "first")
+    return known.join(firsts, "sha").where("copy > first").select("copy", "sha", "first").distinct()
+
+
+def payload_of(html: str) -> Column:
+    return F.coalesce(F.col(f"`{html}`").cast("string"), F.lit("")).cast("binary")
 
 
 def write(pages: DataFrame, scratch: Scratch, page_id: str = "page_id", url: str = "url", html: str = "html", min_bytes: int = 0, date: str = "1970-01-01T00:00:00Z", archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """Writes one record a row; returns the index. The revisits are a table first, so that their measured size, and not
     a guess, decides whether they are broadcast or joined by a shuffle."""
+    bounded(pages.sparkSession)
     copies = scratch.write(first_copies(pages, page_id, html, min_bytes), "copies")
-    rows = pages.select(F.col(f"`{page_id}`").cast("long").alias("copy"), F.col(f"`{url}`").cast("string").alias("url"), F.col(f"`{html}`").cast("string").alias("html")).join(copies, "copy", "left").select("copy", "url", "html", "first")
+    rows = pages.select(F.col(f"`{page_id}`").cast("long").alias("copy"), F.col(f"`{url}`").cast("string").alias("url"), F.col(f"`{html}`").cast("string").alias("html"), F.sha1(payload_of(html)).alias("sha")).join(copies, ["copy", "sha"], "left").select("copy", "url", "html", "first")
     jvm = pages.sparkSession._jvm
     path = jvm.org.apache.hadoop.fs.Path(f"{scratch.root}/archives")
     folder = path.getFileSystem(pages.sparkSession._jsc.hadoopConfiguration()).makeQualified(path).toString()
