@@ -6,12 +6,11 @@ languages is the one with the best penalised likelihood of those that dropping t
 leads through, and of the best single language.
 
 Null texts and texts without a letter are "und", with score 0 and no shares; so is everything if no row has a language.
-Ties go to the language that sorts first. Repeated rows count each; only text, lang and the id's hash are read.
+Ties go to the language that sorts first. An empty table gives no rows. Repeated rows count each; only text, lang and the id's hash are read.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,12 +19,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from meshlake.llm.texts import annotate, as_bytes, read
+from meshlake.llm.texts import annotate, as_bytes, bounded, read
 
 BITS, ORDERS = 16, (3, 4)
 #: Each letter is in so many n-grams, so their likelihoods count by the inverse; what a further language must gain.
 REPEATED, PENALTY = float(sum(ORDERS)), 3.0
-_LETTER = re.compile(r"[^\W\d_]")
 _PLAIN = bytes(32 if b < 128 and not chr(b).isalpha() else b for b in range(256))
 _FACTORS = (np.array([40503, 30011, 51437, 60493], np.uint32), np.array([7919, 48611, 22307, 36809], np.uint32))
 
@@ -35,7 +33,7 @@ FIELDS = T.StructType([T.StructField("lang", T.StringType()), T.StructField("sco
 def grams(text: bytes | None) -> np.ndarray | None:
     """Buckets of the n-grams of the lower-case text, non-letters as single blanks; None without a letter."""
     lower = (text or b"").decode().lower()
-    if not _LETTER.search(lower):
+    if not any(map(str.isalpha, lower)):  # numerals and signs that regular expressions take for word characters aren't letters
         return None
     form = np.frombuffer(b" " + b" ".join(lower.encode().translate(_PLAIN).split()) + b" ", np.uint8).astype(np.uint32)
     out = []
@@ -63,6 +61,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(rows: DataFrame, lang: str = "lang", text: str = "text") -> tuple[list[str], np.ndarray]:
     """(languages, log P(bucket | language) of shape buckets x languages). Counts cover all rows; what comes to the
     driver is one number for a language and bucket."""
+    bounded(rows.sparkSession)
     known = rows.where(F.col(f"`{lang}`").isNotNull()).select(F.col(f"`{lang}`").cast("string").alias("lang"), F.col(f"`{text}`").cast("string").alias("text"))
     sums = known.mapInArrow(_counted, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     names = sorted(set(sums.column("lang").to_pylist()))
