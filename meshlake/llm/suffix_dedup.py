@@ -17,7 +17,9 @@ they are, so nothing is lost by looking only at windows whose anchor's 40 bytes
 Texts and what is found about them meet by the id's share of the table: packed arrays come first, then the texts.
 
 Null and empty texts are empty. Texts under 100 bytes keep all. Rows without an id match nothing and keep all; rows that
-repeat an id and text are one document and don't repeat each other. Only the id and the text are read.
+repeat an id and text are one document and don't repeat each other. Rows that share an id but not the text are documents of
+their own, the one with the smaller SHA-256 of its text before the other. An empty table gives no rows. Only the id and the
+text are read.
 """
 
 from __future__ import annotations
@@ -30,12 +32,12 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from meshlake.llm.texts import as_bytes, read
+from meshlake.llm.texts import as_bytes, bounded, read, smallest
 from meshlake.session import Scratch
 
 LENGTH, ANCHOR = 100, 40
@@ -43,6 +45,8 @@ LENGTH, ANCHOR = 100, 40
 SPAN, LEFT = LENGTH - ANCHOR + 1, LENGTH - ANCHOR
 #: Anchors, or strings, that a task holds before it sends a run; bytes of a text in one piece; sampled strings a range.
 CHUNK, RUN, PIECE, SAMPLED = 1 << 19, 1 << 17, 1 << 22, 48
+#: Rows of a run that are unpacked at once when runs are merged; bytes of text for each part of the table.
+FRAME, PART_BYTES = 1 << 12, 32 << 20
 #: Different suffixes at one anchor that are held against each other in pairs.
 GROUP = 48
 #: Ids of documents with repeats that are broadcast, at most, so that the other texts need not be shuffled once more.
@@ -268,30 +272,38 @@ def common(a: bytes, b: bytes, start: int) -> int:
 
 
 def encoded(rows: list[tuple[bytes, int, int, int]]) -> bytes:
-    """A sorted run: shared lengths, rest lengths, ids, two numbers a row, and the rests of the strings."""
-    shared, rests, last = [], [], b""
-    for s, *_ in rows:
-        k = common(last, s, 0)
-        shared.append(k)
-        rests.append(s[k:])
-        last = s
-    numbers = [np.array(shared, np.uint8), np.array([len(r) for r in rests], np.uint8), np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows], np.uint32), np.array([r[3] for r in rows], np.uint32)]
-    return zstandard.compress(len(rows).to_bytes(4, "big") + b"".join(x.tobytes() for x in numbers) + b"".join(rests), 6)
+    """A sorted run, in frames of FRAME rows: shared lengths, rest lengths, ids, two numbers a row, and the rests of the strings."""
+    frames, last = [], b""
+    for start in range(0, len(rows), FRAME):
+        part = rows[start : start + FRAME]
+        shared, rests = [], []
+        for s, *_ in part:
+            k = common(last, s, 0)
+            shared.append(k)
+            rests.append(s[k:])
+            last = s
+        numbers = [np.array(shared, np.uint8), np.array([len(r) for r in rests], np.uint8), np.array([r[1] for r in part], np.int64), np.array([r[2] for r in part], np.uint32), np.array([r[3] for r in part], np.uint32)]
+        frame = zstandard.compress(len(part).to_bytes(4, "big") + b"".join(x.tobytes() for x in numbers) + b"".join(rests), 6)
+        frames += [len(frame).to_bytes(4, "big"), frame]
+    return b"".join(frames)
 
 
 def decoded(data: bytes) -> Run:
-    """(bytes shared with the row before, string, (id, a, b)) of a run, one at a time."""
-    data = zstandard.decompress(data)
-    n, at, columns = int.from_bytes(data[:4], "big"), 4, []
-    for kind in (np.uint8, np.uint8, np.int64, np.uint32, np.uint32):
-        size = n * np.dtype(kind).itemsize
-        columns.append(np.frombuffer(data[at : at + size], kind).tolist())
-        at += size
-    last = b""
-    for k, rest, *payload in zip(*columns, strict=True):
-        last = last[:k] + data[at : at + rest]
-        at += rest
-        yield k, last, tuple(payload)
+    """(bytes shared with the row before, string, (id, a, b)) of a run, one at a time; one frame at a time is unpacked."""
+    last, start = b"", 0
+    while start < len(data):
+        size = int.from_bytes(data[start : start + 4], "big")
+        frame = zstandard.decompress(data[start + 4 : start + 4 + size])
+        start += 4 + size
+        n, at, columns = int.from_bytes(frame[:4], "big"), 4, []
+        for kind in (np.uint8, np.uint8, np.int64, np.uint32, np.uint32):
+            width = n * np.dtype(kind).itemsize
+            columns.append(np.frombuffer(frame[at : at + width], kind).tolist())
+            at += width
+        for k, rest, *payload in zip(*columns, strict=True):
+            last = last[:k] + frame[at : at + rest]
+            at += rest
+            yield k, last, tuple(payload)
 
 
 def merged(runs: list[Run]) -> Run:
@@ -532,9 +544,10 @@ def repeated_starts(source: DataFrame, scratch: Scratch) -> tuple[DataFrame, int
     """First and last starts of windows that also start earlier, ready to be delivered to the texts of (id, text), and the
     number of parts."""
     spark = source.sparkSession
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    size = source.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
     chosen = source.where("id IS NOT NULL").select(F.xxhash64("id").alias("h"), F.expr(f"substring(text, cast(1 + pmod(xxhash64(id, 1), greatest(length(text) - {ANCHOR}, 1)) as int), {ANCHOR})").alias("s"))
-    sample = sorted(r["s"].encode() for r in chosen.where("s <> ''").orderBy("h", "s").limit(SAMPLED * parts).collect())
+    sample = sorted(r["s"].encode() for r in smallest(chosen.where("s <> ''"), F.col("h"), SAMPLED * parts).collect())
     splitters = sorted({sample[len(sample) * k // parts] for k in range(1, parts)}) if sample else []
     ranges = len(splitters) + 1
     known = source.where("id IS NOT NULL")
@@ -544,10 +557,38 @@ def repeated_starts(source: DataFrame, scratch: Scratch) -> tuple[DataFrame, int
     return scratch.write(windows.repartitionById(ranges, F.col("part")).mapInArrow(_starts(parts), DELIVERED), "starts"), parts
 
 
+def numbered(source: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame | None]:
+    """(id, text) in which an id stands for one text, and (id, own) if that took new ids: the numbers of the distinct (id, digest)
+    in order. Ids that have several texts are rare; without them nothing but ids and hashes is shuffled, and nothing changes."""
+    body = F.coalesce("text", F.lit(""))
+    known = source.where("id IS NOT NULL").select("id", F.sha2(body.cast("binary"), 256).alias("sha"))
+    hashes = source.where("id IS NOT NULL").select("id", F.xxhash64(body).alias("h"), F.xxhash64(F.lit(1), body).alias("g"))
+    several = hashes.groupBy("id").agg(*(f(c).alias(f"{n}_{c}") for c in "hg" for n, f in (("low", F.min), ("high", F.max)))).where("low_h <> high_h OR low_g <> high_g")
+    if several.isEmpty():
+        return source, None
+    pairs = scratch.write(known.distinct().repartitionByRange("id", "sha").sortWithinPartitions("id", "sha").select(F.spark_partition_id().alias("part"), "id", "sha"), "pairs")
+    sizes = pairs.groupBy("part").agg(F.count("*").alias("n"))
+    before = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))  # a row for each part
+    place = F.row_number().over(Window.partitionBy("part").orderBy("id", "sha"))
+    numbers = scratch.write(pairs.join(F.broadcast(before), "part").select("id", "sha", (F.col("before") + place).alias("number")), "numbers")
+    with_sha = source.withColumn("sha", F.sha2(body.cast("binary"), 256))
+    return with_sha.join(numbers, ["id", "sha"], "left").select(F.col("number").alias("id"), "text"), numbers.select(F.col("number").alias("id"), F.col("id").alias("own"))
+
+
 def repeats(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id and a struct "repeats": n_bytes, n_removed, spans (removed bytes), kept_sha256."""
     scratch = Scratch(documents.sparkSession, "suffix-dedup")
-    source = documents.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
+    bounded(documents.sparkSession)
+    plain = documents.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
+    source, own = numbered(plain, scratch)
+    found = found_repeats(source, scratch)
+    if own is not None:
+        found = found.join(own, "id", "left").select(F.col("own").alias("id"), "repeats")
+    return found.select(F.col("id").alias(doc_id), "repeats")
+
+
+def found_repeats(source: DataFrame, scratch: Scratch) -> DataFrame:
+    """id and the struct, of (id, text) in which an id stands for one text."""
     starts, parts = repeated_starts(source, scratch)
     struct = to_arrow_type(FIELDS)
 
@@ -566,9 +607,9 @@ def repeats(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
                 continue
             rows = [cut(t, pairs) for _, t, pairs in found]
             made = pa.StructArray.from_arrays([pa.array([r[i] for r in rows], type=struct.field(i).type) for i in range(struct.num_fields)], fields=list(struct))
-            yield pa.RecordBatch.from_arrays([pa.array([doc for doc, *_ in found], pa.int64()), made], names=[doc_id, "repeats"])
+            yield pa.RecordBatch.from_arrays([pa.array([doc for doc, *_ in found], pa.int64()), made], names=["id", "repeats"])
 
-    schema = T.StructType([T.StructField(doc_id, T.LongType()), T.StructField("repeats", FIELDS)])
+    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("repeats", FIELDS)])
     hit = scratch.write(starts.select("part", "packed").repartitionById(parts, F.col("part")).mapInArrow(ids, "id long"), "hit")
     if hit.count() > BROADCAST_IDS:
         return delivered(source, starts, parts).mapInArrow(run, schema)
