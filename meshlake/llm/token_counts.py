@@ -4,7 +4,7 @@ Texts are cut into parts of bounded size, at places where the tokenizer's own sp
 blank between two ASCII letters starts a new pre-token, so no token reaches across. The parts are encoded in
 batches of equal bytes, however long or short the texts are, and a text's count is the sum over its parts. A text
 without such a place stays whole. Null counts as empty; empty texts have no tokens; rows keep their order and
-repeated rows their own counts; only the id and the text are read.
+repeated rows their own counts; an empty table gives no rows; only the id and the text are read.
 """
 
 from __future__ import annotations
@@ -67,8 +67,9 @@ def counts(texts: list[bytes | None], path: str, size: int = PART_CHARS, batch:
             owner.append(k)
             pieces.append(p)
     totals = [0] * len(texts)
-    order = sorted(range(len(pieces)), key=lambda i: len(pieces[i]))
-    for a, b in slices((len(pieces[i]) for i in order), batch) if order else ():
+    size_of = [len(p) if p.isascii() else len(p.encode()) for p in pieces]
+    order = sorted(range(len(pieces)), key=size_of.__getitem__)
+    for a, b in slices((size_of[i] for i in order), batch) if order else ():
         for i, n in zip(order[a:b], encode([pieces[i] for i in order[a:b]]), strict=True):
             totals[owner[i]] += n
     return [(len(t or b""), n) for t, n in zip(texts, totals, strict=True)]
