@@ -5,13 +5,14 @@ UTF-8 sequences as they are. Documents are scanned once, as " w1 w2 ... wn "; th
 the blanks around them, and their offsets in the original text by the same table, which maps byte to byte.
 
 Null and empty texts have no words and aren't contaminated. Items without words, and items whose id is null, have
-no windows. Repeated items count once; repeated documents each have their row. Only the id and the text are read,
+no windows; an empty table gives no rows. Repeated items count once; repeated documents each have their row. Only the id and the text are read,
 so other columns may have any name.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import ahocorasick
@@ -21,10 +22,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from meshlake.llm.texts import annotate, read
-from meshlake.session import Scratch
 
 WINDOW = 13
-#: Characters of windows in one automaton, which takes some 50 bytes a character; more windows make more automata.
+#: Characters of windows in one automaton, which takes some 50 bytes a character, and in one broadcast; more windows make more
+#: automata, all of them in the same pass over the texts.
 AUTOMATON_CHARS = 4_000_000
 _FORM = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 
@@ -33,7 +34,6 @@ FIELDS = T.StructType([
     T.StructField("items", T.ArrayType(T.StringType())),
     T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))),
     T.StructField("contaminated", T.BooleanType()),
-    T.StructField("hit_words", T.ArrayType(T.LongType())),
 ])
 
 
@@ -68,25 +68,24 @@ def automaton(block: list[tuple[str, list[str]]]) -> ahocorasick.Automaton:
     return made
 
 
-def scan(text: bytes | None, search, percent: int, before: tuple[list[int], list[str]] = ([], [])) -> tuple:
-    """One document's row. before: words hit and items found by the automata of earlier blocks."""
+def scan(text: bytes | None, automata: list, percent: int) -> tuple:
+    """One document's row."""
     w = words(text)
-    hit, items = np.zeros(len(w) + 1, np.int64), set(before[1])
-    hit[list(before[0])] = 1
-    if w and search is not None:
+    hit, items = np.zeros(len(w), bool), set()
+    if w and automata:
         form = b" " + b" ".join(w) + b" "
-        blanks = None
-        seen = set()
-        steps = np.zeros(len(w) + 2, np.int64)
-        for end, (k, size, ids) in search.iter(form.decode("latin-1")):
-            blanks = np.flatnonzero(np.frombuffer(form, np.uint8) == 32) if blanks is None else blanks
-            first, last = np.searchsorted(blanks, (end - size + 1, end))
-            steps[first] += 1
-            steps[last] -= 1
-            if k not in seen:
-                seen.add(k)
-                items.update(ids)
-        hit[: len(w)] |= (np.cumsum(steps)[: len(w)] > 0).astype(np.int64)
+        plain, blanks = form.decode("latin-1"), None
+        steps, seen = np.zeros(len(w) + 2, np.int64), set()
+        for n, search in enumerate(automata):
+            for end, (k, size, ids) in search.iter(plain):
+                blanks = np.flatnonzero(np.frombuffer(form, np.uint8) == 32) if blanks is None else blanks
+                first, last = np.searchsorted(blanks, (end - size + 1, end))
+                steps[first] += 1
+                steps[last] -= 1
+                if (n, k) not in seen:
+                    seen.add((n, k))
+                    items.update(ids)
+        hit = np.cumsum(steps)[: len(w)] > 0
     marked = np.flatnonzero(hit)
     spans = []
     if len(marked):  # back to the original text, in code points
@@ -98,50 +97,36 @@ def scan(text: bytes | None, search, percent: int, before: tuple[list[int], list
         for run in np.split(marked, np.flatnonzero(np.diff(marked) > 1) + 1):
             spans.append({"start": int(starts[run[0]]), "end": int(ends[run[-1]])})
     n = len(marked)
-    return len(w), n, len(items), sorted(items), spans, bool(n and n * 100 >= percent * len(w)), marked.tolist()
+    return len(w), n, len(items), sorted(items), spans, bool(n and n * 100 >= percent * len(w))
+
+
+class Search:
+    """The automata over all blocks of windows, one after another within a document. A worker makes them once, and keeps those
+    of one benchmark."""
+
+    _kept: tuple[str, list] = ("", [])
+
+    def __init__(self, shared: list):
+        self.shared, self.key = shared, uuid.uuid4().hex
+
+    def automata(self) -> list:
+        if Search._kept[0] != self.key:
+            Search._kept = ("", [])  # the former ones go first
+            Search._kept = (self.key, [automaton(b.value) for b in self.shared if b.value])
+        return Search._kept[1]
 
 
 def contamination(documents: DataFrame, benchmark: DataFrame, doc_id: str | None = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, percent: int = 5, chars: int = AUTOMATON_CHARS) -> tuple[DataFrame, str]:
     """doc_id (all columns, if None) and a struct: n_words, n_hit, n_items, items, spans (code points of the original
-    text), contaminated (at least percent of the words hit), hit_words. Benchmarks beyond one automaton's bound are
-    scanned for in further passes, each of which starts from what the ones before have found."""
-    spark = documents.sparkSession
-    out, name, scratch, k = None, "", None, 0
-    made = blocks(benchmark, item_id, item_text, window, chars)
-    block, after = next(made), next(made, None)
-    while block is not None:
-        shared = spark.sparkContext.broadcast(block)
-        if out is None:
-            kept = None if doc_id is None else [doc_id] + [text] * (after is not None)  # further passes read the text again
-
-            def make(shared=shared):
-                search = automaton(shared.value) if shared.value else None
-                return lambda texts: [scan(t, search, percent) for t in texts]
-
-            out, name = annotate(documents, text, FIELDS, make, kept, "contamination")
-        else:
-            scratch = scratch or Scratch(spark, "decontaminate")
-            out = _again(scratch.write(out, f"block-{k}"), text, name, shared, percent)
-        block, after, k = after, next(made, None), k + 1
-    return out if doc_id is None else out.select(doc_id, name), name
-
-
-def _again(table: DataFrame, text: str, name: str, shared, percent: int) -> DataFrame:
-    import pyarrow as pa
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    struct = to_arrow_type(FIELDS)
-
-    def run(batches):
-        search = automaton(shared.value)
-        for batch in batches:
-            at, had = batch.schema.get_field_index(name), batch.column(batch.schema.get_field_index(name)).to_pylist()
-            texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
-            rows = [scan(t.encode() if t is not None else None, search, percent, (h["hit_words"], h["items"])) for t, h in zip(texts, had, strict=True)]
-            made = pa.StructArray.from_arrays([pa.array([r[i] for r in rows], type=struct.field(i).type) for i in range(struct.num_fields)], fields=list(struct))
-            yield pa.RecordBatch.from_arrays([made if i == at else c for i, c in enumerate(batch.columns)], names=batch.schema.names)
-
-    return table.mapInArrow(run, table.schema)
+    text), contaminated (at least percent of the words hit). The windows are broadcast in blocks of bounded size."""
+    context = documents.sparkSession.sparkContext
+    search = Search([context.broadcast(b) for b in blocks(benchmark, item_id, item_text, window, chars)])
+
+    def make():
+        automata = search.automata()
+        return lambda texts: [scan(t, automata, percent) for t in texts]
+
+    return annotate(documents, text, FIELDS, make, None if doc_id is None else [doc_id], "contamination")
 
 
 def op1_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:
