@@ -1,13 +1,15 @@
 """Toxicity by weak supervision.
 
-Lexicons are mined from a bounded sample of labelled training rows: words and word beginnings that toxic texts have far
-oftener than others. Together with fixed patterns they make many voters, each of which says toxic, not toxic, or
-abstains. A generative label model estimates by expectation-maximisation how accurate the voters are, finds which of them
-vote together beyond what the class explains, and models those jointly, so that five lexicons that see one word don't
-count as five witnesses. A logistic regression is trained on the posterior labels and scores every text.
-
-Scores use the text alone. Null and empty texts score as texts without any evidence. Without labelled rows, or without
-toxic ones, every score is the prior of the rows there are (0 if none). Repeated rows are scored each by itself.
+Lexicons are mined from a bounded sample of labelled training rows: words and word beginnings that toxic texts have, or have
+often, far oftener than others. They are dealt into many lexicons, and with patterns that look at a text's form they make many
+voters, each of which says toxic, not toxic, or abstains; voters that the labels of the sample speak against are left out. That is all that
+labels are used for. A generative label model estimates by expectation-maximisation from the votes alone how
+accurate the voters are, finds which of them vote together beyond what the class explains, and models those jointly, so that five
+lexicons that see one word don't count as five witnesses. A logistic regression on the lexicons' entries and the patterns is trained on the posterior labels and scores every text.
+
+Scores use the text alone. Null and empty texts score as texts without any evidence. Without labelled rows, without
+toxic ones, or without voters, every score is the prior of the rows there are (0 if none). Rows and labels whose id is null teach nothing, and are scored;
+repeated rows are scored each by itself. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,19 +26,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from meshlake.llm.texts import annotate, as_bytes, read
+from meshlake.llm.texts import annotate, as_bytes, bounded, read, smallest
 from meshlake.session import Scratch
 
 #: Labelled rows that lexicons, label model and classifier are fitted on, at most: those with the smallest hashes.
 LABELLED = 8000
 #: Features of the lexicons, at most; toxic rows of the sample that a feature must occur in; least odds ratio; and least
 #: log-likelihood ratio against chance, as a sample has millions of rare words.
-FEATURES, SUPPORT, ODDS, EVIDENCE = 4000, 6, 30.0, 15.0
+FEATURES, SUPPORT, ODDS, EVIDENCE = 4000, 6, 100.0, 15.0
 #: Minimum hashes of word pairs by which near copies in the sample are found: copies would make any of their words evidence.
 COPIES = 8
 BEGINNINGS = (3, 4, 5, 6, 7, 8)
-SHARDS = 4
+#: Lexicons that whole words are dealt into, and beginnings of each length. An entry is frequent in a text that has it twice and once in so
+#: many words. Words from which a text without any entry of a lexicon counts against it.
+SHARDS, HALVES, RATE, ENOUGH = 8, 2, 100, 20
+#: Of the labelled texts that a voter calls toxic, the share that must be, and its least multiple of the share of all.
+RIGHT, LIFT = 0.5, 2.0
+WORDS = 60_000
 _WORD = re.compile(r"[^\W\d_]+")
+#: Patterns of form that vote, each by itself: words of address before an exclamation mark, capitals, and sentences in small letters.
+_ADDRESS = re.compile(r"\b(?:you|your|tu|du|usted|vous)\b[^.!?\n]{0,20}!", re.I)
+_SMALL_START = re.compile(r"(?:^|[.!?]\s+)(?=[^\W\d_])(.)")
+PATTERNS = ("address", "capitals", "small")
 FIELDS = T.StructType([T.StructField("score", T.DoubleType())])
 
 
@@ -48,36 +59,56 @@ def held_out(doc_id) -> F.Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
 
 
-def distinct_words(text: bytes | None) -> set[str]:
-    return set(_WORD.findall((text or b"").decode().lower()))
+def words_of(text: bytes | None) -> Counter[str]:
+    """How often each word occurs; words are runs of letters."""
+    found = Counter(_WORD.findall((text or b"").decode().lower()))
+    for w in [w for w in found if not w.isalpha()]:  # numerals that regular expressions take for word characters
+        n = found.pop(w)
+        for part in "".join(c if c.isalpha() else " " for c in w).split():
+            found[part] += n
+    return found
 
 
-def patterns(text: str, n_hits: int) -> list[int]:
-    """Votes of voters that look at the form of the text, not at a lexicon."""
-    letters = sum(map(str.isalpha, text))
-    capitals = sum(map(str.isupper, text))
-    return [
-        1 if re.search(r"\b(?:you|your|tu|du|usted|vous)\b[^.!?\n]{0,20}[!]{1,3}", text, re.I) and n_hits else 0,
-        1 if n_hits and letters and capitals > 0.6 * letters else 0,
-        1 if n_hits > 1 else 0 if n_hits else -1,
-    ]
+def entries(words: Counter[str]) -> set[str]:
+    """All that a lexicon could have of a text: words and beginnings, and after a "!" those that are frequent."""
+    total, sums = sum(words.values()), Counter()
+    for w, n in words.items():
+        for f in features_of(w):
+            sums[f] += n
+    return {*sums, *(f"!{f}" for f, n in sums.items() if n > 1 and n * RATE >= total)}
 
 
-def votes(text: bytes | None, lexicon: dict[str, int], voters: list[int]) -> tuple[list[int], list[int]]:
-    """(features found, votes): one vote for each lexicon, then those of the patterns."""
-    found = sorted({lexicon[f] for w in distinct_words(text) for f in features_of(w) if f in lexicon})
-    by = {voters[i] for i in found}
-    lexicons = [1 if v in by else 0 if v < SHARDS else -1 for v in range(SHARDS + len(BEGINNINGS))]
-    return found, lexicons + patterns((text or b"").decode(), len(found))
+def pattern(name: str, text: str) -> int:
+    """The vote of a voter that looks at the form of the text."""
+    if name == "address":
+        return int(bool(_ADDRESS.search(text)))
+    if name == "capitals":
+        letters = sum(map(str.isalpha, text))
+        return int(letters >= ENOUGH and sum(map(str.isupper, text)) > 0.6 * letters)
+    starts = _SMALL_START.findall(text)
+    return int(any(map(str.islower, starts)))
+
+
+def voter_of(entry: str) -> str:
+    """The lexicon that an entry belongs to."""
+    often, plain = entry[0] == "!", entry.lstrip("!")
+    return f"{'often' if often else 'any'} {plain[0]} {zlib.crc32(plain.encode()) % (SHARDS if plain[0] == 'w' else HALVES)}"
+
+
+def votes(found: set[int], n_words: int, forms: list[int], owner: list[int], lexicons: int) -> list[int]:
+    """One vote for each lexicon, from the entries found, then those of the patterns. A lexicon that finds nothing where others do
+    abstains: it may be of another language."""
+    by = {owner[i] for i in found}
+    return [1 if v in by else -1 if n_words >= ENOUGH and not by else 0 for v in range(lexicons)] + forms
 
 
 class LabelModel:
     """P(toxic | votes). Voters that vote together given the class, beyond a bound, form groups of up to three, and a group's
-    votes are one outcome; groups are independent given the class."""
+    votes are one outcome; groups are independent given the class, and one that abstains says nothing."""
 
-    def __init__(self, matrix: np.ndarray, start: np.ndarray, bound: float = 0.35, most: int = 3, rounds: int = 25):
+    def __init__(self, matrix: np.ndarray, start: np.ndarray | None = None, bound: float = 0.35, most: int = 3, rounds: int = 25):
         self.groups = [[j] for j in range(matrix.shape[1])]
-        start = np.clip(start, 0.05, 0.95)
+        start = np.where((matrix > 0).any(1), 0.9, 0.05) if start is None else np.clip(start, 0.05, 0.95)
         self.correlation = np.maximum(self._residual(matrix, start), self._residual(matrix, 1 - start))  # before voters that agree can pose as the class
         p = self._fit(matrix, start, rounds)
         self.accuracy = [float(((matrix[:, j] > 0) * p + (matrix[:, j] < 0) * (1 - p)).sum() / max(1, (matrix[:, j] != 0).sum())) for j in range(matrix.shape[1])]
@@ -109,6 +140,7 @@ class LabelModel:
                 n = 3 ** len(g)
                 yes, no = np.bincount(c, p, n) + 0.5, np.bincount(c, 1 - p, n) + 0.5
                 self.tables.append(np.log(yes / yes.sum()) - np.log(no / no.sum()))
+                self.tables[-1][(n - 1) // 2] = 0.0  # all of them abstain: that says nothing
             p = self.posterior(matrix)
         return p
 
@@ -141,7 +173,7 @@ def logistic(rows: list[list[int]], target: np.ndarray, n: int, l2: float = 1e-3
 def sample(documents: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str, most: int) -> DataFrame:
     """(id, text, toxic) of a bounded number of labelled training rows: those whose ids have the smallest hashes."""
     train = labels.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{label}`").cast("int").alias("toxic")).where("id IS NOT NULL AND toxic IS NOT NULL").where(~held_out(F.col("id")))
-    chosen = train.orderBy(F.xxhash64("id"), "id", "toxic").limit(most)
+    chosen = smallest(train.select("id", "toxic"), F.xxhash64("id"), most)
     return documents.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").cast("string").alias("text")).join(F.broadcast(chosen), "id").select(F.col("id").cast("string").alias("id"), "text", "toxic")
 
 
@@ -180,70 +212,115 @@ def _mined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for text, toxic in zip(as_bytes(batch.column(0)), batch.column(1).to_pylist(), strict=True):
-            found = {f for w in distinct_words(text) for f in features_of(w)}
+            found = entries(words_of(text))
             all_.update(found)
             if toxic == 1:
                 yes.update(found)
-            if len(all_) > 400_000:
+            if len(all_) > 200_000:
                 yield flush()
     yield flush()
 
 
 class Model:
-    def __init__(self, lexicon: dict[str, int], weights: np.ndarray, bias: float):
-        self.lexicon, self.weights, self.bias = lexicon, weights, bias
-        self._memo: dict[str, tuple[int, ...]] = {}
+    """Lexicon and patterns with their weights; the lexicon's entries come first."""
+
+    def __init__(self, lexicon: dict[str, int], patterns: list[str], weights: np.ndarray, bias: float):
+        self.lexicon, self.patterns, self.weights, self.bias = lexicon, patterns, weights, bias
+        self._memo: dict[str, tuple[tuple[int, ...], tuple[int, ...]]] = {}
 
     def __getstate__(self):
-        return self.lexicon, self.weights, self.bias
+        return self.lexicon, self.patterns, self.weights, self.bias
 
     def __setstate__(self, state):
         self.__init__(*state)
 
-    def score(self, text: bytes | None) -> float:
-        found: set[int] = set()
+    def found(self, text: bytes | None) -> tuple[set[int], int]:
+        """The entries that a text has, and its number of words."""
+        words = words_of(text)
+        total, found, sums = sum(words.values()), set(), Counter()
         memo = self._memo
-        for w in distinct_words(text):
+        for w, n in words.items():
             hit = memo.get(w)
             if hit is None:
-                if len(memo) > 200_000:
+                if len(memo) > WORDS:
                     memo.clear()
-                hit = memo[w] = tuple(self.lexicon[f] for f in features_of(w) if f in self.lexicon)
-            if hit:
-                found.update(hit)
-        z = self.bias + sum(self.weights[i] for i in sorted(found))
+                of = features_of(w)
+                hit = memo[w] = tuple(tuple(self.lexicon[f] for f in fs if f in self.lexicon) for fs in (of, [f"!{f}" for f in of]))
+            if hit[0]:
+                found.update(hit[0])
+            for i in hit[1]:
+                sums[i] += n
+        found.update(i for i, n in sums.items() if n > 1 and n * RATE >= total)
+        return found, total
+
+    def forms(self, text: bytes | None) -> list[int]:
+        plain = (text or b"").decode() if self.patterns else ""
+        return [pattern(name, plain) for name in self.patterns]
+
+    def score(self, text: bytes | None) -> float:
+        n = len(self.lexicon)
+        z = self.bias + sum(self.weights[i] for i in sorted(self.found(text)[0])) + sum(self.weights[n + i] for i, v in enumerate(self.forms(text)) if v)
         return float(1 / (1 + math.exp(-max(-30.0, min(30.0, z)))))
 
 
+def chosen(matrix: np.ndarray, gold: np.ndarray) -> list[int]:
+    """Voters that the labels don't speak against."""
+    share = gold.mean()
+    right = [(gold[matrix[:, j] > 0].mean() if (matrix[:, j] > 0).sum() >= SUPPORT else 0.0) for j in range(matrix.shape[1])]
+    return [j for j, r in enumerate(right) if r >= RIGHT and r >= LIFT * share]
+
+
+def learned(seen: list[tuple[list[int], int, list[int], int]], lexicon: dict[str, int], patterns: list[str]) -> Model:
+    """From (entries found, number of words, patterns' votes, label) of the sample's rows."""
+    seen = sorted(seen)
+    names = sorted({voter_of(f) for f in lexicon})
+    where = {v: i for i, v in enumerate(names)}
+    owner = [where[voter_of(f)] for f in lexicon]
+    matrix = np.array([votes(set(found), n, forms, owner, len(names)) for found, n, forms, _ in seen], np.int64).reshape(len(seen), len(names) + len(patterns))
+    gold = np.array([toxic == 1 for *_, toxic in seen], float)
+    kept = chosen(matrix, gold)
+    if not kept:
+        return Model({}, [], np.zeros(0), math.log(gold.mean() / (1 - gold.mean())))
+    posterior = LabelModel(matrix[:, kept]).posterior
+    used = [j - len(names) for j in kept if j >= len(names)]
+    rows = [[*found, *(len(lexicon) + k for k, j in enumerate(used) if forms[j] > 0)] for found, _, forms, _ in seen]
+    weights, bias = logistic(rows, posterior(matrix[:, kept]), len(lexicon) + len(used))
+    return Model(lexicon, [patterns[j] for j in used], weights, bias)
+
+
+def lexicon_of(counts: list[tuple[str, int, int]], toxic: int, clean: int) -> dict[str, int]:
+    """Entries by (feature, toxic rows with it, rows with it): those with the odds and the evidence, the strongest first."""
+    kept, share = [], toxic / (toxic + clean)
+    for f, yes, n in counts:
+        ratio = ((yes + 0.5) / (toxic + 1)) / ((n - yes + 0.5) / (clean + 1))
+        part = yes / n
+        evidence = yes * math.log(part / share) + ((n - yes) * math.log((1 - part) / (1 - share)) if part < 1 else 0.0)
+        if yes >= SUPPORT and ratio >= ODDS and evidence >= EVIDENCE:
+            kept.append((-yes * math.log(ratio), f))
+    return {f: i for i, (_, f) in enumerate(sorted(kept)[:FEATURES])}
+
+
 def fit(documents: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", most: int = LABELLED) -> Model:
     scratch = Scratch(documents.sparkSession, "toxicity")
+    bounded(documents.sparkSession)
     rows = scratch.write(without_copies(scratch.write(sample(documents, labels, doc_id, text, label, most), "sample")), "rows")
     total = rows.agg(F.count("*"), F.coalesce(F.sum((F.col("toxic") == 1).cast("int")), F.lit(0))).first()
     toxic, clean = total[1], total[0] - total[1]
     if not toxic or not clean:
-        return Model({}, np.zeros(0), -30.0 if not toxic else 30.0)
+        return Model({}, [], np.zeros(0), -30.0 if not toxic else 30.0)
     counted = rows.mapInArrow(_mined, "feature string, yes long, n long").groupBy("feature").agg(F.sum("yes").alias("yes"), F.sum("n").alias("n")).where(F.col("yes") >= SUPPORT)
     ratio = ((F.col("yes") + 0.5) / (toxic + 1)) / ((F.col("n") - F.col("yes") + 0.5) / (clean + 1))
-    part, share = F.col("yes") / F.col("n"), toxic / total[0]
-    evidence = F.col("yes") * F.log(part / share) + F.when(part < 1, (F.col("n") - F.col("yes")) * F.log((1 - part) / (1 - share))).otherwise(0.0)
-    lexicon_rows = counted.withColumn("ratio", ratio).where((F.col("ratio") >= ODDS) & (evidence >= EVIDENCE)).orderBy(F.desc(F.col("yes") * F.log("ratio")), "feature").limit(FEATURES).collect()
-    lexicon = {r["feature"]: i for i, r in enumerate(lexicon_rows)}
-    voters = [zlib.crc32(f.encode()) % SHARDS if f[0] == "w" else SHARDS + BEGINNINGS.index(int(f[0])) for f in lexicon]
-    spark = documents.sparkSession
-    shared = spark.sparkContext.broadcast((lexicon, voters))
-
-    def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    lexicon = lexicon_of([tuple(r) for r in counted.where(ratio >= ODDS).collect()], toxic, clean)
+    shared = documents.sparkSession.sparkContext.broadcast(Model(lexicon, list(PATTERNS), np.zeros(0), 0.0))
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [votes(t, *shared.value) for t in as_bytes(batch.column(0))]
-            yield pa.RecordBatch.from_pydict({"found": pa.array([m[0] for m in made], pa.list_(pa.int32())), "votes": pa.array([m[1] for m in made], pa.list_(pa.int32())), "toxic": batch.column(1)})
-
-    seen = rows.mapInArrow(vote, "found array<int>, votes array<int>, toxic int").collect()
-    seen.sort(key=lambda r: (list(r["found"]), list(r["votes"]), r["toxic"]))
-    matrix, gold = np.array([r["votes"] for r in seen], np.int64), np.array([r["toxic"] == 1 for r in seen], float)
-    with_gold = np.column_stack([matrix, np.where(gold > 0, 1, -1)])  # the given label is one more voter, and can be wrong
-    model = LabelModel(with_gold, np.where(gold > 0, 0.95, 0.05))
-    weights, bias = logistic([list(r["found"]) for r in seen], model.posterior(with_gold), len(lexicon))
-    return Model(lexicon, weights, bias)
+            texts = as_bytes(batch.column(0))
+            made = [shared.value.found(t) for t in texts]
+            yield pa.RecordBatch.from_pydict({"found": pa.array([sorted(f) for f, _ in made], pa.list_(pa.int32())), "words": pa.array([n for _, n in made], pa.int64()), "forms": pa.array([shared.value.forms(t) for t in texts], pa.list_(pa.int32())), "toxic": batch.column(1)})
+
+    seen = rows.mapInArrow(look, "found array<int>, words long, forms array<int>, toxic int").collect()
+    return learned([(list(r["found"]), r["words"], list(r["forms"]), r["toxic"]) for r in seen], lexicon, list(PATTERNS))
 
 
 def toxicity(documents: DataFrame, model: Model, doc_id: str | None = "doc_id", text: str = "text") -> tuple[DataFrame, str]:
