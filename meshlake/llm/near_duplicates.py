@@ -16,7 +16,8 @@
 
 Words are what lies between blanks, A-Z in lower case. A text of one word has that as its only shingle. Texts without
 words, null ones included, have no set and are linked with nothing. Rows without an id keep their text's size, have no
-component, and are kept. Rows that repeat an id are one document. Only the id and the text are read.
+component, and are kept. Rows that repeat an id are one document; if their texts differ, the one with the greatest hash is
+its text, and all its rows have its component. Only the id and the text are read.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from meshlake.llm.texts import annotate, as_bytes, read
+from meshlake.llm.texts import annotate, as_bytes, bounded, read, smallest
 from meshlake.session import Scratch
 
 CHUNKS, WIDTH = 12, 5
@@ -41,6 +42,8 @@ LONG, DISTANCE = 256, 88
 #: Orders in which buckets choose their hubs. Texts whose shingles are sampled, shingles of a text, and common shingles kept,
 #: at most.
 HUBS, SAMPLE, SAMPLE_SHINGLES, COMMON = 3, 4096, 8192, 500_000
+#: Members of a hub that are confirmed in one block, about.
+BLOCK = 256
 #: Ids that are broadcast at most to pick texts; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 _LOW = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -120,27 +123,36 @@ def linked(a: int, b: int, both: int, percent: int) -> bool:
 
 
 def _confirmed(percent: int):
-    """For rows (hub, member, hub's text, member's text): hub, member, linked."""
+    """For the rows (hub, salt, member, text) of a block, the hub's own (member null) first: hub, member, linked."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, hub_set = None, None
         for batch in batches:
-            links = []
-            for hub, a, b in zip(batch.column(0).to_pylist(), as_bytes(batch.column(2)), as_bytes(batch.column(3)), strict=True):
+            hubs, members, links = [], [], []
+            for hub, member, text in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), as_bytes(batch.column(3)), strict=True):
+                own = shingles(text)
+                if member is None:
+                    held, hub_set = hub, own
+                    continue
                 if hub != held:
-                    held, hub_set = hub, shingles(a)
-                own = shingles(b)
+                    raise ValueError(f"no text of hub {hub}")
+                hubs.append(hub)
+                members.append(member)
                 links.append(linked(len(own), len(hub_set), len(np.intersect1d(own, hub_set, assume_unique=True)), percent))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(links, pa.bool_())], names=["hub", "member", "linked"])
+            yield pa.RecordBatch.from_arrays([pa.array(hubs, pa.int64()), pa.array(members, pa.int64()), pa.array(links, pa.bool_())], names=["hub", "member", "linked"])
 
     return run
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """hub, member, linked of each pair, from the full sets of both texts."""
-    members = pairs.join(texts.select(F.col("id").alias("member"), F.col("text").alias("member_text")), "member")
-    both = members.join(texts.select(F.col("id").alias("hub"), F.col("text").alias("hub_text")), "hub").select("hub", "member", "hub_text", "member_text")
-    return both.mapInArrow(_confirmed(percent), "hub long, member long, linked boolean")
+    """hub, member, linked of each pair, from the full sets of both texts. A hub's members are dealt out in blocks of about
+    BLOCK, and its text goes once to each block."""
+    blocks = pairs.groupBy("hub").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")).where("blocks > 1")
+    dealt = pairs.join(blocks, "hub", "left").select("hub", "member", F.pmod(F.xxhash64("member"), F.coalesce("blocks", F.lit(1))).alias("salt"))
+    members = dealt.join(texts.select(F.col("id").alias("member"), "text"), "member").select("hub", "salt", "member", "text")
+    hubs = dealt.select("hub", "salt").distinct().join(texts.select(F.col("id").alias("hub"), "text"), "hub").select("hub", "salt", F.lit(None).cast("long").alias("member"), "text")
+    rows = hubs.union(members).repartition("hub", "salt").sortWithinPartitions("hub", "salt", F.asc_nulls_first("member"))
+    return rows.mapInArrow(_confirmed(percent), "hub long, member long, linked boolean")
 
 
 def common_shingles(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -152,7 +164,8 @@ def common_shingles(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
                 found = shingles(text)
                 yield pa.RecordBatch.from_arrays([pa.array(found[:SAMPLE_SHINGLES].view(np.int64))], names=["shingle"])
 
-    sample = texts.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("text")
+    chosen = smallest(texts.select("id"), F.xxhash64("id"), SAMPLE)
+    sample = texts.join(F.broadcast(chosen), "id", "left_semi").select("text")
     counts = sample.mapInArrow(run, "shingle long").groupBy("shingle").agg(F.count("*").alias("n")).where("n > 2")
     top = counts.orderBy(F.desc("n"), "shingle").limit(COMMON).toArrow()
     known, n = top.column("shingle").to_numpy().view(np.uint64), top.column("n").to_numpy()
@@ -230,27 +243,42 @@ def components(edges: DataFrame, scratch: Scratch, name: str, rounds: int = 60)
     raise RuntimeError("components didn't settle")
 
 
-def picked(documents: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, text) of the documents with these ids: by a broadcast as long as the ids are few, else by a shuffle."""
+def picked(documents: DataFrame, ids: DataFrame, odd: DataFrame | None) -> DataFrame:
+    """(id, text) of the documents with these ids: by a broadcast as long as the ids are few, else by a shuffle. Ids with
+    several texts have the one that odd (id, h1, h2) names."""
     few = ids.count() <= BROADCAST_IDS
-    return documents.join(F.broadcast(ids) if few else ids, "id", "left_semi").dropDuplicates(["id"])
+    found = documents.join(F.broadcast(ids) if few else ids, "id", "left_semi")
+    if odd is None:
+        return found.dropDuplicates(["id"])
+    several, name = annotate(found.join(odd.select("id"), "id", "left_semi"), "text", FIELDS, lambda: signed, limit=1 << 20)
+    chosen = several.select("id", "text", f"{name}.h1", f"{name}.h2").join(odd, ["id", "h1", "h2"], "left_semi").select("id", "text")
+    return found.join(odd.select("id"), "id", "left_anti").union(chosen).dropDuplicates(["id"])
 
 
 def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable over links), kept (doc_id is component_id)."""
     scratch = Scratch(documents.sparkSession, "near-duplicates")
+    bounded(documents.sparkSession)
     source = documents.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
     found, name = annotate(source, "text", FIELDS, lambda: signed, ["id"], limit=1 << 20)
     signs = scratch.write(found.select("id", f"{name}.*"), "signatures")
+    hashes = signs.where("id IS NOT NULL").select("id", "h1", "h2")
+    several = hashes.groupBy("id").agg(*(f(F.coalesce(c, F.lit(0))).alias(f"{n}_{c}") for c in ("h1", "h2") for n, f in (("low", F.min), ("high", F.max)))).where("low_h1 <> high_h1 OR low_h2 <> high_h2")
+    chosen = hashes.join(several.select("id"), "id", "left_semi").groupBy("id").agg(F.max(F.struct("h1", "h2")).alias("c"))
+    odd = scratch.write(chosen.select("id", "c.h1", "c.h2"), "odd")
+    odd = None if odd.isEmpty() else odd
     usable = signs.where("id IS NOT NULL AND n_shingles > 0")
+    if odd is not None:
+        usable = usable.join(odd.select("id"), "id", "left_anti").unionByName(usable.join(odd, ["id", "h1", "h2"], "left_semi"))
     classes = scratch.write(usable.groupBy("h1", "h2").agg(F.min("id").alias("rep")), "classes")
     entries = usable.join(classes.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").select("id", F.explode("keys").alias("key"))
     order = F.pmod("key", F.lit(HUBS))
     rank = F.when(order == 0, F.col("id")).otherwise(F.xxhash64("id", order))
     hubs = entries.groupBy("key").agg(F.min_by("id", rank).alias("hub"), F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("key", "hub")
-    pairs = entries.join(hubs, "key").where("id <> hub").select(F.least("hub", "id").alias("hub"), F.greatest("hub", "id").alias("member")).distinct()
-    pairs = scratch.write(pairs, "pairs")
-    texts = scratch.write(picked(source, scratch.write(pairs.select(F.col("hub").alias("id")).union(pairs.select("member")).distinct(), "ids")), "texts")
+    met = entries.join(hubs, "key").where("id <> hub").select(F.least("hub", "id").alias("low"), F.greatest("hub", "id").alias("high"), "hub")
+    once = met.groupBy("low", "high").agg(F.min("hub").alias("hub"))  # the hub stays the hub, as it has the many members
+    pairs = scratch.write(once.select("hub", F.when(F.col("hub") == F.col("low"), F.col("high")).otherwise(F.col("low")).alias("member")), "pairs")
+    texts = scratch.write(picked(source, scratch.write(pairs.select(F.col("hub").alias("id")).union(pairs.select("member")).distinct(), "ids"), odd), "texts")
     edges = confirm(pairs, texts, percent).where("linked").select(F.col("hub").alias("a"), F.col("member").alias("b"))
     roots = scratch.write(components(edges, scratch, "first"), "roots")
     second = scratch.write(confirm(across(texts, roots, percent), texts, percent).where("linked").select(F.col("hub").alias("a"), F.col("member").alias("b")), "second")
@@ -263,6 +291,9 @@ def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
         ends = known.join(merged.toDF("root", "end"), "root", "left").select("id", F.coalesce("end", "root").alias("root"))
     of_class = classes.join(ends.toDF("rep", "root"), "rep", "left").select("h1", "h2", F.coalesce("root", "rep").alias("root"))
     joined = signs.select("id", "n_shingles", "h1", "h2").join(of_class, ["h1", "h2"], "left")
+    if odd is not None:  # all rows of such an id have the component of its chosen text
+        chosen = odd.join(of_class, ["h1", "h2"]).select("id", F.col("root").alias("own"))
+        joined = joined.join(chosen, "id", "left").select("id", "n_shingles", F.coalesce("own", "root").alias("root"))
     component = F.when(F.col("id").isNotNull(), F.coalesce("root", "id"))
     return joined.select(F.col("id").alias(doc_id), "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
 
