@@ -8,7 +8,7 @@ The model at hand is a byte-pair model, whose result is not the path with the gr
 merging the best pair first. That outcome is a path, too: a sequence of pieces is the outcome if and only if each two
 neighbours come out of merging their own characters again, for the first merge across a border would be made in those
 two alone as well. So a step of the search allows a piece after another if the two are stable, and exactly one piece
-ends each prefix. For unigram models the same search takes the greatest sum of scores.
+ends each prefix. Models of any other type (unigram, word, character) are refused.
 
 Characters without a piece are bytes. Null texts are empty; empty texts have no ids. Every row counts by itself, and any
 column may have any name: only the id and the text are read. Decoding gives the text back except that the model's blank
@@ -18,6 +18,7 @@ character, U+2581, comes back as a blank.
 from __future__ import annotations
 
 import hashlib
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -28,19 +29,57 @@ from pyspark.sql import types as T
 from meshlake.llm.texts import annotate, read
 
 BLANK = "▁"
-#: Pairs and words remembered, at most, by a worker.
-PAIRS, WORDS = 1 << 20, 600_000
+#: Pairs that a worker remembers at most (some 100 bytes each), and bytes that it spends on each of two generations of words.
+PAIRS, WORD_BYTES = 1 << 17, 20 << 20
 _models: dict[str, Model] = {}
 
 FIELDS = T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_ids", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded", T.BooleanType())])
 
 
+def fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
+    """(number, value) of the fields of a protocol buffer message: integers, and bytes of what has a length."""
+    at = 0
+
+    def varint() -> int:
+        nonlocal at
+        value = shift = 0
+        while True:
+            b = data[at]
+            at += 1
+            value |= (b & 127) << shift
+            shift += 7
+            if b < 128:
+                return value
+
+    while at < len(data):
+        key = varint()
+        size = {1: 8, 5: 4}.get(key & 7)
+        if key & 7 == 0:
+            yield key >> 3, varint()
+            continue
+        size = varint() if size is None else size
+        yield key >> 3, data[at : at + size]
+        at += size
+
+
+#: Fixed values of the model file's format: the trainer's settings, the model type among them, and the type of byte-pair models.
+TRAINER, MODEL_TYPE, BYTE_PAIR = 2, 3, 2
+
+
+def model_type(path: str) -> int:
+    with open(path, "rb") as f:
+        trainer = next((v for k, v in fields(f.read()) if k == TRAINER), b"")
+    return next((v for k, v in fields(trainer) if k == MODEL_TYPE), 1)
+
+
 class Model:
     """A piece vocabulary read from a model file: piece to id, scores, and the bytes' ids."""
 
     def __init__(self, path: str):
         import sentencepiece
 
+        if model_type(path) != BYTE_PAIR:
+            raise ValueError(f"{path}: not a byte-pair model")
         loaded = sentencepiece.SentencePieceProcessor(model_file=path)
         n = loaded.vocab_size()
         self.pieces = [loaded.id_to_piece(i) for i in range(n)]
@@ -51,7 +90,9 @@ class Model:
         self.ids = {p: i for i, p in enumerate(self.pieces) if i not in self.special and i not in self.of_byte}
         self.longest = max(map(len, self.ids))
         self.stable: dict[int, bool] = {}
-        self.memo: dict[str, tuple[int, ...]] = {}
+        self.memo: dict[str, array] = {}
+        self.elder: dict[str, array] = {}
+        self.held = 0  # bytes of the memo, about
         self.ends: dict[str, int] = {}  # every ending of a piece: the piece's id if it is one that merging makes, else -1
         for piece, i in self.ids.items():
             for k in range(1, len(piece)):
@@ -165,10 +206,16 @@ def encode(model: Model, text: str) -> list[int]:
     for word in words(text):
         got = memo.get(word)
         if got is None:
-            stream = Stream(model)
-            got = (*stream.feed(word), *stream.end())
-            if len(word) <= 64 and len(memo) < WORDS:
+            got = model.elder.get(word)
+            if got is None:
+                stream = Stream(model)
+                got = array("i", (*stream.feed(word), *stream.end()))
+            if len(word) <= 64:
+                if model.held > WORD_BYTES:  # words that are still in use have come over into the younger generation
+                    model.elder, model.held = memo, 0
+                    memo = model.memo = {}
                 memo[word] = got
+                model.held += 272 + 2 * len(word)
         out.extend(got)
     return out
 
