@@ -30,7 +30,7 @@ from meshlake.llm.texts import annotate, read
 
 BLANK = "▁"
 #: Pairs that a worker remembers at most (some 100 bytes each), and bytes that it spends on each of two generations of words.
-PAIRS, WORD_BYTES = 1 << 17, 20 << 20
+PAIRS, WORD_BYTES = 1 << 19, 32 << 20
 _models: dict[str, Model] = {}
 
 FIELDS = T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_ids", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded", T.BooleanType())])
@@ -124,6 +124,42 @@ class Model:
         return got
 
 
+def search(model: Model, text: str, back: list[tuple[int | None, int]], stop: int) -> None:
+    """Goes on to the place stop: back has the last piece and its length for each place reached so far; -1 is a character
+    without a piece."""
+    ends, stable, longest = model.ends, model.stable, model.longest
+    for n in range(len(back), stop + 1):
+        found = (-1, 1)
+        for start in range(n - 1, max(-1, n - 1 - longest), -1):
+            k = ends.get(text[start:n])
+            if k is None:
+                break
+            if k >= 0:
+                last = back[start][0]
+                if last is None or last < 0:
+                    found = (k, n - start)
+                    break
+                fits = stable.get(last << 32 | k)
+                if fits or (fits is None and model.follows(last, k)):
+                    found = (k, n - start)
+                    break
+        back.append(found)
+
+
+def path(model: Model, text: str, back: list[tuple[int | None, int]], place: int) -> list[int]:
+    """The ids that lead to a place."""
+    out: list[int] = []
+    while place > 0:
+        k, size = back[place]
+        if k >= 0:
+            out.append(k)
+        else:
+            out.extend(model.bytes[b] for b in reversed(text[place - size : place].encode()))
+        place -= size
+    out.reverse()
+    return out
+
+
 class Stream:
     """Ids of characters fed in any portions. text: what isn't final yet; back: for each place in it, the last piece and its
     length. Place 0 of the window is a final boundary, and holds the piece before it."""
@@ -134,34 +170,16 @@ class Stream:
 
     def feed(self, characters: str) -> Iterator[int]:
         """The ids that become final with these characters."""
-        model, ends, stable, back = self.model, self.model.ends, self.model.stable, self.back
-        most = 4 * model.longest
-        start = len(self.text)
-        text = self.text = self.text + characters
-        n = start
-        while n < len(text):
-            n += 1
-            found, size = (-1, 1), 0  # -1: no piece has this character
-            while size < n:
-                size += 1
-                k = ends.get(text[n - size : n])
-                if k is None:
-                    break
-                if k >= 0:
-                    last = back[n - size][0]
-                    if last is None or last < 0:
-                        found = (k, size)
-                        break
-                    fits = stable.get(last << 32 | k)
-                    if fits or (fits is None and model.follows(last, k)):
-                        found = (k, size)
-                        break
-            back.append(found)
-            if n >= most:
-                place = self._boundary(n)
-                yield from self._final(place)
-                text, back, n = self.text, self.back, n - place
-                most = max(4 * model.longest, n + model.longest)
+        self.text += characters
+        most = 4 * self.model.longest
+        while True:
+            n = min(len(self.text), most)
+            search(self.model, self.text, self.back, n)
+            if n < most:
+                return
+            place = self._boundary(n)
+            yield from self._final(place)
+            most = max(4 * self.model.longest, n - place + self.model.longest)
 
     def _boundary(self, n: int) -> int:
         """The last place that the paths back from all places a coming piece can start from go through."""
@@ -172,19 +190,11 @@ class Stream:
             places.add(top - self.back[top][1])
         return places.pop()
 
-    def _final(self, place: int) -> Iterator[int]:
-        path, at = [], place
-        while at > 0:
-            k, size = self.back[at]
-            path.append((k, self.text[at - size : at]))
-            at -= size
-        for k, c in reversed(path):
-            if k >= 0:
-                yield k
-            else:
-                yield from (self.model.bytes[b] for b in c.encode())
+    def _final(self, place: int) -> list[int]:
+        ids = path(self.model, self.text, self.back, place)
         if place:
             self.text, self.back = self.text[place:], [(self.back[place][0], 0), *self.back[place + 1 :]]
+        return ids
 
     def end(self) -> Iterator[int]:
         yield from self._final(len(self.text))
@@ -208,8 +218,13 @@ def encode(model: Model, text: str) -> list[int]:
         if got is None:
             got = model.elder.get(word)
             if got is None:
-                stream = Stream(model)
-                got = array("i", (*stream.feed(word), *stream.end()))
+                if len(word) <= 4 * model.longest:  # fits into the window
+                    back: list[tuple[int | None, int]] = [(None, 0)]
+                    search(model, word, back, len(word))
+                    got = array("i", path(model, word, back, len(word)))
+                else:
+                    stream = Stream(model)
+                    got = array("i", (*stream.feed(word), *stream.end()))
             if len(word) <= 64:
                 if model.held > WORD_BYTES:  # words that are still in use have come over into the younger generation
                     model.elder, model.held = memo, 0
