@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from meshlake.config import DEFAULT, Config
 from meshlake.functions import geometry as G
 from meshlake.functions import polygons as P
-from meshlake.functions.layers import over, over_array
+from meshlake.functions.layers import over, over_cases
 from meshlake.operators.canonical import measured
 from meshlake.operators.spatial_join import triangle_pairs
 from meshlake.schemas import POINTS
@@ -32,37 +32,36 @@ def angle_gate(pairs: DataFrame, config: Config = DEFAULT) -> DataFrame:
     return pairs.withColumn("angle", F.expr(G.degrees_between(*turned))).where(F.col("angle") <= config.normal_angle)
 
 
-def _corner(k: str, p: str) -> str:
-    return ", ".join(f"'{{}}{c}', CAST(t{k}_{p}{c} AS DOUBLE)" for c in "xyz")
+def _inputs(*parts: tuple[str, str, str]) -> dict[str, str]:
+    return {f"{n}{c}": f"CAST(t{k}_{p}{c} AS DOUBLE)" for n, k, p in parts for c in "xyz"}
 
 
-def _struct(*parts: tuple[str, str, str]) -> str:
-    return "named_struct(" + ", ".join(_corner(k, p).replace("{}", n) for n, k, p in parts) + ")"
+#: The six corners against the other triangle, and the nine pairs of edges.
+CORNERS = [_inputs(("p", k, p), *((n, o, n) for n in "abc")) for k, o in (("1", "2"), ("2", "1")) for p in "abc"]
+EDGES = [_inputs(("a", "1", u), ("b", "1", v), ("c", "2", x), ("d", "2", y)) for u, v in ("ab", "bc", "ca") for x, y in ("ab", "bc", "ca")]
 
 
-def corner_gap() -> str:
-    """Least distance of the six corners to the other triangle, as one expression over an array of structs."""
-    corners = [(k, other, p) for k, other in (("1", "2"), ("2", "1")) for p in "abc"]
-    structs = "array(" + ", ".join(_struct(("p", k, p), *((n, o, n) for n in "abc")) for k, o, p in corners) + ")"
-    return f"array_min({over_array(structs, [f'{n}{c}' for n in 'pabc' for c in 'xyz'], G.point_triangle(), 'distance')})"
+def corner_gap(pairs: DataFrame, name: str = "gap") -> DataFrame:
+    """With the least distance of the six corners to the other triangle."""
+    return over_cases(pairs, CORNERS, G.point_triangle(), "distance", name)
 
 
-def edge_gap() -> str:
-    """Least distance of the nine pairs of edges."""
-    edges = (("a", "b"), ("b", "c"), ("c", "a"))
-    structs = "array(" + ", ".join(_struct(("a", "1", u), ("b", "1", v), ("c", "2", x), ("d", "2", y)) for u, v in edges for x, y in edges) + ")"
-    return f"array_min({over_array(structs, [f'{n}{c}' for n in 'abcd' for c in 'xyz'], G.segment_segment(), 'distance')})"
+def edge_gap(pairs: DataFrame, name: str = "gap") -> DataFrame:
+    """With the least distance of the nine pairs of edges."""
+    return over_cases(pairs, EDGES, G.segment_segment(), "distance", name)
 
 
-def gap_expression() -> str:
-    return f"least({corner_gap()}, {edge_gap()})"
+def gap(pairs: DataFrame) -> DataFrame:
+    """With the distance of the two triangles."""
+    both = edge_gap(corner_gap(pairs, "_corner"), "_edge")
+    return both.withColumn("gap", F.least("_corner", "_edge")).drop("_corner", "_edge")
 
 
 def gap_gate(pairs: DataFrame, config: Config = DEFAULT) -> DataFrame:
     """With the gap, 0 below a hundredth of the shorter edge; pairs beyond half of it go."""
     short = F.least("t1_min_edge", "t2_min_edge")
-    raw = pairs.withColumn("gap", F.expr(gap_expression()))
-    return raw.withColumn("gap", F.when(F.col("gap") < config.snap_gap * short, 0.0).otherwise(F.col("gap"))).where(F.col("gap") <= config.most_gap * short)
+    snapped = F.when(F.col("gap") < config.snap_gap * short, 0.0).otherwise(F.col("gap"))
+    return gap(pairs).withColumn("gap", snapped).where(F.col("gap") <= config.most_gap * short)
 
 
 def overlap() -> list[dict[str, str]]:

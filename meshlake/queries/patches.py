@@ -96,11 +96,11 @@ def _(spark, sf):
     return rounded(contact.gap_gate(contact.angle_gate(attached(spark, sf))).select(*contact.PAIR, "gap"), "gap", digits=5)
 
 
-for _name, _sql, _of in (("p16_corner_gap", f"({over_sql(_POINTS, G.point_triangle())})", contact.corner_gap), ("p18_edge_gap", f"({over_sql(_LINES, G.segment_segment())})", contact.edge_gap), ("p19_gap", f"(SELECT {_PAIR}, raw_gap AS distance FROM ({_DISTANCES}))", contact.gap_expression)):
+for _name, _sql, _of in (("p16_corner_gap", f"({over_sql(_POINTS, G.point_triangle())})", contact.corner_gap), ("p18_edge_gap", f"({over_sql(_LINES, G.segment_segment())})", contact.edge_gap), ("p19_gap", f"(SELECT {_PAIR}, raw_gap AS distance FROM ({_DISTANCES}))", contact.gap)):
 
     @query(_name, upto("ang") + f" SELECT {_PAIR}, round(min(distance), 5) AS gap FROM {_sql} GROUP BY {_PAIR}")
     def _(spark, sf, of=_of):
-        return contact.angle_gate(attached(spark, sf)).select(*contact.PAIR, F.round(F.expr(of()), 5).alias("gap"))
+        return of(contact.angle_gate(attached(spark, sf))).select(*contact.PAIR, F.round("gap", 5).alias("gap"))
 
 
 @query("p20_contact_pairs", upto("pairs") + f" SELECT {_PAIR}, round(angle, 6) AS angle, round(gap, 5) AS gap, round(cover1, 6) AS cover1, round(cover2, 6) AS cover2, round(cover_max, 6) AS cover_max, round(intersection_area, 3) AS intersection_area, area_pass FROM pairs")
