@@ -19,21 +19,6 @@ def over(df: DataFrame, layers: Layers) -> DataFrame:
     return df
 
 
-def over_cases(df: DataFrame, cases: list[dict[str, str]], layers: Layers, result: str, name: str) -> DataFrame:
-    """df with the least of the result over several cases, each of which says what the layers' inputs are. All cases' columns
-    of a layer are one projection of plain columns, so it is compiled; they go again afterwards."""
-    kept = df.columns
-
-    def of(k: int, text: str) -> str:
-        own = {n: f"_{k}_{n}" for layer in layers for n in layer} | cases[k]
-        return re.sub(r"(?<![.\w])(" + "|".join(sorted(map(re.escape, own), key=len, reverse=True)) + r")(?![\w(])", lambda m: own[m[1]], text)
-
-    for layer in layers:
-        df = df.select("*", *(F.expr(of(k, e)).alias(f"_{k}_{n}") for k in range(len(cases)) for n, e in layer.items()))
-    least = F.least(*(F.expr(of(k, result)) for k in range(len(cases))))
-    return df.select(*kept, least.alias(name))
-
-
 def over_sql(sql: str, layers: Layers) -> str:
     for layer in layers:
         sql = f"SELECT *, {', '.join(f'{e} AS {n}' for n, e in layer.items())} FROM ({sql})"
