@@ -30,7 +30,7 @@ from meshlake.llm.texts import annotate, read
 
 BLANK = "▁"
 #: Pairs that a worker remembers at most (some 100 bytes each), and bytes that it spends on each of two generations of words.
-PAIRS, WORD_BYTES = 1 << 19, 32 << 20
+PAIRS, WORD_BYTES = 1 << 19, 64 << 20
 _models: dict[str, Model] = {}
 
 FIELDS = T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_ids", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded", T.BooleanType())])
@@ -88,6 +88,7 @@ class Model:
         self.bytes = {int(p[3:5], 16): i for i, p in enumerate(self.pieces) if loaded.is_byte(i)}
         self.of_byte = {i: b for b, i in self.bytes.items()}
         self.ids = {p: i for i, p in enumerate(self.pieces) if i not in self.special and i not in self.of_byte}
+        self.shown = [None if i in self.of_byte else "" if i in self.special else p.replace(BLANK, " ") for i, p in enumerate(self.pieces)]
         self.longest = max(map(len, self.ids))
         self.stable: dict[int, bool] = {}
         self.memo: dict[str, array] = {}
@@ -252,17 +253,20 @@ def words(text: str) -> list[str]:
 
 def decode(model: Model, ids: Iterable[int]) -> str:
     """The text of ids: bytes that aren't UTF-8 become replacement characters, and the first blank goes."""
+    ids = list(ids)
+    shown = [model.shown[i] for i in ids]
+    if None not in shown:  # no bytes
+        return "".join(shown).removeprefix(" ")
     out: list[str] = []
     raw = bytearray()
-    for i in ids:
-        if i in model.of_byte:
+    for i, piece in zip(ids, shown, strict=True):
+        if piece is None:
             raw.append(model.of_byte[i])
             continue
         if raw:
             out.append(raw.decode(errors="replace"))
             raw.clear()
-        if i not in model.special:
-            out.append(model.pieces[i].replace(BLANK, " "))
+        out.append(piece)
     if raw:
         out.append(raw.decode(errors="replace"))
     return "".join(out).removeprefix(" ")
