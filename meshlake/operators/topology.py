@@ -48,11 +48,15 @@ def vertex_only(indexed: DataFrame) -> DataFrame:
 
 
 def selected(triangles: DataFrame, include: DataFrame | None = None, exclude: DataFrame | None = None) -> DataFrame:
-    """Triangles named by include (all, if None) and not by exclude. Ids that there aren't raise when the result is read."""
+    """Triangles named by include (all, if None) and not by exclude. An id that there isn't raises at once."""
     out = triangles
     for ids, how in ((include, "left_semi"), (exclude, "left_anti")):
         if ids is not None:
-            out = out.join(ids.select("object_id", "tri_id"), ["object_id", "tri_id"], how)
+            named = ids.select("object_id", "tri_id")
+            unknown = named.join(triangles, ["object_id", "tri_id"], "left_anti").first()
+            if unknown is not None:
+                raise ValueError(f"object {unknown.object_id} has no triangle {unknown.tri_id}")
+            out = out.join(named, ["object_id", "tri_id"], how)
     return out
 
 

@@ -274,3 +274,15 @@ def test_workspace(spark, tmp_path):
         with pytest.raises(error):
             workspace.entry(spark, name)
     spark.conf.unset(workspace.SETTING)
+
+
+def test_selected_refuses_unknown_triangles(spark):
+    from meshlake.operators import topology
+
+    keys = "object_id long, tri_id long"
+    triangles = spark.createDataFrame([(1, 0), (1, 1), (2, 0)], keys)
+    known, unknown = spark.createDataFrame([(1, 1)], keys), spark.createDataFrame([(2, 1)], keys)
+    assert {tuple(r) for r in topology.selected(triangles, None, known).collect()} == {(1, 0), (2, 0)}
+    for include, exclude in ((unknown, None), (None, unknown)):
+        with pytest.raises(ValueError, match="object 2 has no triangle 1"):
+            topology.selected(triangles, include, exclude)
