@@ -281,7 +281,8 @@ def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
     texts = scratch.write(picked(source, scratch.write(pairs.select(F.col("hub").alias("id")).union(pairs.select("member")).distinct(), "ids"), odd), "texts")
     edges = confirm(pairs, texts, percent).where("linked").select(F.col("hub").alias("a"), F.col("member").alias("b"))
     roots = scratch.write(components(edges, scratch, "first"), "roots")
-    second = scratch.write(confirm(across(texts, roots, percent), texts, percent).where("linked").select(F.col("hub").alias("a"), F.col("member").alias("b")), "second")
+    met = scratch.write(across(texts, roots, percent), "across")  # confirm() reads the pairs several times
+    second = scratch.write(confirm(met, texts, percent).where("linked").select(F.col("hub").alias("a"), F.col("member").alias("b")), "second")
     if second.isEmpty():
         ends = roots
     else:
