@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from meshlake.llm.texts import annotate, read
+from meshlake.llm.texts import annotate, keeps, read
 
 WINDOW = 13
 #: Characters of windows in one automaton, which takes some 50 bytes a character, and in one broadcast; more windows make more
@@ -102,7 +102,7 @@ def scan(text: bytes | None, automata: list, percent: int) -> tuple:
 
 class Search:
     """The automata over all blocks of windows, one after another within a document. A worker makes them once, and keeps those
-    of one benchmark."""
+    of one benchmark until a task of another operator comes."""
 
     _kept: tuple[str, list] = ("", [])
 
@@ -111,10 +111,15 @@ class Search:
 
     def automata(self) -> list:
         if Search._kept[0] != self.key:
-            Search._kept = ("", [])  # the former ones go first
+            Search._forget()  # the former ones go first
             Search._kept = (self.key, [automaton(b.value) for b in self.shared if b.value])
+            keeps("contamination", Search._forget)
         return Search._kept[1]
 
+    @staticmethod
+    def _forget() -> None:
+        Search._kept = ("", [])
+
 
 def contamination(documents: DataFrame, benchmark: DataFrame, doc_id: str | None = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, percent: int = 5, chars: int = AUTOMATON_CHARS) -> tuple[DataFrame, str]:
     """doc_id (all columns, if None) and a struct: n_words, n_hit, n_items, items, spans (code points of the original

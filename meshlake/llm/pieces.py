@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from meshlake.llm.texts import annotate, read
+from meshlake.llm.texts import annotate, keeps, read
 
 BLANK = "▁"
 #: Pairs that a worker remembers at most (some 100 bytes each), and bytes that it spends on each of two generations of words.
@@ -204,6 +204,7 @@ class Stream:
 def load(path: str) -> Model:
     if path not in _models:
         _models[path] = Model(path)
+    keeps("pieces", _models.clear)
     return _models[path]
 
 

@@ -19,6 +19,19 @@ _ARROW = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 Texts = list[bytes | None]
 
+#: What operators keep in a worker from one task to the next, by operator: how to let go of it.
+_kept: dict[str, Callable[[], None]] = {}
+
+
+def keeps(operator: str, let_go: Callable[[], None]) -> None:
+    """An operator keeps something in this worker for its next tasks; a task of another operator calls let_go first."""
+    _kept[operator] = let_go
+
+
+def let_others_go(operator: str) -> None:
+    for other in [k for k in _kept if k != operator]:
+        _kept.pop(other)()
+
 
 def bounded(spark: SparkSession) -> None:
     """From now on the session's Arrow batches have ARROW_BYTES at most (and a row at least); a smaller bound of its own stays."""
@@ -54,10 +67,11 @@ def as_bytes(column: pa.Array) -> Texts:
 
 def annotate(df: DataFrame, text: str, fields: T.StructType, make: Callable[[], Callable[[Texts], list[tuple]]], keep: list[str] | None = None, name: str = "found", limit: int = BATCH_BYTES) -> tuple[DataFrame, str]:
     """The kept columns of df (all, if None) and a struct column of what the function made by make() returns for
-    each text (UTF-8 bytes, or None for null). The struct's name never clashes with a column of df; it's returned."""
+    each text (UTF-8 bytes, or None for null). The struct's name never clashes with a column of df; it's returned. What other
+    operators (by the wished name) keep in the worker goes first."""
     bounded(df.sparkSession)
     columns = df.columns if keep is None else keep
-    name = free_name(df, name)
+    operator, name = name, free_name(df, name)
     kept = [F.col(f"`{c}`") for c in columns]
     own = text in columns and dict(df.dtypes)[text] == "string"  # then it isn't sent twice
     at = columns.index(text) if own else len(columns)
@@ -66,6 +80,7 @@ def annotate(df: DataFrame, text: str, fields: T.StructType, make: Callable[[],
     struct = to_arrow_type(fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_others_go(operator)
         function = make()
         for batch in batches:
             if not batch.num_rows:
