@@ -62,8 +62,12 @@ def fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
         at += size
 
 
-#: Fixed values of the model file's format: the trainer's settings, the model type among them, and the type of byte-pair models.
-TRAINER, MODEL_TYPE, BYTE_PAIR = 2, 3, 2
+#: Fixed values of the model file's format: the trainer's settings, the model type among them, and the type of byte-pair models; whether blanks come
+#: after words; pieces, with their texts and types, and the type of pieces that users define; the normaliser's settings: its table, a blank before
+#: the text, blanks made one, blanks written as the blank character.
+TRAINER, MODEL_TYPE, BYTE_PAIR, BLANKS_AFTER = 2, 3, 2, 24
+PIECE, PIECE_TEXT, PIECE_TYPE, USER_DEFINED = 1, 1, 3, 4
+NORMALISER, TABLE, BLANK_FIRST, ONE_BLANK, BLANK_CHARACTER = 3, 2, 3, 4, 5
 
 
 def model_type(path: str) -> int:
@@ -72,14 +76,37 @@ def model_type(path: str) -> int:
     return next((v for k, v in fields(trainer) if k == MODEL_TYPE), 1)
 
 
+def unlike(path: str) -> str | None:
+    """Why a model's file isn't of the kind that encode() is for, or None."""
+    with open(path, "rb") as f:
+        data = list(fields(f.read()))
+    trainer, normaliser = (dict(fields(next((v for k, v in data if k == n), b""))) for n in (TRAINER, NORMALISER))
+    if trainer.get(MODEL_TYPE, 1) != BYTE_PAIR:
+        return "not a byte-pair model"
+    if trainer.get(BLANKS_AFTER, 0):
+        return "blanks come after words"
+    if normaliser.get(TABLE, b""):
+        return "texts are normalised by a table"
+    if not normaliser.get(BLANK_FIRST, 1) or normaliser.get(ONE_BLANK, 1) or not normaliser.get(BLANK_CHARACTER, 1):
+        return "blanks are treated in another way"
+    for k, piece in data:
+        if k == PIECE:
+            made = dict(fields(piece))
+            if made.get(PIECE_TYPE, 1) == USER_DEFINED:
+                return "users define pieces"
+            if BLANK in made[PIECE_TEXT].decode(errors="replace").lstrip(BLANK):
+                return "a piece has a blank inside"
+    return None
+
+
 class Model:
     """A piece vocabulary read from a model file: piece to id, scores, and the bytes' ids."""
 
     def __init__(self, path: str):
         import sentencepiece
 
-        if model_type(path) != BYTE_PAIR:
-            raise ValueError(f"{path}: not a byte-pair model")
+        if (why := unlike(path)) is not None:
+            raise ValueError(f"{path}: {why}")
         loaded = sentencepiece.SentencePieceProcessor(model_file=path)
         n = loaded.vocab_size()
         self.pieces = [loaded.id_to_piece(i) for i in range(n)]
@@ -220,13 +247,8 @@ def encode(model: Model, text: str) -> list[int]:
         if got is None:
             got = model.elder.get(word)
             if got is None:
-                if len(word) <= 4 * model.longest:  # fits into the window
-                    back: list[tuple[int | None, int]] = [(None, 0)]
-                    search(model, word, back, len(word))
-                    got = array("i", path(model, word, back, len(word)))
-                else:
-                    stream = Stream(model)
-                    got = array("i", (*stream.feed(word), *stream.end()))
+                stream = Stream(model)
+                got = array("i", (*stream.feed(word), *stream.end()))
             if len(word) <= 64:
                 if model.held > WORD_BYTES:  # words that are still in use have come over into the younger generation
                     model.elder, model.held = memo, 0

@@ -473,6 +473,35 @@ def test_other_models_are_refused(tmp_path):
         pieces.Model(str(other))
 
 
+@pytest.mark.parametrize(("number", "more", "why"), [(pieces.NORMALISER, b"\x20\x01", "another way"), (pieces.NORMALISER, b"\x18\x00", "another way"), (pieces.NORMALISER, b"\x28\x00", "another way"), (pieces.NORMALISER, b"\x12\x01x", "by a table"), (pieces.TRAINER, b"\xc0\x01\x01", "after words"), (pieces.PIECE, b"\x18\x04", "users define"), (pieces.PIECE, b"\x0a\x05a\xe2\x96\x81b", "inside")])
+def test_models_of_other_settings_are_refused(tmp_path, number, more, why):
+    """more: fields put behind those of the first message of that number; the later ones hold."""
+    with open(pieces.model_path(), "rb") as f:
+        data = list(pieces.fields(f.read()))
+    at = next(k for k, (n, _) in enumerate(data) if n == number)
+    data[at] = (number, data[at][1] + more)
+
+    def varint(n: int) -> bytes:
+        return bytes([n & 127 | 128]) + varint(n >> 7) if n > 127 else bytes([n])
+
+    other = tmp_path / "other.model"
+    other.write_bytes(b"".join(varint(n << 3 | 2) + varint(len(v)) + v for n, v in data))
+    assert why in pieces.unlike(str(other)) and pieces.unlike(pieces.model_path()) is None
+    with pytest.raises(ValueError, match=why):
+        pieces.Model(str(other))
+
+
+def test_workers_let_go_of_what_other_operators_keep(monkeypatch):
+    monkeypatch.setattr(texts, "_kept", {})
+    search = decontaminate.Search([type("Shared", (), {"value": [("a b", ["1"])]})()])
+    assert search.automata() and decontaminate.Search._kept[1]
+    model = pieces.load(pieces.model_path())
+    texts.let_others_go("contamination")
+    assert decontaminate.Search._kept[1] and pieces.load(pieces.model_path()) is not model
+    texts.let_others_go("pieces")
+    assert not decontaminate.Search._kept[1] and set(texts._kept) == {"pieces"}
+
+
 def test_words_are_remembered_within_bounds(monkeypatch):
     monkeypatch.setattr(pieces, "WORD_BYTES", 20_000)
     model = pieces.Model(pieces.model_path())
