@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from jobs import slice_report, upload_registry
+from meshlake.queries.sheet import LINES
 from meshlake.session import checkpoint_root
 from meshlake.streaming import uploads
 
@@ -31,22 +32,8 @@ def job2_upload_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (job1_slice_report, job2_upload_registry)}
 ORACLES = {
-    # Corners are those of squares between neighbouring parts on a 40-wide sheet, cut along one diagonal; planes stand at half layers over the lowest corner.
-    "job1_slice_report": """
-WITH sheet AS (SELECT p_partkey // 40 AS i, p_partkey % 40 AS j, p_size::DOUBLE AS z FROM part),
-squares AS (
-    SELECT a.i // 5 AS object_id, 100.0e0 * a.j AS w, 100.0e0 * a.i AS s, 100.0e0 * a.j + 100 AS e, 100.0e0 * a.i + 100 AS n, a.z AS sw, b.z AS se, c.z AS nw, d.z AS ne, a.i * 40 + a.j AS k
-    FROM sheet a JOIN sheet b ON b.i = a.i AND b.j = a.j + 1 JOIN sheet c ON c.i = a.i + 1 AND c.j = a.j JOIN sheet d ON d.i = a.i + 1 AND d.j = a.j + 1 WHERE a.j < 39),
-sides AS (
-    SELECT object_id, 2 * k AS t, w AS px, s AS py, sw AS pz, e AS qx, s AS qy, se AS qz FROM squares UNION ALL SELECT object_id, 2 * k, e, s, se, e, n, ne FROM squares UNION ALL SELECT object_id, 2 * k, e, n, ne, w, s, sw FROM squares
-    UNION ALL SELECT object_id, 2 * k + 1, w, s, sw, e, n, ne FROM squares UNION ALL SELECT object_id, 2 * k + 1, e, n, ne, w, n, nw FROM squares UNION ALL SELECT object_id, 2 * k + 1, w, n, nw, w, s, sw FROM squares),
-planes AS (SELECT l AS layer, (SELECT min(least(pz, qz)) FROM sides) + 7 * (l + 0.5e0) AS z FROM range(0, 8) x(l)),
-cuts AS (
-    SELECT layer, z, object_id, t, qz >= z AS rising, px + (z - pz) / (qz - pz) * (qx - px) AS x, py + (z - pz) / (qz - pz) * (qy - py) AS y
-    FROM sides JOIN planes ON (pz < z AND qz >= z) OR (pz >= z AND qz < z)),
-lines AS (
-    SELECT a.layer, a.z, a.object_id, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2
-    FROM cuts a JOIN cuts b ON a.layer = b.layer AND a.object_id = b.object_id AND a.t = b.t AND a.rising AND NOT b.rising),
+    "job1_slice_report": f"""
+WITH {LINES},
 ends AS (
     SELECT layer, object_id, x, y FROM (SELECT layer, object_id, round(x1, 6) AS x, round(y1, 6) AS y, 1 AS way FROM lines UNION ALL SELECT layer, object_id, round(x2, 6), round(y2, 6), -1 FROM lines)
     GROUP BY ALL HAVING sum(way) <> 0),

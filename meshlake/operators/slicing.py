@@ -1,19 +1,20 @@
-"""Slices of a mesh: planes, segments, loops."""
+"""Slices of a mesh: planes, segments, loops. Regions are in regions.py; combined() here is the plain form of their boolean operations for two small regions."""
 
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from meshlake.config import DEFAULT
 from meshlake.functions import geometry as G
 from meshlake.functions import polygons as P
 from meshlake.functions.layers import over
+from meshlake.operators import chains
+from meshlake.operators.canonical import ranked
 from meshlake.operators.spatial_join import layers_of
+from meshlake.session import Scratch
 
 
 def at_plane(triangles: DataFrame, z: float) -> DataFrame:
@@ -42,45 +43,27 @@ def segments(triangles: DataFrame, height: float, z0: float | None = None) -> Da
     return found.select(F.col("layer").cast("long").alias("layer"), "object_id", "tri_id", "z", *(F.expr(pick(rises if k == 1 else falls, c)).alias(f"{c}{k}") for k in (1, 2) for c in "xy"))
 
 
-def _chained(directed: bool):
-    def chain(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        """Loops of one slice: each walk takes the first unused segment at its end; what doesn't close is dropped."""
-        rows = sorted(zip(group.x1, group.y1, group.x2, group.y2, strict=True))
-        ends: dict[tuple, list[int]] = defaultdict(list)
-        for i, (a, b, c, d) in enumerate(rows):
-            ends[(a, b)].append(i)
-            if not directed:
-                ends[(c, d)].append(i)
-        used, loops = [False] * len(rows), []
-        for i, (a, b, c, d) in enumerate(rows):
-            if used[i]:
-                continue
-            used[i], loop, here = True, [(a, b)], (c, d)
-            while here != (a, b):
-                nxt = next((k for k in ends.get(here, ()) if not used[k]), None)
-                if nxt is None or here in loop:
-                    break
-                used[nxt] = True
-                loop.append(here)
-                e = rows[nxt]
-                here = (e[2], e[3]) if (e[0], e[1]) == here else (e[0], e[1])
-            if here == (a, b) and len(loop) > 2:
-                loops.append(loop)
-        made = pd.DataFrame({"layer": [key[0]] * len(loops), "object_id": [key[1]] * len(loops), "loop_id": range(len(loops)), "pts": pd.Series([[{"x": x, "y": y} for x, y in p] for p in loops], dtype=object)})
-        return made.astype({c: "int64" for c in ("layer", "object_id", "loop_id")})
-
-    return chain
-
-
-LOOPS = "layer long, object_id long, loop_id long, pts array<struct<x: bigint, y: bigint>>"
+def loop_points(segment_table: DataFrame, directed: bool = True, scale: int = 10_000) -> DataFrame:
+    """(layer, object_id, loop_id, place, x, y): the points of closed loops of segments on the integer grid, for each layer and object. Where several segments
+    come to a point, the n-th in their order goes on with the n-th that leaves; without a sense, the ends at a point are paired in order. A loop begins
+    with its least segment, and loops are numbered by these. What doesn't close, and loops of fewer than three segments, go. Chaining is by
+    pointer doubling over all slices at once: no task holds a slice or a loop."""
+    keys = ["layer", "object_id"]
+    on_grid = segment_table.select(*(F.col(k).cast("long").alias(k) for k in keys), *(F.rint(F.col(c) * scale).cast("long").alias(c) for c in ("x1", "y1", "x2", "y2")))
+    numbered = Scratch(segment_table.sparkSession, "loops").write(ranked(on_grid.where("x1 <> x2 OR y1 <> y2"), [*keys, "x1", "y1", "x2", "y2"], "id"), "segments")
+    arcs, links = (numbered, chains.by_rank(numbered, keys)) if directed else chains.both_ways(numbered, keys)
+    found = chains.rings(links, "loops").where("length >= 3")
+    if not directed:
+        found = found.where("root % 2 = 0")
+    points = arcs.join(found, "id").select(*keys, "root", "place", F.col("x1").alias("x"), F.col("y1").alias("y"))
+    first = points.where("place = 0").select(*keys, "root", (F.row_number().over(Window.partitionBy(*keys).orderBy("root")) - 1).cast("long").alias("loop_id"))
+    return points.join(first, [*keys, "root"]).select(*keys, "loop_id", "place", "x", "y")
 
 
 def loops(segment_table: DataFrame, directed: bool = True, scale: int = 10_000) -> DataFrame:
-    """Closed loops of segments on the integer grid, for each layer and object: a walk is sequential, so it's Python's, but a
-    group is one object's slice, and groups are dealt out."""
-    on_grid = segment_table.select("layer", "object_id", *(F.rint(F.col(c) * scale).cast("long").alias(c) for c in ("x1", "y1", "x2", "y2")))
-    solid = on_grid.where("x1 <> x2 OR y1 <> y2")
-    return solid.groupBy("layer", "object_id").applyInPandas(_chained(directed), LOOPS)
+    """(layer, object_id, loop_id, pts): loop_points() with a loop's points as an array, which one row holds."""
+    listed = loop_points(segment_table, directed, scale).groupBy("layer", "object_id", "loop_id").agg(F.array_sort(F.collect_list(F.struct("place", "x", "y"))).alias("p"))
+    return listed.select("layer", "object_id", "loop_id", F.transform("p", lambda p: F.struct(p.x.alias("x"), p.y.alias("y"))).alias("pts"))
 
 
 def normalized(loop_table: DataFrame, counterclockwise: bool = True, scale: int = 10_000) -> DataFrame:
@@ -175,22 +158,6 @@ def offset(ring: list[Point], distance: float) -> list[Point]:
     return out
 
 
-RINGS = "array<array<struct<x: double, y: double>>>"
-
-
-def region_operation(pairs: DataFrame, how: str, key: str = "key", subject: str = "subject", clip: str = "clip") -> DataFrame:
-    """(key, rings, area) of each row's two regions (arrays of rings), combined row by row."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        points = lambda rings: [[(float(p["x"]), float(p["y"])) for p in r] for r in rings]
-        for batch in batches:
-            made = [combined(points(a), points(b), how) for a, b in zip(batch[subject], batch[clip], strict=True)]
-            yield pd.DataFrame({key: batch[key], "rings": [[[{"x": x, "y": y} for x, y in r] for r in m] for m in made]})
-
-    out = pairs.select(key, subject, clip).mapInPandas(run, f"{key} {dict(pairs.dtypes)[key]}, rings {RINGS}")
-    return out.withColumn("area", F.aggregate("rings", F.lit(0.0), lambda s, r: s + P.signed_area(r)))
-
-
 def offset_rings(rows: DataFrame, distance: float, key: str = "key", ring: str = "ring") -> DataFrame:
     """(key, ring, area): convex or mildly concave rings moved outwards by distance, with higher-order functions."""
     q = F.col(ring)

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from meshlake.functions import geometry as G
 from meshlake.functions import polygons as P
 from meshlake.functions.layers import over_sql
+from meshlake.operators import regions as region_operators
 from meshlake.operators import slicing
+from meshlake.queries import sheet
 from meshlake.queries.mesh import duck, grid
 from meshlake.sources.fixtures import GRID, LOOPS_POINTS, built, table
 
@@ -124,19 +126,24 @@ def _(spark, sf):
     return s.where("x1 <> x2 OR y1 <> y2").groupBy("layer").agg(F.count("*").alias("n"))
 
 
-@query("g7_chained_loops")
+def _listed(found):
+    """Points as two arrays, for the comparison with SQL."""
+    return found.select(*(c for c in found.columns if c != "pts"), *(F.col(f"pts.{c}").alias(f"{c}s") for c in "xy"))
+
+
+@query("g7_chained_loops", sheet.DIRECTED)
 def _(spark, sf):
-    return slicing.loops(slicing.segments(grid(spark, sf), HEIGHT))
+    return _listed(slicing.loops(slicing.segments(grid(spark, sf), HEIGHT)))
 
 
-@query("g8_undirected_loops")
+@query("g8_undirected_loops", sheet.UNDIRECTED)
 def _(spark, sf):
-    return slicing.loops(slicing.segments(grid(spark, sf), HEIGHT), directed=False)
+    return _listed(slicing.loops(slicing.segments(grid(spark, sf), HEIGHT), directed=False))
 
 
-@query("c6_normalized_loops")
+@query("c6_normalized_loops", sheet.NORMALIZED)
 def _(spark, sf):
-    return slicing.normalized(slicing.loops(slicing.segments(grid(spark, sf), HEIGHT)))
+    return _listed(slicing.normalized(slicing.loops(slicing.segments(grid(spark, sf), HEIGHT))))
 
 
 _SIZES = "SELECT p_partkey AS k, 40.0D + p_partkey % 30 AS w, 30.0D + p_partkey % 20 AS h, 5.0D + p_partkey % 25 AS dx, 3.0D + p_partkey % 17 AS dy FROM {part}"
@@ -155,7 +162,7 @@ for _how, _sql in (("union", f"2 * w * h - {_MEET}"), ("difference", f"w * h - {
 
     @query(f"c{('union', 'difference', 'intersection').index(_how) + 1}_{_how}", f"SELECT k, round({_sql}, 3) AS area, 1 AS n_rings FROM ({_SIZES})")
     def _(spark, sf, how=_how):
-        out = slicing.region_operation(regions(spark, sf), how, "k")
+        out = region_operators.combined(regions(spark, sf), how, "k")
         return out.select("k", F.round("area", 3).alias("area"), F.size("rings").alias("n_rings"))
 
 
