@@ -6,7 +6,7 @@ first, and the rest by Efraimidis-Spirakis sampling: each document draws an expo
 the seed, its id and its text, and documents are taken in the order of their keys until the budget is spent.
 
 Keys are sorted within a source in two steps, so that no task ever holds a source. A key's bucket, floor(BUCKETS * k / (1 + k)),
-grows with the key; sizes are summed by source and bucket (at most BUCKETS rows a source), and their running sums name
+grows with the key; sizes are summed by source and range of buckets, then by bucket within one range, and their running sums (a few hundred rows a source) name
 the bucket in which the budget ends. Only that bucket's documents are sorted, about one in BUCKETS of its source.
 
 Where the budget ends inside a document, the document is cut there; so a source's words are its budget, the target rounded to
@@ -30,6 +30,8 @@ WORD, BLANKS = r"[^\x20\x09-\x0D]+", r"[\x20\x09-\x0D]+"
 WEIGHTS, EPOCHS = (5, 2, 1), 3
 #: Of keys; the task that sorts the last bucket of the largest source gets about one in so many of its documents.
 BUCKETS = 1 << 16
+#: Buckets that are summed as one at first, so that running sums go over at most BUCKETS / COARSE rows a source, then over COARSE.
+COARSE = 1 << 8
 #: The least weight, so that junk is rare but not impossible.
 LEAST_QUALITY = 0.05
 _DRAWS = 1 << 52
@@ -75,16 +77,24 @@ def targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, epochs: int = EP
     return asked.withColumn("whole", F.expr("0L") + F.floor(budget / size)).withColumn("rest", budget - F.col("whole") * size)
 
 
+def _last_part(rows: DataFrame, needed: DataFrame) -> DataFrame:
+    """(source, part, rest): the part in which each source's rest ends, and what of the rest the parts before it leave."""
+    before = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = rows.groupBy("source", "part").agg(F.sum("size").alias("words")).withColumn("before", F.coalesce(F.sum("words").over(before), F.lit(0)))
+    found = parts.alias("p").join(needed.alias("n"), F.expr("p.source <=> n.source")).where("before < rest AND rest <= before + words")
+    return found.select("p.source", "part", (F.col("rest") - F.col("before")).alias("rest"))
+
+
 def ends(documents: DataFrame, asked: DataFrame) -> DataFrame:
     """asked with where each source's rest ends: documents with a smaller (key, size) than (end_key, end_size) are taken once more,
     those equal to it with end_words, later ones not. Nulls where the rest is 0."""
-    before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    needed = asked.where("rest > 0").select("source", "rest")
-    buckets = documents.where("size > 0").groupBy("source", "bucket").agg(F.sum("size").alias("words"))
-    summed = buckets.withColumn("before", F.coalesce(F.sum("words").over(before), F.lit(0))).alias("b").join(needed.alias("n"), F.expr("b.source <=> n.source"))
-    last = summed.where("before < rest AND rest <= before + words").select("b.source", "b.bucket", (F.col("rest") - F.col("before")).alias("rest"))
-    inside = documents.where("size > 0").alias("d").join(last.alias("l"), F.expr("d.source <=> l.source AND d.bucket = l.bucket"))
-    groups = inside.groupBy("l.source", "rest", "key", "size").agg(F.count("*").alias("copies"))
+    rows, needed = documents.where("size > 0"), asked.where("rest > 0").select("source", "rest")
+    for part in (F.expr(f"bucket DIV {COARSE}"), F.col("bucket")):
+        rows = rows.withColumn("part", part)
+        last = _last_part(rows, needed).alias("l")
+        rows = rows.drop("rest").alias("d").join(last, F.expr("d.source <=> l.source AND d.part = l.part")).select("d.source", "d.bucket", "key", "size", "rest")
+        needed = last.select("source", "rest")
+    groups = rows.groupBy("source", "rest", "key", "size").agg(F.count("*").alias("copies"))
     words = F.col("copies") * F.col("size")
     past = F.coalesce(F.sum(words).over(Window.partitionBy("source").orderBy("key", "size").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     found = groups.withColumn("past", past).where("past < rest AND rest <= past + copies * size")
