@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from meshlake.functions import geometry as G
 from meshlake.functions.layers import over
+from meshlake.operators import kd
 from meshlake.schemas import BOX
 
 WIDE = 64
@@ -70,11 +71,14 @@ def object_pairs(boxes: DataFrame) -> DataFrame:
     return pairs.where("l_object_id < r_object_id").select(F.col("l_object_id").alias("obj1"), F.col("r_object_id").alias("obj2"))
 
 
-def triangle_pairs(triangles: DataFrame, mode: str = "aabb", grow: float = 0.0) -> DataFrame:
+def triangle_pairs(triangles: DataFrame, mode: str = "aabb", grow: float = 0.0, cells: str = "grid") -> DataFrame:
     """(obj1, obj2, tri1, tri2) of triangles of different objects whose boxes overlap, obj1 < obj2.
 
     aabb: their boxes; mixed: the boxes of their vertices combined by the matrix that turns z to (1, 1, 100), as well;
-    expanded: boxes grown by grow times the shorter edge, which finds all pairs within the largest gap."""
+    expanded: boxes grown by grow times the shorter edge, which finds all pairs within the largest gap.
+    cells: grid, of one size in x and y; kd, fitted to the boxes in all three axes (kd.py), for models that are tall or dense in places."""
+    if cells not in ("grid", "kd"):
+        raise ValueError("cells must be grid or kd")
     if mode not in ("aabb", "mixed", "expanded"):
         raise ValueError("mode must be aabb, mixed or expanded")
     boxed = over(triangles, [G.box()])
@@ -82,16 +86,19 @@ def triangle_pairs(triangles: DataFrame, mode: str = "aabb", grow: float = 0.0)
         wide = over(triangles, [*G.metrics(), {k: v for k, v in G.box().items()}])
         boxed = wide.select("object_id", "tri_id", *((F.col(k) + (grow if k.startswith("mx") else -grow) * F.col("min_edge")).alias(k) for k in BOX))
     near = boxed.select("object_id", "tri_id", *BOX)
-    found = _pairs(near)
+    found = _pairs(near, cells)
     if mode != "mixed":
         return found
     combined, turned = G.mixed_box(G.rotation_to((1, 1, 100)))
-    return found.union(_pairs(over(triangles, [combined, turned]).select("object_id", "tri_id", *BOX))).distinct()
+    return found.union(_pairs(over(triangles, [combined, turned]).select("object_id", "tri_id", *BOX), cells)).distinct()
 
 
-def _pairs(boxes: DataFrame) -> DataFrame:
-    a = boxes.select(F.lit(0).alias("all"), "object_id", "tri_id", *BOX)
-    found = overlapping(a, a, ["all"]).where("l_object_id < r_object_id")
+def _pairs(boxes: DataFrame, cells: str) -> DataFrame:
+    if cells == "kd":
+        found = kd.overlapping(boxes, boxes, [], condition="l_object_id < r_object_id")
+    else:
+        a = boxes.select(F.lit(0).alias("all"), "object_id", "tri_id", *BOX)
+        found = overlapping(a, a, ["all"]).where("l_object_id < r_object_id")
     return found.select(*(F.col(f"{s}_{c}").alias(n) for s, c, n in (("l", "object_id", "obj1"), ("r", "object_id", "obj2"), ("l", "tri_id", "tri1"), ("r", "tri_id", "tri2"))))
 
 

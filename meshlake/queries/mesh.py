@@ -196,6 +196,14 @@ def _(spark, sf):
     return spatial_join.triangle_pairs(shell(spark, sf))
 
 
+_CORNER_BOXES = f"SELECT object_id, tri_id, least(ax, bx, cx) AS west, greatest(ax, bx, cx) AS east, least(ay, by, cy) AS south, greatest(ay, by, cy) AS north, least(az, bz, cz) AS low, greatest(az, bz, cz) AS high FROM ({SHELL})"
+
+
+@query("j2_pairs_by_median_splits", f"WITH c AS ({_CORNER_BOXES}) SELECT a.object_id AS obj1, b.object_id AS obj2, a.tri_id AS tri1, b.tri_id AS tri2 FROM c a JOIN c b ON a.object_id < b.object_id AND a.west <= b.east AND b.west <= a.east AND a.south <= b.north AND b.south <= a.north AND a.low <= b.high AND b.low <= a.high")
+def _(spark, sf):
+    return spatial_join.triangle_pairs(shell(spark, sf), cells="kd")
+
+
 @query("j3_mixed_pairs", f"{CANDIDATES} UNION SELECT a.object_id, b.object_id, a.tri_id, b.tri_id FROM ({MIXED_BOXES}) a JOIN ({MIXED_BOXES}) b ON a.object_id < b.object_id AND {overlap_on('a', 'b')}")
 def _(spark, sf):
     return spatial_join.triangle_pairs(shell(spark, sf), "mixed")
