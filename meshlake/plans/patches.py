@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from dataclasses import asdict
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meshlake.config import DEFAULT, Config
 from meshlake.operators import canonical, contact, patch, topology
 from meshlake.session import Scratch
+from meshlake.sources import store
 
 
 def patches(triangles: DataFrame, config: Config = DEFAULT, mode: str = "aabb") -> dict[str, DataFrame]:
@@ -24,3 +28,8 @@ def patches(triangles: DataFrame, config: Config = DEFAULT, mode: str = "aabb")
     parts = scratch.write(patch.patch_components(accepted, edges), "components")
     links = patch.component_links(pairs, parts)
     return {"pairs": pairs, "summary": summary, "graph": patch.area_graph(accepted, pairs, edges, measured), "components": parts, "links": links, "objects": patch.object_graph(links), "first": patch.first_links(links), "triangles": measured, "edges": edges, "accepted": accepted.select("*", F.lit(True).alias("accepted"))}
+
+
+def kept_patches(triangles: DataFrame, root: str, results: Sequence[str], config: Config = DEFAULT, mode: str = "aabb") -> dict[str, DataFrame]:
+    """Some results of patches(), by their names there, for these triangles and parameters: read from under root if they were computed before."""
+    return store.kept(triangles, root, results, lambda: patches(triangles, config, mode), mode=mode, **asdict(config))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 FLAGSHIP = "p20_contact_pairs"
-MODULES = ("mesh", "patches", "loops", "regions", "materials")
+MODULES = ("mesh", "patches", "loops", "regions", "stores", "materials")
 
 
 def _of(attribute: str) -> dict:

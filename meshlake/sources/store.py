@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import hashlib
 import json
+import logging
+from collections.abc import Callable, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +15,7 @@ from meshlake.operators.materials import digest
 from meshlake.schemas import ASSIGNMENT, MATERIAL
 
 VERSION = 1
+log = logging.getLogger("store")
 
 
 def location(root: str, name: str, model_id: str, **parameters) -> str:
@@ -43,6 +47,62 @@ def load(spark: SparkSession, path: str, schema=None, check: bool = True) -> Dat
     return df
 
 
+def model_key(model: DataFrame) -> str:
+    """What stands for a model's content: equal for the same rows in any order of rows and columns, another one if any value changes."""
+    found = digest(model).first()
+    return hashlib.sha256(f"{found.n} {found.digest} {sorted(model.dtypes)}".encode()).hexdigest()
+
+
+def complete(spark: SparkSession, path: str) -> bool:
+    """Whether a result stands there whole: its fingerprint is written last."""
+    try:
+        return not spark.read.schema("n long, digest string").json(f"{path}/digest").isEmpty()
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return False
+
+
+def kept(model: DataFrame, root: str, results: Sequence[str], build: Callable[[], dict[str, DataFrame]], by: list[str] | None = None, **parameters) -> dict[str, DataFrame]:
+    """The named results for a model's content and these parameters: read and verified if they stand under root, else built, all that are missing by one
+    call of build(), and written. What doesn't match its fingerprint is built again. A lookup reads the model once and plans nothing else."""
+    spark, key = model.sparkSession, model_key(model)
+    paths = {name: location(root, name, key, **parameters) for name in results}
+    found: dict[str, DataFrame] = {}
+    for name, path in paths.items():
+        if complete(spark, path):
+            try:
+                found[name] = load(spark, path)
+            except ValueError:
+                log.warning("%s doesn't match its fingerprint and is built again", path)
+    if missing := [name for name in results if name not in found]:
+        made = build()
+        for name in missing:
+            found[name] = save(made[name], paths[name], by)
+    return {name: found[name] for name in results}
+
+
+PAIR = ["obj1", "obj2"]
+
+
+def save_pairs(pairs: DataFrame, path: str) -> None:
+    """A table of rows about object pairs, partitioned by obj1 and obj2: replaces the pairs that are in pairs and leaves all others. Rows are dealt by pair, and those of a large
+    pair to several files."""
+    rows = pairs.hint("rebalance", *PAIR)
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy(*PAIR).parquet(path)
+
+
+def load_pairs(spark: SparkSession, path: str, only: Sequence[tuple[int, int]] | None = None) -> DataFrame:
+    """All pairs, or some: then Spark opens their partitions alone."""
+    found = spark.read.parquet(path)
+    if only is None:
+        return found
+    wanted = F.lit(False)
+    for a, b in only:
+        wanted |= (F.col("obj1") == a) & (F.col("obj2") == b)
+    return found.where(wanted)
+
+
 def read_materials(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("multiLine", True).schema(MATERIAL).json(path)
 
