@@ -118,8 +118,8 @@ class Model:
         self.shown = [None if i in self.of_byte else "" if i in self.special else p.replace(BLANK, " ") for i, p in enumerate(self.pieces)]
         self.longest = max(map(len, self.ids))
         self.stable: dict[int, bool] = {}
-        self.memo: dict[str, array] = {}
-        self.elder: dict[str, array] = {}
+        self.memo: dict[str, bytes] = {}
+        self.elder: dict[str, bytes] = {}
         self.held = 0  # bytes of the memo, about
         self.ends: dict[str, int] = {}  # every ending of a piece: the piece's id if it is one that merging makes, else -1
         for piece, i in self.ids.items():
@@ -192,21 +192,23 @@ class Stream:
     """Ids of characters fed in any portions. text: what isn't final yet; back: for each place in it, the last piece and its
     length. Place 0 of the window is a final boundary, and holds the piece before it."""
 
+    __slots__ = ("model", "text", "back")
+
     def __init__(self, model: Model):
         self.model, self.text = model, ""
         self.back: list[tuple[int | None, int]] = [(None, 0)]
 
-    def feed(self, characters: str) -> Iterator[int]:
+    def feed(self, characters: str) -> list[int]:
         """The ids that become final with these characters."""
         self.text += characters
-        most = 4 * self.model.longest
+        most, out = 4 * self.model.longest, []
         while True:
             n = min(len(self.text), most)
             search(self.model, self.text, self.back, n)
             if n < most:
-                return
+                return out
             place = self._boundary(n)
-            yield from self._final(place)
+            out += self._final(place)
             most = max(4 * self.model.longest, n - place + self.model.longest)
 
     def _boundary(self, n: int) -> int:
@@ -220,12 +222,14 @@ class Stream:
 
     def _final(self, place: int) -> list[int]:
         ids = path(self.model, self.text, self.back, place)
-        if place:
+        if place == len(self.text):
+            self.text, self.back = "", [(self.back[place][0], 0)]
+        elif place:
             self.text, self.back = self.text[place:], [(self.back[place][0], 0), *self.back[place + 1 :]]
         return ids
 
-    def end(self) -> Iterator[int]:
-        yield from self._final(len(self.text))
+    def end(self) -> list[int]:
+        return self._final(len(self.text))
 
 
 def load(path: str) -> Model:
@@ -235,28 +239,36 @@ def load(path: str) -> Model:
     return _models[path]
 
 
-def encode(model: Model, text: str) -> list[int]:
-    """Ids of a text. No piece has a blank after another character, so a blank after one is a boundary whatever comes:
-    what lies between two such is searched by itself, once for all its occurrences that are remembered."""
+def searched(model: Model, word: str) -> bytes:
+    """The ids of what lies between two boundaries, as 32-bit numbers."""
+    stream = Stream(model)
+    return array("i", stream.feed(word) + stream.end()).tobytes()
+
+
+def packed(model: Model, text: str) -> bytes:
+    """Ids of a text, as 32-bit numbers. No piece has a blank after another character, so a blank after one is a boundary whatever comes:
+    what lies between two such is searched by itself, once for all its occurrences that are remembered. In a text with single blanks
+    between words, a word's key is the word, which stands for a blank and the word; otherwise keys begin with the blank character."""
     if not text:
-        return []
-    out: list[int] = []
-    memo = model.memo
-    for word in words(text):
-        got = memo.get(word)
+        return b""
+    plain = BLANK not in text and "  " not in text and text[0] != " " and text[-1] != " "
+    parts = text.split(" ") if plain else words(text)
+    found = list(map(model.memo.get, parts))
+    for k, got in enumerate(found):
         if got is None:
-            got = model.elder.get(word)
-            if got is None:
-                stream = Stream(model)
-                got = array("i", (*stream.feed(word), *stream.end()))
-            if len(word) <= 64:
+            part = parts[k]
+            got = model.memo.get(part) or model.elder.get(part) or searched(model, BLANK + part if plain else part)
+            found[k] = got
+            if len(part) <= 64 and part not in model.memo:
                 if model.held > WORD_BYTES:  # words that are still in use have come over into the younger generation
-                    model.elder, model.held = memo, 0
-                    memo = model.memo = {}
-                memo[word] = got
-                model.held += 272 + 2 * len(word)
-        out.extend(got)
-    return out
+                    model.elder, model.memo, model.held = model.memo, {}, 0
+                model.memo[part] = got
+                model.held += 272 + 2 * len(part)
+    return b"".join(found)
+
+
+def encode(model: Model, text: str) -> list[int]:
+    return array("i", packed(model, text)).tolist()
 
 
 def words(text: str) -> list[str]:
@@ -277,7 +289,7 @@ def words(text: str) -> list[str]:
 def decode(model: Model, ids: Iterable[int]) -> str:
     """The text of ids: bytes that aren't UTF-8 become replacement characters, and the first blank goes."""
     ids = list(ids)
-    shown = [model.shown[i] for i in ids]
+    shown = list(map(model.shown.__getitem__, ids))
     if None not in shown:  # no bytes
         return "".join(shown).removeprefix(" ")
     out: list[str] = []
@@ -297,9 +309,8 @@ def decode(model: Model, ids: Iterable[int]) -> str:
 
 def row(model: Model, text: bytes | None) -> tuple:
     text = (text or b"").decode()
-    ids = encode(model, text)
-    packed = np.array(ids, np.int32)
-    return packed, len(ids), hashlib.sha256(packed.astype("<i4").tobytes()).hexdigest(), decode(model, ids) == text.replace(BLANK, " ")
+    ids = np.frombuffer(packed(model, text), np.int32)
+    return ids, len(ids), hashlib.sha256(ids.astype("<i4").tobytes()).hexdigest(), decode(model, ids.tolist()) == text.replace(BLANK, " ")
 
 
 def encoded(documents: DataFrame, path: str, doc_id: str | None = "doc_id", text: str = "text") -> tuple[DataFrame, str]:
