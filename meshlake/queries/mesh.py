@@ -12,6 +12,7 @@ from meshlake.functions.layers import over, over_sql
 from meshlake.operators import canonical as C
 from meshlake.operators import graph, spatial_join, topology
 from meshlake.session import Scratch
+from meshlake.queries import by_hand
 from meshlake.sources import amf, store
 from meshlake.sources.fixtures import EDGES, GRID, MEETINGS, SHELL, SOUP_FIELDS, SOUP_SPARK, SOUP_SQL, built, plain, table
 
@@ -106,12 +107,12 @@ def _(spark, sf):
     return C.object_triangles(i, C.unique_triangles(i))
 
 
-@query("p5_unit_normals", f"SELECT object_id, tri_id, {r_sql(['nx', 'ny', 'nz'])} FROM ({over_sql(QUANTIZED, G.normal())})")
+@query("p5_unit_normals", f"SELECT object_id, tri_id, {r_sql(['nx', 'ny', 'nz'])} FROM ({by_hand.normals(QUANTIZED, '0.1')})")
 def _(spark, sf):
     return over(C.quantize(soup(spark, sf)), G.normal()).select("object_id", "tri_id", *rounded(["nx", "ny", "nz"]))
 
 
-@query("p6_fine_normals", f"SELECT object_id, tri_id, {r_sql(['nx', 'ny', 'nz'])} FROM ({over_sql(SOUP_SQL, G.normal(least=1e-12))})")
+@query("p6_fine_normals", f"SELECT object_id, tri_id, {r_sql(['nx', 'ny', 'nz'])} FROM ({by_hand.normals(SOUP_SQL, '1e-12')})")
 def _(spark, sf):
     return over(soup(spark, sf), G.normal(least=1e-12)).select("object_id", "tri_id", *rounded(["nx", "ny", "nz"]))
 
@@ -119,45 +120,40 @@ def _(spark, sf):
 METRICS = ["min_edge", "max_edge", "perimeter", "area"]
 
 
-@query("p7_edges_area", f"SELECT object_id, tri_id, {r_sql(METRICS, 4)} FROM ({over_sql(GRID, G.metrics())})")
+@query("p7_edges_area", f"SELECT object_id, tri_id, {r_sql(METRICS, 4)} FROM ({by_hand.metrics(GRID)})")
 def _(spark, sf):
     return over(grid(spark, sf), G.metrics()).select("object_id", "tri_id", *rounded(METRICS, 4))
 
 
-SPANS = ", ".join(f"max(mx{c}) - min(mn{c}) AS span{c}" for c in "xyz")
-DIAGONAL = "sqrt(" + " + ".join(f"CAST(span{c} AS DOUBLE) * CAST(span{c} AS DOUBLE)" for c in "xyz") + ")"
-
-
 def measured_sql(t: str) -> str:
     """A statement: the triangles of t with all measures."""
-    whole = over_sql(t, [*G.metrics(), *G.normal(), G.box()])
-    return over_sql(f"SELECT w.*, {DIAGONAL} AS diagonal FROM ({whole}) w JOIN (SELECT object_id, {SPANS} FROM ({whole}) GROUP BY object_id) s USING (object_id)", G.grades("diagonal"))
+    return by_hand.measured(t)
 
 
 GRADES = ["shape_grade", "error_grade", "area_grade"]
 
 
-@query("p8_quality_grades", f"SELECT object_id, tri_id, {', '.join(GRADES)}, {G.band(GRADES)} AS band FROM ({measured_sql(QUANTIZED)})")
+@query("p8_quality_grades", f"SELECT object_id, tri_id, shape_grade, error_grade, area_grade, {by_hand.BAND} AS band FROM ({by_hand.graded(QUANTIZED)})")
 def _(spark, sf):
     return C.measured(C.quantize(soup(spark, sf))).select("object_id", "tri_id", *GRADES, F.expr(G.band(GRADES)).alias("band"))
 
 
-@query("f9_bands", f"SELECT object_id, band, count(*) AS n FROM (SELECT object_id, {G.band(['shape_grade', 'error_grade', 'area_grade'])} AS band FROM ({measured_sql(QUANTIZED)})) GROUP BY ALL")
+@query("f9_bands", f"SELECT object_id, {by_hand.BAND} AS band, count(*) AS n FROM ({by_hand.graded(QUANTIZED)}) GROUP BY ALL")
 def _(spark, sf):
     m = C.measured(C.quantize(soup(spark, sf)))
     return m.groupBy("object_id", F.expr(G.band(GRADES)).alias("band")).agg(F.count("*").alias("n"))
 
 
-@query("p11_classify", f"SELECT l_orderkey, l_linenumber, {G.grade('l_quantity', (5, 20, 30, 45))} AS upper_grade, {G.grade('l_quantity', (45, 30, 20, 5), False)} AS lower_grade FROM lineitem")
+@query("p11_classify", by_hand.CLASSIFIED)
 def _(spark, sf):
     return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.expr(G.grade("l_quantity", (5, 20, 30, 45))).alias("upper_grade"), F.expr(G.grade("l_quantity", (45, 30, 20, 5), False)).alias("lower_grade"))
 
 
-BOXES = over_sql(SHELL, [G.box()])
+BOXES = by_hand.boxes(SHELL)
 OBJECT_BOX = f"SELECT object_id, {', '.join(f'{f}({m}{c}) AS {m}{c}' for m, f in (('mn', 'min'), ('mx', 'max')) for c in 'xyz')} FROM ({BOXES}) GROUP BY object_id"
 
 
-@query("p12_triangle_boxes", f"SELECT object_id, tri_id, mnx, mny, mnz, mxx, mxy, mxz FROM ({BOXES})")
+@query("p12_triangle_boxes", by_hand.boxes(SHELL))
 def _(spark, sf):
     return over(shell(spark, sf), [G.box()]).select("object_id", "tri_id", *spatial_join.BOX)
 
@@ -240,9 +236,9 @@ def _(spark, sf):
     return topology.neighbours(indexed(spark, sf), "all")
 
 
-@query("j8_triangles_at", f"SELECT tri_id, neighbour FROM ({MANIFOLD}) WHERE object_id = 1")
+@query("j8_triangles_at", f"SELECT object_id, tri_id, neighbour FROM ({MANIFOLD})")
 def _(spark, sf):
-    return topology.neighbours(indexed(spark, sf)).where("object_id = 1").select("tri_id", "neighbour")
+    return topology.neighbours(indexed(spark, sf)).select("object_id", "tri_id", "neighbour")
 
 
 @query("a7_vertex_triangles", f"SELECT object_id, vid, list_sort(list(DISTINCT tri_id)) AS tri_ids FROM (SELECT object_id, tri_id, unnest([v0, v1, v2]) AS vid FROM ({GI})) GROUP BY object_id, vid")
@@ -349,7 +345,7 @@ def _turn(row: list[float]) -> str:
     return " + ".join(f"({v!r}D) * CAST({c} AS DOUBLE)" for v, c in zip(row, ("ax", "ay", "az"), strict=True))
 
 
-@query("p28_rotated_points", f"SELECT object_id, tri_id, {', '.join(f'round({_turn(r)}, 5) AS r{c}' for r, c in zip(_M, 'xyz', strict=True))} FROM ({SOUP_SQL})")
+@query("p28_rotated_points", by_hand.turned(SOUP_SQL))
 def _(spark, sf):
     return soup(spark, sf).select("object_id", "tri_id", *(F.expr(f"round({_turn(r)}, 5)").alias(f"r{c}") for r, c in zip(_M, "xyz", strict=True)))
 
@@ -359,7 +355,7 @@ _p, _a, _b, _c, _o = (tuple(f"{p}{c}" for c in "xy") for p in ("", "a", "b", "c"
 PREDICATES = f"SELECT k, {G.location(_p, _a, _b, _c)} AS place, {G.orient(_a, _b, _p)} AS turn, {G.strictly_cross(_a, _b, _p, _o)} OR {G.strictly_cross(_b, _c, _p, _o)} OR {G.strictly_cross(_c, _a, _p, _o)} AS crosses FROM ({PLANAR})"
 
 
-@query("p24_planar_predicates", PREDICATES)
+@query("p24_planar_predicates", by_hand.planar(PLANAR))
 def _(spark, sf):
     return built(spark, sf, PREDICATES)
 

@@ -9,6 +9,7 @@ from meshlake.functions import geometry as G
 from meshlake.functions.layers import over, over_sql
 from meshlake.operators import canonical, contact, patch, spatial_join
 from meshlake.plans.patches import patches
+from meshlake.queries import by_hand
 from meshlake.queries.mesh import CANDIDATES, INDEXED, duck, measured_sql, shell
 from meshlake.session import Scratch
 from meshlake.sources.fixtures import SHELL
@@ -109,7 +110,7 @@ def _(spark, sf):
     return rounded(rounded(rounded(found, "angle", "cover1", "cover2", "cover_max"), "gap", digits=5), "intersection_area", digits=3)
 
 
-@query("p14_dihedral_angles", f"SELECT object_id, lo.tri_id AS tri_id, hi.tri_id AS neighbour, round({G.degrees_between('lo.n', 'hi.n')}, 6) AS angle FROM (SELECT * FROM ({measured_sql(SHELL)})) lo JOIN (SELECT * FROM ({measured_sql(SHELL)})) hi USING (object_id) WHERE hi.tri_id = lo.tri_id + 1 AND lo.tri_id % 2 = 0")
+@query("p14_dihedral_angles", by_hand.halves(SHELL))
 def _(spark, sf):
     m = measured(spark, sf).select("object_id", "tri_id", "nx", "ny", "nz")
     other = m.select("object_id", (F.col("tri_id") - 1).alias("tri_id"), F.col("tri_id").alias("neighbour"), *(F.col(f"n{c}").alias(f"m{c}") for c in "xyz"))
@@ -120,7 +121,7 @@ def _(spark, sf):
 _PROBE = "SELECT object_id, tri_id, CAST(ax + 150 AS DOUBLE) AS px, CAST(ay - 60 AS DOUBLE) AS py, CAST(bz + 35 AS DOUBLE) AS pz, " + ", ".join(f"CAST({p}{c} AS DOUBLE) AS {p}{c}" for p in "abc" for c in "xyz") + f" FROM ({SHELL})"
 
 
-@query("p15_point_triangle", f"SELECT object_id, tri_id, round(distance, 5) AS distance FROM ({over_sql(_PROBE, G.point_triangle())})")
+@query("p15_point_triangle", by_hand.point_to_triangle(SHELL))
 def _(spark, sf):
     s = shell(spark, sf)
     doubles = {f"{p}{c}": F.col(f"{p}{c}").cast("double") for p in "abc" for c in "xyz"}
@@ -131,7 +132,7 @@ def _(spark, sf):
 _LINE = "SELECT object_id, tri_id, " + ", ".join(f"CAST({e} AS DOUBLE) AS {n}{c}" for n, p, m in (("a", "a", 0), ("b", "b", 0), ("c", "c", 40), ("d", "a", 90)) for c in "xyz" for e in [f"{p}{c} + {m}"]) + f" FROM ({SHELL})"
 
 
-@query("p17_segment_segment", f"SELECT object_id, tri_id, round(distance, 5) AS distance FROM ({over_sql(_LINE, G.segment_segment())})")
+@query("p17_segment_segment", by_hand.segment_to_segment(SHELL))
 def _(spark, sf):
     lines = shell(spark, sf).select("object_id", "tri_id", *((F.col(f"{p}{c}") + m).cast("double").alias(f"{n}{c}") for n, p, m in (("a", "a", 0), ("b", "b", 0), ("c", "c", 40), ("d", "a", 90)) for c in "xyz"))
     return over(lines, G.segment_segment()).select("object_id", "tri_id", F.round("distance", 5).alias("distance"))
