@@ -27,16 +27,20 @@ def corners(triangles: DataFrame) -> DataFrame:
 
 
 def ranked(distinct: DataFrame, order: list[str], name: str, by: list[str] | None = None) -> DataFrame:
-    """Rows numbered from 0 in the given order. Without a partition the table is ordered by ranges, and each range adds
-    the sizes of those before it: no task gets all rows. The ranges are written, as sampling their bounds again could give
-    others."""
-    if by:
-        return distinct.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("long") - 1)
-    ordered = Scratch(distinct.sparkSession, "ranked").write(distinct.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")
-    sizes = ordered.groupBy("_range").agg(F.count("*").alias("_n"))
-    before = sizes.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"))  # a row for each range
-    inside = Window.partitionBy("_range").orderBy(*order)
-    return ordered.join(F.broadcast(before), "_range").withColumn(name, (F.row_number().over(inside) - 1 + F.col("_before")).cast("long")).drop("_range", "_before")
+    """Rows numbered from 0 in the given order, in the whole table or within groups of by. The table is ordered by ranges, and
+    each range adds the sizes of those before it (of its groups in those before it): no task gets all rows or a whole large
+    group. The ranges are written, as sampling their bounds again could give others."""
+    by = by or []
+    ordered = Scratch(distinct.sparkSession, "ranked").write(distinct.repartitionByRange(*by, *order).withColumn("_range", F.spark_partition_id()), "ranges")
+    sizes = ordered.groupBy("_range", *by).agg(F.count("*").alias("_n"))
+    earlier = Window.partitionBy(*by).orderBy("_range")  # a group has a row for each range that it reaches
+    before = sizes.select("_range", *(F.col(c).alias(f"_{c}") for c in by), (F.sum("_n").over(earlier) - F.col("_n")).alias("_before")).withColumnRenamed("_range", "_r")
+    same = F.col("_range") == F.col("_r")
+    for c in by:
+        same &= F.col(c).eqNullSafe(F.col(f"_{c}"))
+    joined = ordered.join(before if by else F.broadcast(before), same)
+    inside = Window.partitionBy("_range", *by).orderBy(*order)
+    return joined.withColumn(name, (F.row_number().over(inside) - 1 + F.col("_before")).cast("long")).drop("_range", "_r", "_before", *(f"_{c}" for c in by))
 
 
 def vertices(triangles: DataFrame, order: str = "zyx") -> DataFrame:

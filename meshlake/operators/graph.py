@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from meshlake.operators.canonical import ranked
 from meshlake.session import Scratch
 
 
@@ -36,18 +37,23 @@ def components(edges: DataFrame, nodes: DataFrame | None = None, rounds: int = 6
 
 def multi_source_bfs(edges: DataFrame, sources: DataFrame, rounds: int = 1000) -> DataFrame:
     """(id, depth, owner, parent): breadth-first from sources (id) over undirected edges (a, b). Ties go to the smallest
-    owner, then the smallest parent."""
+    owner, then the smallest parent. Sources without edges are reached, too; edges from a node to itself lead nowhere.
+
+    A round reads and writes its frontier alone: a neighbour of a node at depth k is at depth k - 1, k or k + 1, so only the
+    last two frontiers have to be left out, however many nodes were reached before."""
     scratch = Scratch(edges.sparkSession, "bfs")
-    ways = scratch.write(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "ways")
-    first = sources.select("id").distinct()
-    seen = scratch.write(first.select("id", F.lit(0).cast("long").alias("depth"), F.col("id").alias("owner"), F.lit(None).cast("long").alias("parent")), "0")
+    ways = scratch.write(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct(), "ways")
+    first = sources.select("id").where("id IS NOT NULL").distinct()
+    frontier = scratch.write(first.select("id", F.lit(0).cast("long").alias("depth"), F.col("id").alias("owner"), F.lit(None).cast("long").alias("parent")), "reached/0")
+    near = frontier.select(F.col("id").alias("b"))
     for k in range(1, rounds + 1):
-        step = seen.where(F.col("depth") == k - 1).select(F.col("id").alias("a"), "owner").join(ways, "a").join(seen.select(F.col("id").alias("b")), "b", "left_anti")
+        step = frontier.select(F.col("id").alias("a"), "owner").join(ways, "a").join(near, "b", "left_anti")
         best = step.groupBy("b").agg(F.min(F.struct("owner", "a")).alias("w")).select(F.col("b").alias("id"), F.lit(k).cast("long").alias("depth"), F.col("w.owner").alias("owner"), F.col("w.a").alias("parent"))
-        after = scratch.write(seen.union(best), str(k))
-        if after.where(F.col("depth") == k).isEmpty():
-            return after
-        seen = after
+        after = scratch.write(best, f"reached/{k}")
+        if after.isEmpty():
+            return scratch.read("reached/*", after.schema)
+        near = after.select(F.col("id").alias("b")).union(frontier.select("id"))
+        frontier = after
     raise RuntimeError("the search didn't end")
 
 
@@ -60,13 +66,13 @@ def meetings(edges: DataFrame, reached: DataFrame) -> DataFrame:
 
 def repair_order(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(id, component, depth, place): the order in which the nodes of each component come up for repair. The search starts at
-    ends of degree one, or at the smallest node of a component without such; outer nodes come before inner ones."""
+    ends of degree one, or at the smallest node of a component without such; outer nodes come before inner ones, and smaller
+    ids before larger ones. Places are counted by ranges, so that no task holds a component."""
     scratch = Scratch(edges.sparkSession, "repair")
     part = scratch.write(components(edges, nodes), "components")
-    degree = edges.select("a", "b").union(edges.select("b", "a")).distinct().groupBy("a").agg(F.count("*").alias("degree"))
+    degree = edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct().groupBy("a").agg(F.count("*").alias("degree"))
     with_degree = part.join(degree.withColumnRenamed("a", "id"), "id", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
-    ends = with_degree.where("degree = 1").select("id", "component")
-    without = with_degree.join(ends.select("component").distinct(), "component", "left_anti").groupBy("component").agg(F.min("id").alias("id"))
+    ends = scratch.write(with_degree.where("degree = 1").select("id", "component"), "ends")
+    without = part.join(ends.select("component").distinct(), "component", "left_anti").groupBy("component").agg(F.min("id").alias("id"))
     reached = multi_source_bfs(edges, ends.select("id").union(without.select("id")))
-    place = F.row_number().over(Window.partitionBy("component").orderBy("depth", "id")).cast("long") - 1
-    return part.join(reached.select("id", "depth"), "id").withColumn("place", place)
+    return ranked(part.join(reached.select("id", "depth"), "id"), ["depth", "id"], "place", ["component"]).select("id", "component", "depth", "place")

@@ -325,14 +325,23 @@ def _(spark, sf, edges=EDGES):
 query("g4_breadth_first_whole", ORACLES["g4_breadth_first"].replace(plain(EDGES), plain(MEETINGS)))(partial(QUERIES["g4_breadth_first"], edges=MEETINGS))
 
 
-@query("g4_meetings")
+#: The nearest source that is smallest owns a node.
+_OWNED = DEPTHS[: DEPTHS.index("\nSELECT")] + ", owned AS (SELECT id, owner FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY depth, owner) AS n FROM walk) WHERE n = 1)"
+
+
+@query("g4_meetings", f"WITH RECURSIVE e AS ({plain(MEETINGS)}), ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e), sources AS (SELECT DISTINCT a AS id FROM ways WHERE a % 5 = 0){_OWNED} SELECT a, b FROM e JOIN owned x ON x.id = a JOIN owned y ON y.id = b WHERE x.owner <> y.owner")
 def _(spark, sf):
     e = built(spark, sf, MEETINGS)
     ends = e.select(F.col("a").alias("id")).union(e.select("b")).where("id % 5 = 0")
     return graph.meetings(e, graph.multi_source_bfs(e, ends))
 
 
-@query("g5_repair_order")
+@query("g5_repair_order", f"""WITH RECURSIVE sparse AS ({ADJACENT}), {WAYS}, nodes AS (SELECT DISTINCT a AS id FROM ways), {REACH},
+label AS (SELECT x AS id, min(y) AS component FROM reach GROUP BY x),
+ends AS (SELECT id, component FROM label JOIN (SELECT a AS id FROM ways GROUP BY a HAVING count(*) = 1) USING (id)),
+sources AS (SELECT id FROM ends UNION SELECT min(id) FROM label WHERE component NOT IN (SELECT component FROM ends) GROUP BY component),
+walk(id, depth) AS (SELECT id, 0 FROM sources UNION SELECT ways.b, walk.depth + 1 FROM walk JOIN ways ON walk.id = ways.a WHERE walk.depth < 300)
+SELECT id, component, CAST(depth AS BIGINT) AS depth, row_number() OVER (PARTITION BY component ORDER BY depth, id) - 1 AS place FROM label JOIN (SELECT id, min(depth) AS depth FROM walk GROUP BY id) USING (id)""")
 def _(spark, sf):
     e = adjacent(spark, sf)
     return graph.repair_order(e, e.select(F.col("a").alias("id")).union(e.select("b")).distinct())

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 
 def checkpoint_root(spark: SparkSession) -> str:
@@ -30,7 +31,11 @@ class Scratch:
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         df.write.mode("overwrite").option("compression", "zstd").parquet(f"{self.root}/{name}")
-        return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
+        return self.read(name, df.schema)
+
+    def read(self, name: str, schema: StructType) -> DataFrame:
+        """Tables written before, whose names may hold a pattern."""
+        return self.spark.read.schema(schema).parquet(f"{self.root}/{name}")
 
     def drop(self, name: str = "") -> None:
         self._forget(f"{self.root}/{name}".rstrip("/"))

@@ -188,6 +188,49 @@ def test_bfs_and_repair(spark):
     assert order[1] < order[2] and order[4] < order[3] and order[7] == 0
 
 
+def test_search_reads_frontiers_alone(spark):
+    """A comb: a long path with teeth, two sources, a loop at a node, a source without edges and one that is NULL; held against a queue."""
+    from collections import deque
+
+    links = [(k, k + 1) for k in range(25)] + [(k, 100 + k) for k in range(0, 25, 3)] + [(100, 103), (5, 5), (25, 0), (7, 19)]
+    ways: dict[int, set[int]] = {}
+    for a, b in links:
+        ways.setdefault(a, set()).add(b)
+        ways.setdefault(b, set()).add(a)
+    depth, queue = {4: 0, 17: 0, 900: 0}, deque((4, 17, 900))
+    while queue:
+        a = queue.popleft()
+        for b in ways.get(a, ()):
+            if b not in depth:
+                depth[b] = depth[a] + 1
+                queue.append(b)
+    owner = {s: s for s in (4, 17, 900)}
+    parent: dict[int, int | None] = dict.fromkeys(owner)
+    for n in sorted(set(depth) - set(owner), key=depth.get):
+        owner[n], parent[n] = min((owner[m], m) for m in ways[n] if depth[m] == depth[n] - 1)
+    found = graph.multi_source_bfs(spark.createDataFrame(links, "a long, b long"), spark.createDataFrame([(4,), (17,), (17,), (900,), (None,)], "id long")).collect()
+    assert len(found) == len(depth) and {r.id: (r.depth, r.owner, r.parent) for r in found} == {n: (depth[n], owner[n], parent[n]) for n in depth}
+
+
+def test_places_of_one_group_come_from_many_ranges(spark):
+    n = 3000
+    group = F.when(F.col("id") % 10 < 9, 1).when(F.col("id") % 20 == 9, 2)
+    df = spark.range(n).select(group.alias("g"), ((F.col("id") * 7919) % n).alias("v"))
+    want, sizes = {}, {}
+    for g, v in sorted((r.g or 0, r.v) for r in df.collect()):
+        want[g, v] = sizes.get(g, 0)
+        sizes[g] = sizes.get(g, 0) + 1
+    setting = "spark.sql.adaptive.coalescePartitions.enabled"  # or rows as few as these go to one range
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "false")
+    try:
+        assert df.repartitionByRange("g", "v").where("g = 1").select(F.spark_partition_id()).distinct().count() > 1
+        got = {(r.g or 0, r.v): r.place for r in canonical.ranked(df, ["v"], "place", ["g"]).collect()}
+    finally:
+        spark.conf.set(setting, before)
+    assert got == want
+
+
 def test_amf(spark, tmp_path):
     body = "".join(f"<vertex><coordinates><x>{x}</x><y>{y}</y><z>0</z></coordinates></vertex>" for x, y in ((0, 0), (1, 0), (0, 1)))
     good = f'<object id="5"><mesh><vertices><vertex/>{body}</vertices><volume><color><r>1</r><g>0</g><b>0</b></color><triangle><v1>0</v1><v2>1</v2><v3>2</v3></triangle></volume></mesh></object>'
