@@ -7,6 +7,7 @@ from functools import partial
 from pyspark.sql import functions as F
 
 from meshlake.functions import materials as M
+from meshlake.operators import digest as DG
 from meshlake.operators import materials as R
 from meshlake.queries.mesh import duck
 from meshlake.sources.fixtures import EDGES, MEETINGS, built, plain, table
@@ -302,6 +303,33 @@ def _(spark, sf):
     return lists.select("g", F.md5(F.array_join("l", "\n")).alias("h"))
 
 
+def _profiles(spark, sf):
+    """Customers with nested columns: their orders' keys in no order, the orders as a list by key, balance and segment as a struct and as a map."""
+    own = table(spark, sf, "orders").groupBy("o_custkey").agg(F.collect_list("o_orderkey").alias("keys"), F.array_sort(F.collect_list(F.struct("o_orderkey", "o_totalprice", F.col("o_orderdate").cast("date").alias("day")))).alias("orders"))
+    c = table(spark, sf, "customer").join(own, F.col("c_custkey") == F.col("o_custkey"), "left")
+    about = F.struct("c_mktsegment", F.when(F.col("c_custkey") % 3 > 0, F.col("c_acctbal")).alias("balance"))
+    return c.select(F.col("c_nationkey").alias("nation"), F.col("c_custkey").alias("k"), "keys", "orders", about.alias("about"), F.create_map(F.col("c_mktsegment"), F.col("c_custkey") % 2 == 0, F.lit("all"), F.lit(True)).alias("flags"))
+
+
+_PROFILE_DIGESTS = """WITH own AS (SELECT o_custkey, md5('(' || string_agg('i' || o_orderkey, ',' ORDER BY 'i' || o_orderkey) || ')') AS keys,
+  md5('[' || string_agg(md5('{3:day=t' || date_diff('day', DATE '1970-01-01', o_orderdate::DATE) || ',10:o_orderkey=i' || o_orderkey || ',12:o_totalprice=f' || o_totalprice || '}'), ',' ORDER BY o_orderkey) || ']') AS orders FROM orders GROUP BY o_custkey),
+parts AS (SELECT c_nationkey AS nation, c_custkey AS k, coalesce(keys, 'n') AS keys, coalesce(orders, 'n') AS orders,
+  md5('{7:balance=' || CASE WHEN c_custkey % 3 > 0 THEN 'f' || c_acctbal ELSE 'n' END || ',12:c_mktsegment=s' || length(c_mktsegment) || ':' || c_mktsegment || '}') AS about,
+  's' || length(c_mktsegment) || ':' || c_mktsegment || '=' || (c_custkey % 2 = 0) AS flag FROM customer LEFT JOIN own ON o_custkey = c_custkey),
+profile AS (SELECT nation, k, md5('digest=1' || chr(10) || md5('{5:about=' || about || ',5:flags=' || md5('<' || least(flag, 's3:all=true') || ',' || greatest(flag, 's3:all=true') || '>') || ',1:k=i' || k || ',4:keys=' || keys || ',6:nation=i' || nation || ',6:orders=' || orders || '}')) AS h FROM parts)
+"""
+
+
+@query("n14_row_digests", _PROFILE_DIGESTS + "SELECT k, h AS digest FROM profile")
+def _(spark, sf):
+    return DG.with_digest(_profiles(spark, sf), bags=["keys"]).select("k", "digest")
+
+
+@query("n13_nested_digest", _PROFILE_DIGESTS + """SELECT nation, count(*) AS n, md5('digest=1' || chr(10) || count(*) || ',' || sum(('0x' || substr(h, 1, 15))::BIGINT) || ',' || sum(('0x' || substr(h, 16, 15))::BIGINT)) AS digest FROM profile GROUP BY nation""")
+def _(spark, sf):
+    return DG.digests(_profiles(spark, sf), ["nation"], ["keys"])
+
+
 @query("n15_plain_numbers", "SELECT c_custkey AS k, CASE WHEN c_custkey % 5 IN (0, 1) THEN NULL WHEN c_custkey % 5 = 2 THEN 0 ELSE c_acctbal END AS v FROM customer")
 def _(spark, sf):
     k = F.col("c_custkey") % 5
