@@ -389,6 +389,23 @@ def _(spark, sf):
     return t.join(ids, ["model_id", "mesh_id"]).groupBy(F.col("xml_id").cast("long").alias("object_id")).agg(F.count_distinct("tid").alias("n"), *(F.sum(F.col(c).cast("double")).cast("long").alias(f"s{c}") for c in "xyz"))
 
 
+@query("s2_amf_rejections", f"SELECT object_id, CASE object_id % 4 WHEN 1 THEN 'broken object' WHEN 2 THEN 'cut off' WHEN 3 THEN 'no object' ELSE 'read' END AS status, CASE WHEN object_id % 4 = 0 THEN count(*) ELSE 0 END AS n FROM ({GRID}) GROUP BY object_id")
+def _(spark, sf):
+    """The mesh as AMF again, but of four objects one has a corner that isn't a number, one's file is cut off and one's file has no object: what was read, and what was rejected."""
+    s = Scratch(spark, "amf-rejections")
+    k = F.col("object_id") % 4
+    body = F.when(k == 1, F.regexp_replace("value", "<x>", "<x>at ")).when(k == 3, "").otherwise(F.col("value"))
+    parts = amf.object_xml(grid(spark, sf)).select("object_id", F.concat(F.lit("<amf>"), F.when(k == 3, F.format_string("<metadata>%d</metadata>", "object_id")).otherwise(""), body, F.when(k == 2, "").otherwise("</amf>")).alias("value"))
+    parts.write.partitionBy("object_id").text(f"{s.root}/model.amf")
+    files = s.write(amf.scanned_files(spark, f"{s.root}/model.amf"), "files")
+    objects = amf.raw_objects(spark, f"{s.root}/model.amf", files)
+    found = amf.tables(objects)
+    sizes = found["triangles"].groupBy("model_id", "mesh_id").agg(F.count("*").alias("n"))
+    read = found["meshes"].join(sizes, ["model_id", "mesh_id"]).select("path", F.lit("read").alias("status"), "n")
+    both = read.union(amf.rejected(files, objects).select("path", "reason", F.lit(0).cast("long")))
+    return both.select(F.regexp_extract("path", r"object_id=(\d+)", 1).cast("long").alias("object_id"), "status", "n")
+
+
 @query("s9_save_and_load", GRID)
 def _(spark, sf):
     s = Scratch(spark, "model")

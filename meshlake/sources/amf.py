@@ -6,8 +6,10 @@ from pathlib import PurePosixPath
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from meshlake.schemas import AMF_OBJECT
+from meshlake.session import Scratch
 
 GREY = 0.5
 
@@ -27,15 +29,42 @@ def read_mesh(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     return tables(raw_objects(spark, path))
 
 
-def raw_objects(spark: SparkSession, path: str) -> DataFrame:
-    """(path, model_id, object): what can't be read as an object is left out. Prefixes of tags are ignored."""
-    objects = spark.read.format("xml").option("rowTag", "object").option("ignoreNamespace", "true").option("mode", "DROPMALFORMED").schema(AMF_OBJECT).load(path)
-    named = objects.withColumn("path", F.input_file_name())
-    return named.withColumn("model_id", F.sha2("path", 256)).withColumn("_place", F.monotonically_increasing_id())
+def scanned_files(spark: SparkSession, path: str) -> DataFrame:
+    """(path, model_id, length, reason): a row for each file. model_id is the SHA-256 of its content, so that a file that is moved or copied stays the
+    same model. reason: NULL, `cut off` (it doesn't end with its root) or `repeated` (the same content has a smaller path).
+    Spark's reader of whole files takes up to 2 GB each; its scans pass over files without a byte, which have no row here."""
+    end = F.decode(F.expr("substring(content, greatest(1, length(content) - 1023))"), "UTF-8")
+    whole = F.regexp_like(end, F.lit(r"</\s*(\w+:)?amf\s*>\s*(<!--[^>]*-->\s*)*$"))
+    files = spark.read.format("binaryFile").load(path).select(F.col("_metadata.file_path").alias("path"), F.sha2("content", 256).alias("model_id"), "length", F.when(~whole, "cut off").alias("reason"))
+    files = Scratch(spark, "amf-files").write(files, "files")
+    first = files.groupBy("model_id").agg(F.min("path").alias("first"))
+    return files.join(first, "model_id").select("path", "model_id", "length", F.coalesce("reason", F.when(F.col("path") > F.col("first"), "repeated")).alias("reason"))
+
+
+def raw_objects(spark: SparkSession, path: str, files: DataFrame | None = None) -> DataFrame:
+    """(path, model_id, _place, _broken, object): every object of the files that can be read. Prefixes of tags are ignored. An object that can't be
+    parsed has its XML in _broken. The rows are written: whether an object is broken depends on the columns that a
+    scan of the files asks for, and all tables must number the same ones."""
+    files = scanned_files(spark, path) if files is None else files
+    schema = StructType([*AMF_OBJECT.fields, StructField("_broken", StringType())])
+    objects = spark.read.format("xml").option("rowTag", "object").option("ignoreNamespace", "true").option("columnNameOfCorruptRecord", "_broken").schema(schema).load(path)
+    placed = objects.select(*schema.fieldNames(), F.col("_metadata.file_path").alias("path"), F.monotonically_increasing_id().alias("_place"))
+    parsed = Scratch(spark, "amf-objects").write(placed, "objects")
+    return parsed.join(files.where("reason IS NULL").select("path", "model_id"), "path")
+
+
+def rejected(files: DataFrame, objects: DataFrame) -> DataFrame:
+    """(path, model_id, reason, record): files without an object that can be read, and each broken object with its XML: what a person has to look at. A
+    repeated file isn't one of them."""
+    whole = files.join(objects.select("path").distinct().withColumn("some", F.lit(True)), "path", "left")
+    bad = whole.withColumn("reason", F.when(F.col("some").isNull(), F.coalesce("reason", F.lit("no object")))).where("reason <> 'repeated'")
+    broken = objects.where("_broken IS NOT NULL").select("path", "model_id", F.lit("broken object").alias("reason"), F.col("_broken").alias("record"))
+    return bad.select("path", "model_id", "reason", F.lit(None).cast("string").alias("record")).union(broken)
 
 
 def numbered_objects(objects: DataFrame) -> DataFrame:
-    return objects.withColumn("mesh_id", F.row_number().over(Window.partitionBy("model_id").orderBy("_place")).cast("long") - 1)
+    """Objects that could be read, numbered within their model."""
+    return objects.where("_broken IS NULL").withColumn("mesh_id", F.row_number().over(Window.partitionBy("model_id").orderBy("_place")).cast("long") - 1)
 
 
 def numbered_ids(objects: DataFrame) -> DataFrame:

@@ -251,6 +251,29 @@ def test_amf(spark, tmp_path):
         amf.read_mesh(spark, str(tmp_path / "m.stl"))
 
 
+def test_amf_rejections(spark, tmp_path):
+    """Broken objects and files become rows with a reason; all tables number the objects that are left alike; models go by content."""
+    import hashlib
+
+    def one(k: int, x: str = "0") -> str:
+        return f'<object id="{k}"><mesh><vertices><vertex><coordinates><x>{x}</x><y>{k}</y><z>0</z></coordinates></vertex></vertices><volume><triangle><v1>0</v1><v2>0</v2><v3>0</v3></triangle></volume></mesh></object>'
+
+    texts = {"a": f"<amf>{one(1)}{one(2, 'left')}{one(3)}</amf>\n<!-- end -->\n", "cut": f"<amf>{one(4)}<object>", "blank": "\n", "none": "<amf><metadata/></amf>", "prefixed": f"<amf:amf>{one(6)}</amf:amf>"}
+    texts["copy of a"] = texts["a"]
+    for name, text in texts.items():
+        (tmp_path / f"{name}.amf").write_text(text)
+    files = amf.scanned_files(spark, f"{tmp_path}/*.amf")
+    objects = amf.raw_objects(spark, f"{tmp_path}/*.amf", files)
+    base = lambda r: r.path.split("/")[-1].replace("%20", " ").removesuffix(".amf")
+    sha = {name: hashlib.sha256(text.encode()).hexdigest() for name, text in texts.items()}
+    assert {base(r): (r.model_id, r.reason) for r in files.collect()} == {n: (sha[n], {"cut": "cut off", "blank": "cut off", "copy of a": "repeated"}.get(n)) for n in texts}
+    assert sorted((base(r), r.reason, "left" in (r.record or "")) for r in amf.rejected(files, objects).collect()) == [("a", "broken object", True), ("blank", "cut off", False), ("cut", "cut off", False), ("none", "no object", False)]
+    found = amf.tables(objects)
+    assert sorted((base(r), r.mesh_id) for r in found["meshes"].collect()) == [("a", 0), ("a", 1), ("prefixed", 0)]
+    assert sorted((r.model_id == sha["a"], r.mesh_id, r.y) for r in found["vertices"].collect()) == [(False, 0, 6.0), (True, 0, 1.0), (True, 1, 3.0)]
+    assert sorted((r.model_id == sha["a"], r.mesh_id) for r in found["triangles"].collect()) == [(False, 0), (True, 0), (True, 1)]
+
+
 def test_drop_folder(spark, tmp_path):
     (tmp_path / "in").mkdir()
     for name in ("a.amf", "b.amf", "c.txt"):
