@@ -1,12 +1,10 @@
 """Expressions in layers: each layer's columns are computed from those of the layers before, once.
 
-The same text is laid over a DataFrame, over each struct of an array, or over a SQL subquery.
+The same text is laid over a DataFrame or over a SQL subquery.
 """
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,18 +21,3 @@ def over_sql(sql: str, layers: Layers) -> str:
     for layer in layers:
         sql = f"SELECT *, {', '.join(f'{e} AS {n}' for n, e in layer.items())} FROM ({sql})"
     return sql
-
-
-def over_array(array: str, fields: list[str], layers: Layers, result: str) -> str:
-    """SQL for the array of result over an array of structs with fields."""
-    known = list(fields)
-    for k, layer in enumerate(layers):
-        inside = {n: _within(e, known, f"s{k}") for n, e in layer.items()}
-        parts = [f"'{n}', s{k}.{n}" for n in known] + [f"'{n}', {e}" for n, e in inside.items()]
-        array = f"transform({array}, s{k} -> named_struct({', '.join(parts)}))"
-        known += list(layer)
-    return f"transform({array}, s -> {_within(result, known, 's')})"
-
-
-def _within(text: str, names: list[str], of: str) -> str:
-    return re.sub(r"(?<![.\w])(" + "|".join(sorted(map(re.escape, names), key=len, reverse=True)) + r")(?![\w(])", rf"{of}.\1", text)

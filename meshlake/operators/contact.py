@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from meshlake.config import DEFAULT, Config
 from meshlake.functions import geometry as G
 from meshlake.functions import polygons as P
-from meshlake.functions.layers import over, over_array
+from meshlake.functions.layers import over
 from meshlake.operators.canonical import measured
 from meshlake.operators.spatial_join import triangle_pairs
 from meshlake.schemas import POINTS
@@ -40,28 +40,38 @@ def _struct(*parts: tuple[str, str, str]) -> str:
     return "named_struct(" + ", ".join(_corner(k, p).replace("{}", n) for n, k, p in parts) + ")"
 
 
-def corner_gap() -> str:
-    """Least distance of the six corners to the other triangle, as one expression over an array of structs."""
+def _distances(pairs: DataFrame, cases: list[str], layers: list[dict[str, str]]) -> DataFrame:
+    rows = pairs.select(*PAIR, F.expr(f"inline(array({', '.join(cases)}))"))
+    return over(rows, layers).select(*PAIR, "distance")
+
+
+def corner_distances(pairs: DataFrame) -> DataFrame:
+    """(pair, distance): a row for each of the six corners and its distance to the other triangle."""
     corners = [(k, other, p) for k, other in (("1", "2"), ("2", "1")) for p in "abc"]
-    structs = "array(" + ", ".join(_struct(("p", k, p), *((n, o, n) for n in "abc")) for k, o, p in corners) + ")"
-    return f"array_min({over_array(structs, [f'{n}{c}' for n in 'pabc' for c in 'xyz'], G.point_triangle(), 'distance')})"
+    return _distances(pairs, [_struct(("p", k, p), *((n, o, n) for n in "abc")) for k, o, p in corners], G.point_triangle())
 
 
-def edge_gap() -> str:
-    """Least distance of the nine pairs of edges."""
+def edge_distances(pairs: DataFrame) -> DataFrame:
+    """(pair, distance): a row for each of the nine pairs of edges."""
     edges = (("a", "b"), ("b", "c"), ("c", "a"))
-    structs = "array(" + ", ".join(_struct(("a", "1", u), ("b", "1", v), ("c", "2", x), ("d", "2", y)) for u, v in edges for x, y in edges) + ")"
-    return f"array_min({over_array(structs, [f'{n}{c}' for n in 'abcd' for c in 'xyz'], G.segment_segment(), 'distance')})"
+    return _distances(pairs, [_struct(("a", "1", u), ("b", "1", v), ("c", "2", x), ("d", "2", y)) for u, v in edges for x, y in edges], G.segment_segment())
 
 
-def gap_expression() -> str:
-    return f"least({corner_gap()}, {edge_gap()})"
+def least_distances(*distances: DataFrame) -> DataFrame:
+    """(pair, gap). A pair's rows stand together, so that each task reduces them to one before anything is shuffled."""
+    rows = distances[0]
+    for more in distances[1:]:
+        rows = rows.union(more)
+    return rows.groupBy(*PAIR).agg(F.min("distance").alias("gap"))
 
 
 def gap_gate(pairs: DataFrame, config: Config = DEFAULT) -> DataFrame:
-    """With the gap, 0 below a hundredth of the shorter edge; pairs beyond half of it go."""
+    """With the gap, 0 below a hundredth of the shorter edge; pairs beyond half of it go. A pair comes once. The fifteen distances of a
+    pair are rows, which generated code computes; pairs are written first, as they are read once for corners, once for edges
+    and once for what stays."""
+    pairs = Scratch(pairs.sparkSession, "gaps").write(_spread(pairs), "pairs")
     short = F.least("t1_min_edge", "t2_min_edge")
-    raw = pairs.withColumn("gap", F.expr(gap_expression()))
+    raw = pairs.join(least_distances(corner_distances(pairs), edge_distances(pairs)), PAIR)
     return raw.withColumn("gap", F.when(F.col("gap") < config.snap_gap * short, 0.0).otherwise(F.col("gap"))).where(F.col("gap") <= config.most_gap * short)
 
 
@@ -108,7 +118,7 @@ def contacts(triangles: DataFrame, config: Config = DEFAULT, mode: str = "aabb")
     whole = scratch.write(measured(triangles), "triangles")
     near = triangle_pairs(triangles, mode, config.most_gap)
     angled = angle_gate(with_triangles(near, whole), config)
-    gated = scratch.write(gap_gate(_spread(angled), config), "gated")
+    gated = scratch.write(gap_gate(angled, config), "gated")
     return scratch.write(overlap_gate(_spread(gated), config), "pairs")
 
 
