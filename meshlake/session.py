@@ -10,11 +10,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
 
+def own_root(master: str) -> str:
+    """A temporary folder of this machine, which only a local session's executors can read."""
+    if not master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return f"file://{tempfile.mkdtemp(prefix='meshlake-')}"
+
+
 def checkpoint_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is set, as in tests."""
+    """The folder that driver and executors share; one of our own only where none is set in a local session, as in tests."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = getattr(spark, "_meshlake_root", None) or f"file://{tempfile.mkdtemp(prefix='meshlake-')}"
+        root = getattr(spark, "_meshlake_root", None) or own_root(spark.sparkContext.master)
         spark._meshlake_root = root
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(root)

@@ -64,3 +64,11 @@ def test_pairs_are_replaced_alone_and_read_alone(spark, tmp_path):
     scan = one._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [" in scan and "PartitionFilters: []" not in scan
     assert store.load_pairs(spark, path, []).count() == 0
+
+
+def test_scratch_is_never_local_to_a_machine_on_a_cluster():
+    from meshlake.session import own_root
+
+    assert own_root("local[4]").startswith("file://")
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        own_root("spark://host:7077")
