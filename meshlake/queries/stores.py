@@ -16,8 +16,9 @@ ORACLES: dict[str, str] = {}
 
 def s10_pair_store(spark, sf):
     """All pairs of triangles with overlapping boxes, stored by object pair; then those of every third first object are written again, with a new version; then all are read back."""
-    path = Scratch(spark, "pair-store").root
-    pairs = spatial_join.triangle_pairs(shell(spark, sf))
+    scratch = Scratch(spark, "pair-store")
+    path = f"{scratch.root}/store"
+    pairs = scratch.write(spatial_join.triangle_pairs(shell(spark, sf)), "pairs")
     store.save_pairs(pairs.withColumn("version", F.lit(1)), path)
     store.save_pairs(pairs.where("obj1 % 3 = 0").withColumn("version", F.lit(2)), path)
     found = store.load_pairs(spark, path)

@@ -59,3 +59,27 @@ def test_least_distances_are_those_of_the_expressions(spark):
         want = {tuple(r)[:4]: r.d for r in rows.groupBy(*contact.PAIR).agg(F.min("distance").alias("d")).collect()}
         got = {tuple(r)[:4]: r.gap for r in contact.least_distances(pairs, **flags).collect()}
         assert got == want
+
+
+def test_neighbours_by_points_are_those_by_numbers(spark):
+    from meshlake.operators import canonical, topology
+    from meshlake.sources.fixtures import SHELL, built
+
+    t = Scratch(spark, "shell").write(built(spark, "/root/testdata/sf0.001", SHELL), "triangles").union(triangles(spark, 20))
+    found = topology.neighbours(canonical.by_points(t))
+    assert plan(found).count("Join") == 0
+    rows = {tuple(r) for r in found.collect()}
+    assert rows and rows == {tuple(r) for r in topology.neighbours(canonical.indexed(t, canonical.vertices(t))).collect()}
+
+
+def test_mixed_pairs_come_once_without_a_shuffle_of_pairs(spark):
+    t = triangles(spark, 150)
+    mixed = spatial_join.triangle_pairs(t, "mixed")
+    assert "HashAggregate" not in plan(mixed)
+    rows = [tuple(r) for r in mixed.collect()]
+    combined, turned = G.mixed_box(G.rotation_to((1, 1, 100)))
+    boxes = over(t, [combined, turned]).select("object_id", "tri_id", *spatial_join.BOX)
+    a, b = (boxes.select(*(F.col(c).alias(f"{s}_{c}") for c in boxes.columns)) for s in "lr")
+    other = a.crossJoin(b).where(f"l_object_id < r_object_id AND {G.boxes_overlap('l_', 'r_')}").select("l_object_id", "r_object_id", "l_tri_id", "r_tri_id")
+    assert len(rows) == len(set(rows))
+    assert set(rows) == {tuple(r) for r in spatial_join.triangle_pairs(t).union(other).collect()}
