@@ -82,3 +82,27 @@ def test_what_has_no_rule_is_refused(spark):
         DG.digests(spark.sql("SELECT named_struct('wait', INTERVAL '1' DAY) AS s"))
     with pytest.raises(ValueError, match="nothing"):
         DG.digests(table(spark, rows()), bags=["nothing"])
+
+
+def test_printed_doubles_are_those_of_the_sql(spark, duck):
+    from meshlake.functions.digest import printed
+
+    found = [0.0, -0.0, 0.01, -12.5, 9999999.99, 1e7, 12345678.25, -123456789012345.0, 1e15, 1e16, -2.5e17, 1.5e300, 0.001, 0.0001, 0.00012345, -0.00001, 2.5e-7, float("nan"), float("inf"), float("-inf")]
+    got = [r.t for r in spark.createDataFrame([(v,) for v in found], "v double").select(printed(F.col("v")).alias("t")).collect()]
+    assert got == [duck.execute("SELECT CAST(?::DOUBLE AS VARCHAR)", [v]).fetchone()[0] for v in found]
+
+
+@pytest.mark.parametrize("name", ["n14_row_digests", "n13_nested_digest"])
+def test_digests_of_odd_balances_are_those_of_the_sql(spark, tmp_path, name):
+    import duckdb
+
+    from conftest import SF
+    from meshlake import registry
+
+    c = duckdb.connect()
+    c.execute(f"COPY (SELECT * REPLACE (CASE c_custkey WHEN 1 THEN -0.0::DOUBLE WHEN 2 THEN 12345678.25 WHEN 4 THEN 0.0001 ELSE c_acctbal END AS c_acctbal) FROM '{SF}/customer.parquet') TO '{tmp_path}/customer.parquet'")
+    c.execute(f"COPY (SELECT * FROM '{SF}/orders.parquet') TO '{tmp_path}/orders.parquet'")
+    for t in ("customer", "orders"):
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet'")
+    want = c.execute(registry.oracle_sql()[name]).fetchall()
+    assert sorted(map(tuple, registry.queries()[name](spark, str(tmp_path)).collect())) == sorted(want)
