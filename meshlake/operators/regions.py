@@ -127,8 +127,7 @@ def rings(bounds: DataFrame, scale: float = SCALE) -> DataFrame:
     """(key, ring, pts, area): the boundary's rings, outer ones counterclockwise, holes clockwise; ring counts them from 0 within a key."""
     scratch = Scratch(bounds.sparkSession, "region-rings")
     arcs = scratch.write(ranked(bounds, ["key", "x1", "y1", "x2", "y2"], "id"), "arcs")
-    found = chains.rings(chains.by_wedge(arcs, ["key"]), "region-chains")
-    listed = arcs.join(found, "id").groupBy("key", "root").agg(F.array_sort(F.collect_list(F.struct("place", F.col("x1").alias("x"), F.col("y1").alias("y")))).alias("q"))
+    listed = chains.grouped_rings(chains.by_wedge(arcs, ["key"]), ["key"], "region-chains").groupBy("key", "root").agg(F.array_sort(F.collect_list(F.struct("place", F.col("x1").alias("x"), F.col("y1").alias("y")))).alias("q"))
     plain = listed.select("key", "root", _straightened(F.transform("q", lambda p: F.struct(p.x.alias("x"), p.y.alias("y")))).alias("q")).where("size(q) >= 3")
     back = F.transform("q", lambda p: F.struct((p.x / scale).alias("x"), (p.y / scale).alias("y")))
     shown = plain.select("key", (F.row_number().over(Window.partitionBy("key").orderBy("root")) - 1).alias("ring"), back.alias("pts"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meshlake.config import DEFAULT
@@ -43,27 +43,38 @@ def segments(triangles: DataFrame, height: float, z0: float | None = None) -> Da
     return found.select(F.col("layer").cast("long").alias("layer"), "object_id", "tri_id", "z", *(F.expr(pick(rises if k == 1 else falls, c)).alias(f"{c}{k}") for k in (1, 2) for c in "xy"))
 
 
-def loop_points(segment_table: DataFrame, directed: bool = True, scale: int = 10_000) -> DataFrame:
-    """(layer, object_id, loop_id, place, x, y): the points of closed loops of segments on the integer grid, for each layer and object. Where several segments
-    come to a point, the n-th in their order goes on with the n-th that leaves; without a sense, the ends at a point are paired in order. A loop begins
-    with its least segment, and loops are numbered by these. What doesn't close, and loops of fewer than three segments, go. Chaining is by
-    pointer doubling over all slices at once: no task holds a slice or a loop."""
+def _chained(segment_table: DataFrame, directed: bool, scale: int) -> DataFrame:
+    """(layer, object_id, root, place, x, y): the points of loops that count."""
     keys = ["layer", "object_id"]
     on_grid = segment_table.select(*(F.col(k).cast("long").alias(k) for k in keys), *(F.rint(F.col(c) * scale).cast("long").alias(c) for c in ("x1", "y1", "x2", "y2")))
-    numbered = Scratch(segment_table.sparkSession, "loops").write(ranked(on_grid.where("x1 <> x2 OR y1 <> y2"), [*keys, "x1", "y1", "x2", "y2"], "id"), "segments")
-    arcs, links = (numbered, chains.by_rank(numbered, keys)) if directed else chains.both_ways(numbered, keys)
-    found = chains.rings(links, "loops").where("length >= 3")
+    scratch = Scratch(segment_table.sparkSession, "loops")
+    solid = scratch.write(on_grid.where("x1 <> x2 OR y1 <> y2"), "solid")  # finding the ranges' bounds would compute it once more
+    numbered = scratch.write(ranked(solid, [*keys, "x1", "y1", "x2", "y2"], "id"), "segments")
+    links = chains.by_rank(numbered, keys) if directed else chains.both_ways(numbered, keys)
+    found = chains.grouped_rings(links, keys, "loops").where("length >= 3")
     if not directed:
         found = found.where("root % 2 = 0")
-    points = arcs.join(found, "id").select(*keys, "root", "place", F.col("x1").alias("x"), F.col("y1").alias("y"))
-    first = points.where("place = 0").select(*keys, "root", (F.row_number().over(Window.partitionBy(*keys).orderBy("root")) - 1).cast("long").alias("loop_id"))
-    return points.join(first, [*keys, "root"]).select(*keys, "loop_id", "place", "x", "y")
+    return found.select(*keys, "root", "place", F.col("x1").alias("x"), F.col("y1").alias("y"))
+
+
+def _loop_id() -> Column:
+    return (F.row_number().over(Window.partitionBy("layer", "object_id").orderBy("root")) - 1).cast("long").alias("loop_id")
+
+
+def loop_points(segment_table: DataFrame, directed: bool = True, scale: int = 10_000) -> DataFrame:
+    """(layer, object_id, loop_id, place, x, y): the points of closed loops of segments on the integer grid, for each layer and object. Where several segments
+    come to a point, the n-th in their order goes on with the n-th that leaves; without a sense, the ends at a point are paired in order. A loop begins
+    with its least segment, and loops are numbered by these. What doesn't close, and loops of fewer than three segments, go. Chaining is by
+    pointer doubling: no task holds a slice or a loop of more segments than chains.HELD."""
+    points = _chained(segment_table, directed, scale)
+    first = points.where("place = 0").select("layer", "object_id", "root", _loop_id())
+    return points.join(first, ["layer", "object_id", "root"]).select("layer", "object_id", "loop_id", "place", "x", "y")
 
 
 def loops(segment_table: DataFrame, directed: bool = True, scale: int = 10_000) -> DataFrame:
     """(layer, object_id, loop_id, pts): loop_points() with a loop's points as an array, which one row holds."""
-    listed = loop_points(segment_table, directed, scale).groupBy("layer", "object_id", "loop_id").agg(F.array_sort(F.collect_list(F.struct("place", "x", "y"))).alias("p"))
-    return listed.select("layer", "object_id", "loop_id", F.transform("p", lambda p: F.struct(p.x.alias("x"), p.y.alias("y"))).alias("pts"))
+    listed = _chained(segment_table, directed, scale).groupBy("layer", "object_id", "root").agg(F.array_sort(F.collect_list(F.struct("place", "x", "y"))).alias("p"))
+    return listed.select("layer", "object_id", _loop_id(), F.transform("p", lambda p: F.struct(p.x.alias("x"), p.y.alias("y"))).alias("pts"))
 
 
 def normalized(loop_table: DataFrame, counterclockwise: bool = True, scale: int = 10_000) -> DataFrame:

@@ -119,3 +119,39 @@ def test_one_long_loop_is_many_rows(spark):
     assert "Python" not in plan and "Pandas" not in plan
     links = spark.range(10).select("id", (F.col("id") + 1).alias("next"))  # a way that never comes back
     assert chains.rings(links).count() == 0
+
+
+def test_groups_are_chained_in_tasks_or_as_rows(spark, monkeypatch):
+    """The same rings whichever way: groups within the bound in few stages, larger ones by doubling; ways that end and ids over several batches among them."""
+    links, want = [], {}
+    for g, size in enumerate((3, 40, 7, 1, 2, 25)):
+        ids = random.Random(g).sample(range(1000 * g, 1000 * g + 999), size)
+        root = ids.index(min(ids))
+        links += [(g, i, g, ids[(k + 1) % size]) for k, i in enumerate(ids)] + [(g, 1000 * g + 999, g, 9999)]
+        want |= {i: (g, min(ids), (k - root) % size, size) for k, i in enumerate(ids)}
+    df = spark.createDataFrame(links, "g long, id long, x1 long, next long")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 4)
+    jobs = {}
+    try:
+        for held in (1 << 17, 10, 1):
+            monkeypatch.setattr(chains, "_near", _bounded(held))
+            spark.sparkContext.setJobGroup(f"held-{held}", "")
+            got = {r.id: (r.x1, r.root, r.place, r.length) for r in chains.grouped_rings(df, ["g"]).collect()}
+            jobs[held] = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"held-{held}"))
+            assert got == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert jobs[1 << 17] < jobs[10]
+
+
+def _bounded(held):
+    def near(batches):
+        from meshlake.operators import chains
+
+        usual, chains.HELD = chains.HELD, held
+        try:
+            yield from chains._near(batches)
+        finally:
+            chains.HELD = usual
+
+    return near
