@@ -9,7 +9,7 @@ edges and cross themselves.
 3. Pieces with the result on one side only are its boundary, directed with the result on the left. Area and length are sums over it; rings come from
    chains.by_wedge, so that holes run clockwise and rings that meet in a point stay apart.
 
-Nothing is held by region: the windows are by point, edge or band, and a region's bands are spread over all tasks. Cut points are rounded to the grid, which moves an edge by
+Nothing is held by region but the chaining of boundaries of at most chains.HELD pieces: the windows are by point, edge or band, and a region's bands are spread over all tasks. Cut points are rounded to the grid, which moves an edge by
 less than a unit. Null and empty regions hold nothing; rings of fewer than three points, or without area, neither add nor take away.
 """
 
@@ -63,10 +63,10 @@ def pieces(edge_table: DataFrame, scratch: Scratch) -> DataFrame:
     """(key, x1, y1, x2, y2, a, b): pieces from their lower to their upper end, with the windings of side 0 and 1: +1 for an edge that came down."""
     numbered = scratch.write(edge_table.withColumn("e", F.monotonically_increasing_id()), "edges")
     own = numbered.select("e", F.explode(F.array(*(F.struct(F.col(f"x{k}").alias("x"), F.col(f"y{k}").alias("y")) for k in (1, 2)))).alias("p")).select("e", "p.*")
-    points = own.unionByName(_cuts(numbered)).distinct().join(numbered, "e")
+    points = own.unionByName(_cuts(numbered)).join(numbered, "e")
     far = F.expr("CAST(x - x1 AS DOUBLE) * (x2 - x1) + CAST(y - y1 AS DOUBLE) * (y2 - y1)")
     along = Window.partitionBy("e").orderBy(far, "x", "y")
-    cut = points.select("key", "side", "x", "y", F.lead("x").over(along).alias("nx"), F.lead("y").over(along).alias("ny")).where("nx IS NOT NULL")
+    cut = points.select("key", "side", "x", "y", F.lead("x").over(along).alias("nx"), F.lead("y").over(along).alias("ny")).where("x <> nx OR y <> ny")  # a point found twice is its own neighbour
     down = F.expr(f"y + {SHEAR} * x > ny + {SHEAR} * nx")
     turned = cut.select("key", "side", F.when(down, 1).otherwise(-1).alias("w"), *(F.when(down, F.col(p)).otherwise(F.col(q)).alias(n) for n, p, q in (("x1", "nx", "x"), ("y1", "ny", "y"), ("x2", "x", "nx"), ("y2", "y", "ny"))))
     winding = lambda side: F.sum(F.when(F.col("side") == side, F.col("w")).otherwise(0)).alias("ab"[side])
@@ -82,12 +82,13 @@ def swept(edge_table: DataFrame) -> DataFrame:
     ends = cut.select("key", F.explode(F.array(height(1), height(2))).alias("t")).distinct()
     numbered = scratch.write(ranked(ends, ["key", "t"], "n"), "ends")
     low, high = (numbered.select("key", F.col("t").alias(f"t{k}"), F.col("n").alias(f"n{k}")) for k in (1, 2))
-    placed = cut.withColumn("t1", height(1)).withColumn("t2", height(2)).join(low, ["key", "t1"]).join(high, ["key", "t2"])
-    bands = numbered.select(F.col("n").alias("band"), F.col("t").alias("from")).join(numbered.select((F.col("n") - 1).alias("band"), F.col("t").alias("to")), "band")
-    reached = placed.withColumn("band", F.explode(F.expr("sequence(n1, n2 - 1)"))).join(bands, "band")
+    placed = cut.withColumn("t1", height(1)).join(low, ["key", "t1"]).drop("t1").withColumn("t2", height(2)).join(high, ["key", "t2"]).drop("t2")
+    entered = placed.select("key", "x1", "y1", "x2", "y2", "a", "b", F.posexplode(F.expr("sequence(n1, n2 - 1)")).alias("step", "band"))
+    band = Window.partitionBy("band")  # its pieces all reach from the last of their lower ends to the first of their upper ones, and nothing meets between
+    reached = entered.withColumn("first", F.col("step") == 0).drop("step").withColumn("t1", height(1)).withColumn("t2", height(2)).withColumn("from", F.max("t1").over(band)).withColumn("to", F.min("t2").over(band))
     at = F.expr("x1 + ((from + to) / 2 - t1) / (t2 - t1) * (x2 - x1)")
     across = Window.partitionBy("band").orderBy("at", "x1", "x2")
-    summed = reached.withColumn("at", at).withColumn("right_a", F.sum("a").over(across)).withColumn("right_b", F.sum("b").over(across)).where("band = n1")
+    summed = reached.withColumn("at", at).withColumn("right_a", F.sum("a").over(across)).withColumn("right_b", F.sum("b").over(across)).where("first")
     return scratch.write(summed.selectExpr("key", "x1", "y1", "x2", "y2", "right_a - a AS left_a", "right_b - b AS left_b", "right_a", "right_b"), "swept")
 
 
@@ -125,8 +126,7 @@ def _straightened(points: Column) -> Column:
 
 def rings(bounds: DataFrame, scale: float = SCALE) -> DataFrame:
     """(key, ring, pts, area): the boundary's rings, outer ones counterclockwise, holes clockwise; ring counts them from 0 within a key."""
-    scratch = Scratch(bounds.sparkSession, "region-rings")
-    arcs = scratch.write(ranked(bounds, ["key", "x1", "y1", "x2", "y2"], "id"), "arcs")
+    arcs = ranked(bounds, ["key", "x1", "y1", "x2", "y2"], "id")
     listed = chains.grouped_rings(chains.by_wedge(arcs, ["key"]), ["key"], "region-chains").groupBy("key", "root").agg(F.array_sort(F.collect_list(F.struct("place", F.col("x1").alias("x"), F.col("y1").alias("y")))).alias("q"))
     plain = listed.select("key", "root", _straightened(F.transform("q", lambda p: F.struct(p.x.alias("x"), p.y.alias("y")))).alias("q")).where("size(q) >= 3")
     back = F.transform("q", lambda p: F.struct((p.x / scale).alias("x"), (p.y / scale).alias("y")))
