@@ -83,3 +83,18 @@ def test_mixed_pairs_come_once_without_a_shuffle_of_pairs(spark):
     other = a.crossJoin(b).where(f"l_object_id < r_object_id AND {G.boxes_overlap('l_', 'r_')}").select("l_object_id", "r_object_id", "l_tri_id", "r_tri_id")
     assert len(rows) == len(set(rows))
     assert set(rows) == {tuple(r) for r in spatial_join.triangle_pairs(t).union(other).collect()}
+
+
+def test_cover_of_one_half_is_on_the_sql_s_side(spark, tmp_path):
+    """Two parts of a larger table whose triangles cover one half of each other: rounding alone decides, and it's that of the SQL."""
+    import duckdb
+
+    from meshlake.queries import patches as P
+
+    sizes = {77596: 17, 77597: 23, 77636: 19, 77637: 19, 77676: 47, 77677: 47}
+    spark.createDataFrame(list(sizes.items()), "p_partkey long, p_size int").coalesce(1).write.parquet(f"file://{tmp_path}/part.parquet")
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet/*.parquet'")
+    strict = sorted(db.execute(P.ORACLES["f8_strict_threshold"]).fetchall())
+    assert (388, 100387, 2, 155193) in [r[:4] for r in strict]
+    assert sorted(tuple(r) for r in P.QUERIES["f8_strict_threshold"](spark, str(tmp_path)).collect()) == strict
