@@ -38,19 +38,20 @@ def scanned_files(spark: SparkSession, path: str) -> DataFrame:
     files = spark.read.format("binaryFile").load(path).select(F.col("_metadata.file_path").alias("path"), F.sha2("content", 256).alias("model_id"), "length", F.when(~whole, "cut off").alias("reason"))
     files = Scratch(spark, "amf-files").write(files, "files")
     first = files.groupBy("model_id").agg(F.min("path").alias("first"))
-    return files.join(first, "model_id").select("path", "model_id", "length", F.coalesce("reason", F.when(F.col("path") > F.col("first"), "repeated")).alias("reason"))
+    return files.join(first, "model_id").select("path", "model_id", "length", F.coalesce("reason", F.when(F.col("path") > F.col("first"), "repeated")).alias("reason")).hint("merge")
 
 
 def raw_objects(spark: SparkSession, path: str, files: DataFrame | None = None) -> DataFrame:
     """(path, model_id, _place, _broken, object): every object of the files that can be read. Prefixes of tags are ignored. An object that can't be
     parsed has its XML in _broken. The rows are written: whether an object is broken depends on the columns that a
-    scan of the files asks for, and all tables must number the same ones."""
+    scan of the files asks for, and all tables must number the same ones. As those of session.Scratch, they and what is made of them aren't broadcast
+    of themselves: an object's row is small, but its vertices and triangles are not."""
     files = scanned_files(spark, path) if files is None else files
     schema = StructType([*AMF_OBJECT.fields, StructField("_broken", StringType())])
     objects = spark.read.format("xml").option("rowTag", "object").option("ignoreNamespace", "true").option("columnNameOfCorruptRecord", "_broken").schema(schema).load(path)
     placed = objects.select(*schema.fieldNames(), F.col("_metadata.file_path").alias("path"), F.monotonically_increasing_id().alias("_place"))
     parsed = Scratch(spark, "amf-objects").write(placed, "objects")
-    return parsed.join(files.where("reason IS NULL").select("path", "model_id"), "path")
+    return parsed.join(files.where("reason IS NULL").select("path", "model_id"), "path").hint("merge")
 
 
 def rejected(files: DataFrame, objects: DataFrame) -> DataFrame:

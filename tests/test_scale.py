@@ -98,3 +98,15 @@ def test_cover_of_one_half_is_on_the_sql_s_side(spark, tmp_path):
     strict = sorted(db.execute(P.ORACLES["f8_strict_threshold"]).fetchall())
     assert (388, 100387, 2, 155193) in [r[:4] for r in strict]
     assert sorted(tuple(r) for r in P.QUERIES["f8_strict_threshold"](spark, str(tmp_path)).collect()) == strict
+
+
+def test_tables_of_models_are_not_broadcast(spark, tmp_path):
+    from meshlake.queries import mesh
+    from meshlake.sources import amf
+
+    t = triangles(spark, 40)
+    t.transform(amf.object_xml).select(F.concat(F.lit("<amf>"), "value", F.lit("</amf>"))).repartition(1).write.text(f"file://{tmp_path}/model.amf")
+    found = amf.read_mesh(spark, f"file://{tmp_path}/model.amf")
+    assert "Broadcast" not in plan(amf.corners(found))
+    rows = mesh.QUERIES["s2_amf_scan"](spark, "/root/testdata/sf0.01")
+    assert "Broadcast" not in plan(rows) and sorted(r.object_id for r in rows.collect()) == list(range(10))
