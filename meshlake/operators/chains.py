@@ -73,25 +73,14 @@ def closed(ids: np.ndarray, following: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return order[on], sorted_ids[root[on]], (length - far[on]) % length, length
 
 
-def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of edges (.., _g, id, next) by _g: those on rings with root, place and length; edges of groups of more than HELD as they are."""
-
-    def made(table: pa.Table, *found: np.ndarray) -> Iterator[pa.RecordBatch]:
-        for name, values in zip(("root", "place", "length"), found or [pa.nulls(table.num_rows, pa.int64())] * 3, strict=True):
-            table = table.append_column(name, pa.array(values, pa.int64()))
-        yield from table.drop_columns(["_g"]).combine_chunks().to_batches()
-
-    def settled(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        if table.num_rows:
-            rows, *found = closed(table["id"].to_numpy(), table["next"].to_numpy())
-            yield from made(table.take(pa.array(rows)), *found)
-
+def whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, bool]]:
+    """Rows in the order of _g as tables of whole groups, HELD rows at most, and with False those of groups of more than HELD, a part at a time."""
     held, size, passed = [], 0, None
     for batch in batches:
         rows = pa.Table.from_batches([batch])
         if passed is not None:
             end = int(np.searchsorted(rows["_g"].to_numpy(), passed, "right"))
-            yield from made(rows.slice(0, end))
+            yield rows.slice(0, end), False
             rows = rows.slice(end)
             if rows.num_rows:
                 passed = None
@@ -102,14 +91,26 @@ def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         whole = pa.concat_tables(held)
         groups = whole["_g"].to_numpy()
         last = int(np.searchsorted(groups, groups[-1]))
-        yield from settled(whole.slice(0, last))
+        yield whole.slice(0, last), True
         held, size = [whole.slice(last)], len(groups) - last
         if size > HELD:
             passed = groups[-1]
-            yield from made(held[0])
+            yield held[0], False
             held, size = [], 0
     if held:
-        yield from settled(pa.concat_tables(held))
+        yield pa.concat_tables(held), True
+
+
+def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of edges (.., _g, id, next) by _g: those on rings with root, place and length; edges of groups of more than HELD as they are."""
+    for table, whole in whole_groups(batches):
+        found = [pa.nulls(table.num_rows, pa.int64())] * 3
+        if whole and table.num_rows:
+            rows, *found = closed(table["id"].to_numpy(), table["next"].to_numpy())
+            table = table.take(pa.array(rows))
+        for name, values in zip(("root", "place", "length"), found, strict=True):
+            table = table.append_column(name, pa.array(values, pa.int64()))
+        yield from table.drop_columns(["_g"]).combine_chunks().to_batches()
 
 
 def grouped_rings(links: DataFrame, by: Sequence[str], name: str = "rings") -> DataFrame:

@@ -110,3 +110,26 @@ def test_tables_of_models_are_not_broadcast(spark, tmp_path):
     assert "Broadcast" not in plan(amf.corners(found))
     rows = mesh.QUERIES["s2_amf_scan"](spark, "/root/testdata/sf0.01")
     assert "Broadcast" not in plan(rows) and sorted(r.object_id for r in rows.collect()) == list(range(10))
+
+
+def test_components_are_searched_in_tasks_or_in_rounds(spark, monkeypatch):
+    import pyarrow as pa
+
+    from meshlake.operators import chains, graph
+
+    dice = random.Random(3)
+    pairs = [(dice.randrange(150), dice.randrange(150)) for _ in range(110)] + [(k, k + 1) for k in range(200, 260)] + [(k, 300 + (k - 299) % 7) for k in range(300, 307)] + [(5, 5), (400, 400), (201, 200)]
+    edges = spark.createDataFrame(pairs, "a long, b long")
+    nodes = edges.select(F.col("a").alias("id")).union(edges.select("b")).union(spark.createDataFrame([(999,)], "id long")).distinct()
+    part = Scratch(spark, "part").write(graph.components(edges, nodes), "part")
+    want = {tuple(r) for r in graph._in_rounds(edges, part, Scratch(spark, "rounds")).collect()}
+    monkeypatch.setattr(graph, "multi_source_bfs", lambda *_: 1 / 0)  # no component here is too large for a task
+    assert {tuple(r) for r in graph.repair_order(edges, nodes).collect()} == want and len(want) == nodes.count()
+    monkeypatch.setattr(chains, "HELD", 20)
+    of = dict(part.collect())
+    rows = sorted((of[a], a, b) for a, b in {(min(p), max(p)) for p in pairs if p[0] != p[1]} | {(k, k) for k, c in of.items() if k == c})
+    table = pa.table({"_g": [r[0] for r in rows], **{n: [r[i] for r in rows] for i, n in enumerate(("component", "a", "b"))}})
+    made = [r for b in graph._searched(iter(table.to_batches(max_chunksize=7))) for r in b.to_pylist()]
+    large = {c for c in of.values() if sum(r[0] == c for r in rows) > 20}
+    assert large and sorted((r["component"], r["id"], r["other"]) for r in made if r["depth"] is None) == [r for r in rows if r[0] in large]
+    assert {(r["id"], r["component"], r["depth"], r["place"]) for r in made if r["depth"] is not None} == {r for r in want if r[1] not in large}
