@@ -629,6 +629,20 @@ def test_few_findings_are_enough_for_the_network(spark):
     assert secrets.fit(docs(spark, [prose(1, 40)])).threshold > 1
 
 
+def test_network_learns_and_counts_over_all_rows(spark):
+    key = lambda k: hashlib.sha256(bytes([k])).hexdigest()[:20]
+    rows = [f"{prose(k, 40)} token={key(k)} {prose(50 + k, 40)} version-{k}" if k % 5 == 0 else prose(k, 60) for k in range(40)]
+    d = docs(spark, rows)
+    texts = d.select(F.col("doc_id").alias("id"), "text")
+    start = secrets.begun(texts, rows=1)
+    seen = secrets._averaged(start, secrets._learned(texts, start, True))
+    want = [sum(y == label for t in rows for y, *_ in secrets._found(t.encode(), False)) for label in (0, 1)]
+    assert seen.sum(0).tolist() == want and want[1] == 5 * 8
+    counts = secrets._counted(texts, start, False)
+    assert [sum(r["n"] for r in counts if r["label"] == label) for label in (0, 1)] == want
+    assert secrets.fit(d, rows=1).threshold <= 1  # the one row that it begins on needs no finding
+
+
 # --- 10 ---
 
 
