@@ -85,6 +85,53 @@ def test_mixed_pairs_come_once_without_a_shuffle_of_pairs(spark):
     assert set(rows) == {tuple(r) for r in spatial_join.triangle_pairs(t).union(other).collect()}
 
 
+def mixed_boxes(t):
+    return over(t, G.mixed_box(G.rotation_to((1, 1, 100)))).select("object_id", "tri_id", *spatial_join.BOX)
+
+
+def test_mixed_pairs_compare_hardly_more_than_overlap(spark, monkeypatch):
+    """Mixed boxes grow with the distance from the origin. Of all pairs of rows that meet in a cell, a good part are results."""
+    rows = [(k // 200, k, *(v for dx, dy in ((0, 0), (100, 0), (100, 100)) for v in (100 * (k % 40) + dx, 1_000_000 + 1000 * (k // 40) + dy, (k * 37 + dx + 13 * dy) % 47))) for k in range(4000)]
+    t = spark.createDataFrame(rows, "object_id long, tri_id long, " + ", ".join(f"{p}{c} long" for p in "abc" for c in "xyz"))
+    joined, compared = type(t).join, []
+
+    def counted(left, right, on=None, how=None):
+        if isinstance(on, list) and "cellx" in on:
+            sizes = (side.groupBy(*on).agg(F.count("*").alias(n)) for side, n in ((left, "a"), (right, "b")))
+            compared.append(joined(*sizes, on).agg(F.sum(F.col("a") * F.col("b"))).first()[0] or 0)
+        return joined(left, right, on, how)
+
+    monkeypatch.setattr(type(t), "join", counted)
+    pairs = spatial_join.triangle_pairs(t, "mixed").count()
+    a, b = (mixed_boxes(t).select(*(F.col(c).alias(f"{s}_{c}") for c in ("object_id", "tri_id", *spatial_join.BOX))) for s in "lr")
+    assert pairs >= a.crossJoin(b).where(f"l_object_id < r_object_id AND {G.boxes_overlap('l_', 'r_')}").count() > 100_000
+    assert sum(compared) < 5 * pairs
+
+
+def test_boxes_meet_once_by_where_they_begin(spark):
+    """Equal places, points, nulls, kept columns and boxes of very different lengths, on both sides of the origin, against all pairs."""
+    dice = random.Random(5)
+    rows = []
+    for k in range(600):
+        corner = [dice.randrange(-40, 40) for _ in range(3)]
+        size = [dice.choice((0, 1, 7, 30)) * (1 if dice.random() < 0.98 else 200) for _ in range(3)]
+        rows.append((k % 7, k, *map(float, corner), *(float(c + e) for c, e in zip(corner, size, strict=True)), f"kept {k}"))
+    rows += [(8, 1000, None, 0.0, 0.0, 1.0, 1.0, 1.0, "null"), (None, 1001, *[0.0] * 6, "null"), *((k, 1002 + k, *[0.0] * 6, "the same") for k in range(9))]
+    boxes = spark.createDataFrame(rows, "object_id long, tri_id long, mnx double, mny double, mnz double, mxx double, mxy double, mxz double, kept string")
+    found = [{r.l_tri_id: r.l_kept, r.r_tri_id: r.r_kept} for r in spatial_join.beginning(boxes).collect()]
+    known = [r for r in rows if None not in r]
+    meet = lambda p, q: p[0] != q[0] and all(p[i] <= q[i + 3] and q[i] <= p[i + 3] for i in (2, 3, 4))
+    want = [{p[1]: p[-1], q[1]: q[-1]} for i, p in enumerate(known) for q in known[:i] if meet(p, q)]
+    assert sorted(sorted(x.items()) for x in found) == sorted(sorted(x.items()) for x in want) and len(want) > 1000
+    assert spatial_join.beginning(boxes.limit(0)).count() == 0
+
+
+def test_mixed_pairs_keep_columns_of_their_own_side(spark):
+    t = triangles(spark, 100).withColumn("mark", F.concat_ws("/", "object_id", "tri_id"))
+    rows = {cells: sorted(map(tuple, spatial_join.triangle_pairs(t, "mixed", cells=cells, kept=["mark"]).collect())) for cells in ("grid", "kd")}
+    assert rows["grid"] == rows["kd"] and all(r[0] < r[1] and r[4:] == (f"{r[0]}/{r[2]}", f"{r[1]}/{r[3]}") for r in rows["grid"])
+
+
 def test_cover_of_one_half_is_on_the_sql_s_side(spark, tmp_path):
     """Two parts of a larger table whose triangles cover one half of each other: rounding alone decides, and it's that of the SQL."""
     import duckdb
